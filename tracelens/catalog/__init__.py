@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ["texts", "attributed"]
+MODULES = ["texts", "attributed", "sequences", "statistics"]
 
 
 def _load() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 _ASSIGNMENT = r"^(?:[A-Za-z_][A-Za-z_0-9]*=\S*\s+)+"
+_REDIRECT = r"[^2]>>?\s"
 _SUDO = r"^sudo\s+(?:-\S+\s+)*"
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _any_of(parts: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(p) for p in parts) + ")"
 
 
 def _strip(c: Column) -> Column:
@@ -60,40 +61,39 @@ def _simple_writes(cmd: Column, original: Column) -> Column:
     """A single command without separators or pipes."""
     low = F.lower(cmd)
     program = _program(cmd)
-    one_liner = _any([low.startswith(p) for p in P.ONE_LINERS])
-    mutates = _any([F.contains(original, F.lit(w)) for w in P.ONE_LINER_WRITES])
     return (
-        F.when(one_liner, mutates)
-        .when(_any([low.startswith(p) for p in P.READ_PREFIXES]), False)
+        F.when(low.rlike("^" + _any_of(P.ONE_LINERS)), original.rlike(_any_of(P.ONE_LINER_WRITES)))
+        .when(low.rlike("^" + _any_of(P.READ_PREFIXES)), False)
         .when(program.isin(P.READ_COMMANDS), False)
         .when(program == "sed", _sed_writes(cmd))
-        .when(program == "find", _any([F.contains(low, F.lit(a)) for a in P.FIND_ACTIONS]))
+        .when(program == "find", low.rlike(_any_of(P.FIND_ACTIONS)))
         .otherwise(True)
     )
 
 
-def _segment_writes(raw: Column) -> Column:
-    """One segment between &&, || and ;."""
-    cmd = normalize(raw)
+def _segment_writes(seg: Column) -> Column:
+    cmd = seg["cmd"]
     return (
         F.when(cmd == "", False)
-        .when(cmd.rlike(r"[^2]>>?\s"), True)
+        .when(cmd.rlike(_REDIRECT), True)
         .when(cmd.contains("|"), _pipeline_writes(cmd))
-        .otherwise(_simple_writes(cmd, raw))
+        .otherwise(_simple_writes(cmd, seg["raw"]))
     )
 
 
 def command_modifies(command: Column) -> Column:
-    """True when a shell command may change state; unknown commands count as changing."""
-    cmd = normalize(command)
-    parts = F.split(cmd, r"\s*&&\s*|\s*\|\|\s*|\s*;\s*")
-    return (
-        F.when(cmd == "", False)
-        .when(cmd.rlike(r"[^2]>>?\s"), True)
-        .when(F.size(parts) > 1, F.exists(parts, _segment_writes))
-        .when(cmd.contains("|"), _pipeline_writes(cmd))
-        .otherwise(_simple_writes(cmd, F.coalesce(command, F.lit(""))))
-    )
+    """True when a shell command may change state; unknown commands count as changing.
+
+    The segments between &&, || and ; are judged one by one; a redirect anywhere decides.
+    """
+    def judged(whole: Column) -> Column:
+        parts = F.split(whole["cmd"], r"\s*&&\s*|\s*\|\|\s*|\s*;\s*")
+        each = F.transform(parts, lambda p: F.struct(normalize(p).alias("cmd"), p.alias("raw")))
+        segments = F.when(F.size(parts) > 1, each).otherwise(F.array(whole))
+        return whole["cmd"].rlike(_REDIRECT) | F.exists(segments, _segment_writes)
+
+    given = F.coalesce(command, F.lit(""))
+    return F.exists(F.array(F.struct(normalize(given).alias("cmd"), given.alias("raw"))), judged)
 
 
 def modifies_state(tool: Column, command: Column) -> Column:

@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.traces import consumes
-from .skew import HOT_ROWS, carried, chunked, positions
+from .skew import HOT_ROWS, carried, chunked, has_large, positions
 
 
-def _stream(blocks: DataFrame, consuming: Column, limit: int) -> DataFrame:
+def _stream(blocks: DataFrame, consuming: Column, limit: int, large: bool) -> DataFrame:
     spoken = blocks.where((F.col("role") == "assistant") & F.col("kind").isin("text", "thinking", "tool_use"))
     flagged = spoken.withColumn("is_tool", F.col("kind") == "tool_use").withColumn("takes", consuming)
-    placed = positions(flagged, "run_id", F.col("line_no"), ["line_no", "block_pos"], limit)
-    cut = chunked(placed.withColumnRenamed("seq", "pos"), "run_id", limit=limit, seq="pos")
-    back = Window.partitionBy("run_id", "_chunk").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = positions(flagged, "run_id", F.col("line_no"), ["line_no", "block_pos"], limit, large)
+    cut = chunked(placed.withColumnRenamed("seq", "pos"), "run_id", limit=limit, seq="pos", large=large)
+    keys = ["run_id", "_chunk"] if large else ["run_id"]
+    back = Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     tool = F.when(F.col("is_tool"), F.struct("pos", "line_no", "takes"))
     taker = F.when(F.col("takes"), F.col("pos"))
     cut = cut.withColumn("_tool", F.last(tool, ignorenulls=True).over(back))
     cut = cut.withColumn("_taker", F.last(taker, ignorenulls=True).over(back))
-    cut = carried(cut, ["run_id"], tool, F.min, "_tool_later", later=True, length="n", limit=limit)
-    cut = carried(cut, ["run_id"], taker, F.min, "_taker_later", later=True, length="n", limit=limit)
+    cut = carried(cut, ["run_id"], tool, F.min, "_tool_later", later=True, large=large)
+    cut = carried(cut, ["run_id"], taker, F.min, "_taker_later", later=True, large=large)
     return cut.withColumn("next_tool", F.coalesce("_tool", "_tool_later")).withColumn(
         "next_taker", F.coalesce("_taker", "_taker_later"))
 
@@ -41,16 +42,15 @@ def attribute(blocks: DataFrame, rule: str = "message", consuming: Column | None
     ``every``: as ``stream``, but every tool consumes.
     """
     takes = F.col("is_tool") if rule == "every" else (consumes() if consuming is None else consuming)
-    flow = _stream(blocks, takes, limit)
+    large = has_large(blocks, ["run_id"], limit)
+    flow = _stream(blocks, takes, limit, large)
     inside = F.col("next_tool.line_no") == F.col("line_no")
     if rule == "message":
-        tools = blocks.where("role = 'assistant' and kind = 'tool_use'").groupBy("run_id", "line_no").agg(F.lit(True).alias("_mixed"))
-        flow = flow.join(tools, ["run_id", "line_no"], "left")
         own = F.when(F.col("next_tool.takes"), F.col("next_tool.pos"))
         if carry_in_message:
             own = F.coalesce(own, F.col("next_taker"))
         late = F.col("next_taker") if carry_in_message else F.lit(None).cast("long")
-        to = F.when(F.col("_mixed").isNull(), F.col("next_taker")).when(inside, own).otherwise(late)
+        to = F.when(F.col("line_tools") == 0, F.col("next_taker")).when(inside, own).otherwise(late)
     else:
         to = F.col("next_taker")
     given = flow.where(~F.col("is_tool") & (F.col("text") != "")).withColumn("_to", to).where(F.col("_to").isNotNull())
@@ -68,7 +68,7 @@ def attribute(blocks: DataFrame, rule: str = "message", consuming: Column | None
         "run_id", "pos", "line_no", "tool_id", "tool_name", F.col("input_json").alias("params_json"),
         F.col("is_error").alias("own_error"), "output")
     out = calls.join(texts, ["run_id", "pos"], "left")
-    numbered = positions(out, "run_id", F.col("pos"), ["pos"], limit)
+    numbered = positions(out, "run_id", F.col("pos"), ["pos"], limit, large)
     return numbered.withColumn("tool_target", T.target("params_json"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .skew import HOT_ROWS, carried, chunk_window, chunked
+from .skew import HOT_ROWS, carried, chunked, has_large
 
 RUN = "run_id"
 
@@ -23,15 +23,17 @@ def step_index(seq, n) -> Column:
     return F.when(m > 1, F.coalesce(at, F.lit(0.0))).otherwise(0.0)
 
 
-def annotate(calls: DataFrame, failed: Column | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def annotate(calls: DataFrame, failed: Column | None = None, limit: int = HOT_ROWS,
+             large: bool | None = None) -> DataFrame:
     """Add the neighbour and running columns that the sequence features are made of.
 
     ``failed`` is the flag for failure streaks (default: a null error flag is a failure).
     """
     err = F.coalesce(F.col("is_error"), F.lit(False))
     fail = F.coalesce(F.col("is_error"), F.lit(True)) if failed is None else failed
-    cut = chunked(calls.withColumn("err", err).withColumn("fail", fail), RUN, before=4, after=1, limit=limit)
-    w = chunk_window(RUN)
+    large = has_large(calls, [RUN], limit) if large is None else large
+    cut = chunked(calls.withColumn("err", err).withColumn("fail", fail), RUN, 4, 1, limit, large=large)
+    w = Window.partitionBy(RUN, "_chunk").orderBy("seq") if large else Window.partitionBy(RUN).orderBy("seq")
     until = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     changed = F.when(F.lag("tool_name").over(w).isNotNull(), (F.col("tool_name") != F.lag("tool_name").over(w)).cast("double"))
@@ -48,7 +50,7 @@ def annotate(calls: DataFrame, failed: Column | None = None, limit: int = HOT_RO
     )
     wide = wide.withColumn("tool_switch_rate", F.coalesce(F.avg("_changed").over(w.rowsBetween(-3, 0)), F.lit(0.0)))
     for name, flag in (("_last_pass", ~F.col("fail")), ("_last_ok", ~F.col("err")), ("_last_err", F.col("err"))):
-        wide = carried(wide, [RUN], F.when(flag, F.col("seq")), F.max, name + "_c", length="n", limit=limit)
+        wide = carried(wide, [RUN], F.when(flag, F.col("seq")), F.max, name + "_c", large=large)
         wide = wide.withColumn(name, F.coalesce(F.greatest(name, name + "_c"), F.lit(0))).drop(name + "_c")
     own = wide.where(~F.col("_halo"))
     return (
@@ -60,13 +62,14 @@ def annotate(calls: DataFrame, failed: Column | None = None, limit: int = HOT_RO
     )
 
 
-def retry_count(calls: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def retry_count(calls: DataFrame, limit: int = HOT_ROWS, large: bool | None = None) -> DataFrame:
     """How often the same (tool, target) appeared earlier in the run."""
     keys = [RUN, "tool_name", "tool_target"]
-    cut = chunked(calls, RUN, limit=limit)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("seq")
+    large = has_large(calls, [RUN], limit) if large is None else large
+    cut = chunked(calls, RUN, limit=limit, large=large)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("seq") if large else Window.partitionBy(*keys).orderBy("seq")
     counted = cut.withColumn("_in", F.row_number().over(w) - 1)
-    counted = carried(counted, keys, F.lit(1), F.sum, "_earlier", length="n", limit=limit)
+    counted = carried(counted, keys, F.lit(1), F.sum, "_earlier", large=large)
     out = counted.withColumn("retry_count", (F.col("_in") + F.coalesce("_earlier", F.lit(0))).cast("long"))
     return out.drop("_chunk", "_halo", "_in", "_earlier")
 

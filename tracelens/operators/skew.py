@@ -1,10 +1,11 @@
 """Ordering work inside groups of any size.
 
-A window over a whole group puts that group into one task. Here every group that
-holds more than ``limit`` rows is first cut into parts that follow the sort order,
-so a task never sorts more than a part; what earlier parts contribute is added
-from one row per part. Groups below the limit stay in one part and pay only a
-count. The list of large groups is broadcast: it has at most rows / limit entries.
+A window over a whole group puts that group into one task. A count per group, over
+nothing but the key columns, decides: when every group fits (``limit`` rows), plain
+windows are used. Otherwise each larger group is cut into parts that follow the sort
+order, so that a task never sorts more than a part, and what earlier parts contribute is
+added from one row per part. The list of larger groups is broadcast: it has at most
+rows / limit entries. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -16,24 +17,26 @@ HOT_ROWS = 1_000_000
 _FIRST = -(1 << 40)
 
 
-def large_groups(df: DataFrame, keys: list[str], order: Column, limit: int) -> DataFrame:
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min(order).alias("_lo"),
-        F.max(order).alias("_hi"),
-    )
-    return stats.where((F.col("_rows") > limit) & (F.col("_hi") > F.col("_lo")))
+def has_large(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> bool:
+    """Whether any group holds more than ``limit`` rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return not counts.where(F.col("_rows") > limit).isEmpty()
+
 
+def _decide(df: DataFrame, keys: list[str], limit: int, large: bool | None) -> bool:
+    return has_large(df, keys, limit) if large is None else large
 
-def split_large(df: DataFrame, keys: list[str], order: Column, limit: int = HOT_ROWS) -> DataFrame:
-    """Add ``_part``, which never decreases as ``order`` grows; 0 for ordinary groups.
 
-    ``order`` must be numeric. Parts are steps of log2 of the position between the
-    group's minimum and maximum, fine enough that the upper half of an even spread
-    is cut well below the limit.
+def split_large(df: DataFrame, keys: list[str], order: Column, limit: int) -> DataFrame:
+    """Add ``_part``, which never decreases as the number ``order`` grows, and ``_cut``.
+
+    Parts are steps of log2 of the position between the group's minimum and maximum,
+    fine enough that the upper half of an even spread is cut well below the limit.
     """
     order = order.cast("double")
-    hot = F.broadcast(large_groups(df, keys, order, limit))
+    stats = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    hot = F.broadcast(stats.where((F.col("_rows") > limit) & (F.col("_hi") > F.col("_lo"))))
     share = (order - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     steps = F.ceil(F.col("_rows") / F.lit(float(limit))) * 4
     part = (
@@ -41,47 +44,46 @@ def split_large(df: DataFrame, keys: list[str], order: Column, limit: int = HOT_
         .when(share > 0, F.floor(F.log2(share) * steps))
         .otherwise(F.lit(_FIRST).cast("long"))
     )
-    cut = df.join(hot, keys, "left").withColumn("_part", part)
-    return cut.withColumn("_hot", F.col("_rows").isNotNull()).drop("_rows", "_lo", "_hi")
+    joined = df.join(hot, keys, "left") if keys else df.join(hot, how="left")
+    return joined.withColumn("_part", part).withColumn("_cut", F.col("_rows").isNotNull()).drop("_rows", "_lo", "_hi")
 
 
-def add_before(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Add ``_before``: the weight that earlier parts of the same group hold."""
-    per_part = df.where("_hot").groupBy(*keys, "_part").agg(F.sum(weight).alias("_pw"))
-    order = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_part.select(*keys, "_part", F.coalesce(F.sum("_pw").over(order), F.lit(0)).alias("_before"))
-    joined = df.join(before, [*keys, "_part"], "left")
-    return joined.withColumn("_before", F.coalesce("_before", F.lit(0)))
-
-
-def cumulative(df: DataFrame, keys: list[str], value: str, weight: str, limit: int = HOT_ROWS) -> DataFrame:
+def cumulative(df: DataFrame, keys: list[str], value: str, weight: str, limit: int = HOT_ROWS,
+               large: bool | None = None) -> DataFrame:
     """One row per distinct value: its weight ``w`` and the running weight ``cum`` up to it."""
+    large = _decide(df, keys, limit, large)
     vals = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
+    if not large:
+        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return vals.withColumn("cum", F.sum("w").over(upto))
     cut = split_large(vals, keys, F.col(value), limit)
     inside = (
         Window.partitionBy(*keys, "_part").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    run = add_before(cut.withColumn("_in", F.sum("w").over(inside)), keys, F.col("w"))
-    return run.select(*keys, value, "w", (F.col("_before") + F.col("_in")).alias("cum"))
+    run = cut.withColumn("_in", F.sum("w").over(inside))
+    per_part = cut.where("_cut").groupBy(*keys, "_part").agg(F.sum("w").alias("_pw"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_part.select(*keys, "_part", F.sum("_pw").over(earlier).alias("_before"))
+    out = run.join(before, [*keys, "_part"], "left")
+    return out.select(*keys, value, "w", (F.coalesce("_before", F.lit(0)) + F.col("_in")).alias("cum"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str, limit: int = HOT_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str, limit: int = HOT_ROWS,
+                  large: bool | None = None) -> DataFrame:
     """One row per distinct value with the mean rank of its ties (``rnk``)."""
-    run = cumulative(df, keys, value, weight, limit)
+    run = cumulative(df, keys, value, weight, limit, large)
     mid = F.col("cum") - F.col("w") + (F.col("w") + 1) / 2
     return run.select(*keys, value, "w", mid.cast("double").alias("rnk"))
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, probs: list[float], limit: int = HOT_ROWS) -> DataFrame:
+def quantile(df: DataFrame, keys: list[str], value: str, probs: list[float], limit: int = HOT_ROWS,
+             large: bool | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as columns ``q0``, ``q1``, …"""
     ones = df.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("_one"))
-    run = cumulative(ones, keys, value, "_one", limit)
-    totals = run.groupBy(*keys).agg(F.sum("w").alias("_n"))
-    if keys:
-        both = run.join(totals, keys)
-    else:
-        both = run.crossJoin(F.broadcast(totals))  # one row
+    run = cumulative(ones, keys, value, "_one", limit, _decide(df, keys, limit, large))
+    totals = run.groupBy(*keys).agg(F.max("cum").alias("_n"))
+    both = run.join(totals, keys) if keys else run.crossJoin(F.broadcast(totals))  # one row
     picks = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
@@ -97,70 +99,65 @@ def quantile(df: DataFrame, keys: list[str], value: str, probs: list[float], lim
     return agg.select(*keys, *cols)
 
 
-def positions(df: DataFrame, run: str, lead: Column, order: list, limit: int = HOT_ROWS) -> DataFrame:
+def positions(df: DataFrame, run: str, lead: Column, order: list, limit: int = HOT_ROWS,
+              large: bool | None = None) -> DataFrame:
     """Number the rows of each run: ``seq`` from 1 in ``order``, and the run length ``n``.
 
     ``lead`` is the leading sort column as a number; it decides the parts of large runs.
     """
+    if not _decide(df, [run], limit, large):
+        whole = Window.partitionBy(run)
+        return df.withColumn("seq", F.row_number().over(whole.orderBy(*order)).cast("long")).withColumn(
+            "n", F.count(F.lit(1)).over(whole))
     cut = split_large(df, [run], lead, limit)
     part = Window.partitionBy(run, "_part")
     numbered = cut.withColumn("_in", F.row_number().over(part.orderBy(*order)))
     numbered = numbered.withColumn("_n", F.count(F.lit(1)).over(part))
-    per_part = numbered.where("_hot").groupBy(run, "_part").agg(F.count(F.lit(1)).alias("_pw"))
-    along = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = cut.where("_cut").groupBy(run, "_part").agg(F.count(F.lit(1)).alias("_pw"))
+    earlier = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     known = per_part.select(
-        run, "_part",
-        F.coalesce(F.sum("_pw").over(along), F.lit(0)).alias("_before"),
-        F.sum("_pw").over(Window.partitionBy(run)).alias("_all"),
-    )
+        run, "_part", F.sum("_pw").over(earlier).alias("_before"),
+        F.sum("_pw").over(Window.partitionBy(run)).alias("_all"))
     out = numbered.join(known, [run, "_part"], "left")
     return (
         out.withColumn("seq", (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long"))
         .withColumn("n", F.coalesce("_all", "_n"))
-        .drop("_part", "_hot", "_in", "_n", "_before", "_all")
+        .drop("_part", "_cut", "_in", "_n", "_before", "_all")
     )
 
 
 def chunked(df: DataFrame, run: str, before: int = 0, after: int = 0, limit: int = HOT_ROWS,
-            seq: str = "seq") -> DataFrame:
+            seq: str = "seq", large: bool | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_halo`` so that windows over (run, _chunk) see enough neighbours.
 
-    Runs up to ``limit`` rows are one chunk. Longer ones are cut every ``limit`` rows and
-    the ``before``/``after`` rows next to a cut are repeated in the other chunk with
-    ``_halo`` set; drop those after the window.
+    Runs longer than ``limit`` are cut every ``limit`` rows; the ``before``/``after`` rows
+    next to a cut are repeated in the other chunk with ``_halo`` set. Drop those after
+    the window.
     """
+    if not _decide(df, [run], limit, large):
+        return df.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_halo", F.lit(False))
     at = F.col(seq) - 1
-    home = F.floor(at / limit).cast("long")
-    inside = at % limit
-    owners = [F.struct(home.alias("c"), F.lit(False).alias("h"))]
-    none = F.struct(F.lit(None).cast("long").alias("c"), F.lit(True).alias("h"))
-    if before:
-        owners.append(F.when(inside >= limit - before, F.struct((home + 1).alias("c"), F.lit(True).alias("h"))).otherwise(none))
-    if after:
-        owners.append(F.when((inside < after) & (home > 0), F.struct((home - 1).alias("c"), F.lit(True).alias("h"))).otherwise(none))
-    if len(owners) == 1:
-        return df.withColumn("_chunk", home).withColumn("_halo", F.lit(False))
-    spread = F.filter(F.array(*owners), lambda o: o["c"].isNotNull())
-    wide = df.withColumn("_o", F.explode(F.when((F.col(seq) <= limit - before), F.array(owners[0])).otherwise(spread)))
+    home, inside = F.floor(at / limit).cast("long"), at % limit
+    owner = lambda chunk, halo: F.struct(chunk.alias("c"), F.lit(halo).alias("h"))
+    nobody = owner(F.lit(None).cast("long"), True)
+    owners = F.array(
+        owner(home, False),
+        F.when(inside >= limit - before, owner(home + 1, True)).otherwise(nobody),
+        F.when((inside < after) & (home > 0), owner(home - 1, True)).otherwise(nobody))
+    wide = df.withColumn("_o", F.explode(F.filter(owners, lambda o: o["c"].isNotNull())))
     return wide.withColumn("_chunk", F.col("_o.c")).withColumn("_halo", F.col("_o.h")).drop("_o")
 
 
-def chunk_window(run: str, seq: str = "seq"):
-    return Window.partitionBy(run, "_chunk").orderBy(seq)
-
-
 def carried(df: DataFrame, keys: list[str], value: Column, agg, out: str, later: bool = False,
-            length: str | None = None, limit: int = HOT_ROWS) -> DataFrame:
-    """Add ``out``: ``agg`` of ``value`` over all earlier (or later) chunks; null in ordinary runs.
+            large: bool = True) -> DataFrame:
+    """Add ``out``: ``agg`` of ``value`` over all earlier (or later) chunks; null where there are none.
 
-    ``df`` must carry ``_chunk``/``_halo``; ``length`` names the run length column, if there
-    is one, to skip ordinary runs early. One row per chunk crosses the shuffle.
+    ``df`` must come from ``chunked``. One row per chunk crosses the shuffle.
     """
-    rows = df.where(~F.col("_halo"))
-    if length:
-        rows = rows.where(F.col(length) > limit)
-    has_cut = rows.groupBy(*keys, "_chunk").agg(agg(value).alias("_v"))
+    if not large:
+        return df.withColumn(out, F.when(F.lit(False), value))
+    per_chunk = df.where(~F.col("_halo")).groupBy(*keys, "_chunk").agg(agg(value).alias("_v"))
     order = Window.partitionBy(*keys).orderBy(F.desc("_chunk") if later else F.asc("_chunk"))
     over = order.rowsBetween(Window.unboundedPreceding, -1)
-    before = has_cut.select(*keys, "_chunk", agg("_v").over(over).alias(out)).where(F.col(out).isNotNull())
-    return df.join(before, [*keys, "_chunk"], "left")
+    known = per_chunk.select(*keys, "_chunk", agg("_v").over(over).alias(out)).where(F.col(out).isNotNull())
+    return df.join(known, [*keys, "_chunk"], "left")

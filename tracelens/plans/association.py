@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators.skew import HOT_ROWS, average_ranks
+from ..operators.skew import HOT_ROWS, average_ranks, has_large
 
 
 def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -20,7 +20,7 @@ def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     return cast.unpivot(ids, features, "feature", "x")
 
 
-def _pair_ranks(cells: DataFrame, keys: list[str], x: str, y: str, limit: int) -> DataFrame:
+def _pair_ranks(cells: DataFrame, keys: list[str], x: str, y: str, limit: int, large: bool) -> DataFrame:
     axes = cells.select(
         *keys, "_c",
         F.explode(F.array(
@@ -28,7 +28,7 @@ def _pair_ranks(cells: DataFrame, keys: list[str], x: str, y: str, limit: int) -
             F.struct(F.lit(1).alias("axis"), F.col(y).cast("double").alias("v")),
         )).alias("_a"),
     ).select(*keys, "_c", "_a.axis", "_a.v")
-    ranks = average_ranks(axes, [*keys, "axis"], "v", "_c", limit)
+    ranks = average_ranks(axes, [*keys, "axis"], "v", "_c", limit, large)
     rx = ranks.where("axis = 0").select(*keys, F.col("v").alias(x), F.col("rnk").alias("rx"))
     ry = ranks.where("axis = 1").select(*keys, F.col("v").alias(y), F.col("rnk").alias("ry"))
     typed = cells.withColumn(x, F.col(x).cast("double")).withColumn(y, F.col(y).cast("double"))
@@ -58,12 +58,13 @@ def cells_of(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", min_n: int = 0,
-             limit: int = HOT_ROWS) -> DataFrame:
+             limit: int = HOT_ROWS, large: bool | None = None) -> DataFrame:
     """Spearman's rho per group over complete pairs: columns ``n`` and ``rho``.
 
     ``rho`` is null below ``min_n`` pairs or when a side is constant.
     """
-    ranked = _pair_ranks(cells_of(df, keys, x, y), keys, x, y, limit)
+    large = has_large(df, keys, limit) if large is None else large
+    ranked = _pair_ranks(cells_of(df, keys, x, y), keys, x, y, limit, large)
     out = weighted_corr(ranked, keys, "rx", "ry", "_c", "rho")
     if min_n:
         out = out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
@@ -87,12 +88,13 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, lim
     With ``strata`` the ranks are also centred within strata before the regression, which
     is the same as adding one dummy per stratum to the regression.
     """
+    large = has_large(df, keys, limit)
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     extra = [strata] if strata else []
     cells = whole.groupBy(*keys, *extra, x, y, z).agg(F.count(F.lit(1)).alias("_c"))
     parts = [F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate((x, y, z))]
     axes = cells.select(*keys, "_c", F.explode(F.array(*parts)).alias("_a")).select(*keys, "_c", "_a.axis", "_a.v")
-    ranks = average_ranks(axes, [*keys, "axis"], "v", "_c", limit)
+    ranks = average_ranks(axes, [*keys, "axis"], "v", "_c", limit, large)
     ranked = cells
     for i, c in enumerate((x, y, z)):
         one = ranks.where(F.col("axis") == i).select(*keys, F.col("v").alias(c), F.col("rnk").alias(f"_r{i}"))
@@ -116,7 +118,7 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, lim
         F.round(F.col("_d1") - by * F.col("_d2"), 9).alias("_ey"),
     )
     counted = resid.groupBy(*keys, "_ex", "_ey").agg(F.sum("_c").alias("_c"))
-    return weighted_corr(_pair_ranks(counted, keys, "_ex", "_ey", limit), keys, "rx", "ry", "_c", "rho")
+    return weighted_corr(_pair_ranks(counted, keys, "_ex", "_ey", limit, large), keys, "rx", "ry", "_c", "rho")
 
 
 # -- combination and multiplicity: inputs are result rows, one per test -----------------

@@ -55,9 +55,11 @@ def blocks(lines: DataFrame) -> DataFrame:
     """First dialect: message content blocks of assistant and user events, in order."""
     events = parse(lines).where(F.col("v").isNotNull()).withColumn("role", _get("v", "$.type"))
     spoken = events.where(F.col("role").isin("assistant", "user"))
-    each = spoken.select(
-        "run_id", "line_no", "role",
-        F.posexplode(_get("v", "$.message.content", "array<variant>")).alias("block_pos", "b"),
+    content = spoken.select("run_id", "line_no", "role", _get("v", "$.message.content", "array<variant>").alias("content"))
+    is_tool = lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_use", F.lit(False))
+    each = content.select(
+        "run_id", "line_no", "role", F.size(F.filter("content", is_tool)).alias("line_tools"),
+        F.posexplode("content").alias("block_pos", "b"),
     ).withColumn("kind", _get("b", "$.type"))
     content = (
         F.when(F.col("kind") == "thinking", F.coalesce(F.nullif(_get("b", "$.thinking"), F.lit("")), _get("b", "$.text")))
@@ -65,7 +67,7 @@ def blocks(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "tool_result", _joined_text("b", "$.content"))
     )
     return each.select(
-        "run_id", "line_no", "block_pos", "role", "kind", content.alias("text"),
+        "run_id", "line_no", "block_pos", "line_tools", "role", "kind", content.alias("text"),
         F.coalesce(_get("b", "$.id"), _get("b", "$.tool_use_id")).alias("tool_id"),
         _get("b", "$.name").alias("tool_name"),
         F.to_json(_get("b", "$.input", "variant")).alias("input_json"),
@@ -81,7 +83,7 @@ def command_blocks(lines: DataFrame) -> DataFrame:
     is_cmd = F.col("item") == "command_execution"
     kind = F.when(is_cmd, "tool_use").when(F.col("item") == "reasoning", "thinking").otherwise("text")
     return kept.select(
-        "run_id", "line_no", F.lit(0).alias("block_pos"), F.lit("assistant").alias("role"), kind.alias("kind"),
+        "run_id", "line_no", F.lit(0).alias("block_pos"), is_cmd.cast("int").alias("line_tools"), F.lit("assistant").alias("role"), kind.alias("kind"),
         F.when(~is_cmd, _get("v", "$.item.text")).alias("text"),
         F.when(is_cmd, F.concat_ws(":", "run_id", "line_no")).alias("tool_id"),
         F.when(is_cmd, "Bash").alias("tool_name"),
