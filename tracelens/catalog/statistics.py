@@ -85,10 +85,10 @@ def fisher(t):
 
 @query("flagship_within_stratum", """SELECT feature, k, chi2, mean_rho, same_sign, p_combined, rk AS bh_rank, round(rk / m * 0.05::DOUBLE, 6) AS bh_threshold,
     rk <= coalesce(max(CASE WHEN p_combined <= round(rk / m * 0.05::DOUBLE, 6) THEN rk END) OVER (), 0) AS survives
-    FROM (SELECT *, row_number() OVER (ORDER BY p_combined, feature) AS rk, count(*) OVER () AS m FROM fisher)""",
+    FROM (SELECT *, row_number() OVER (ORDER BY p_combined, feature) AS rk, count(*) OVER () AS m FROM (SELECT * REPLACE (round(p_combined, 9) AS p_combined) FROM fisher))""",
        dbl="chi2 mean_rho p_combined bh_threshold", lng="k bh_rank")
 def _flagship(t):
-    return A.benjamini_hochberg(fisher(t), "feature", p="p_combined")
+    return A.benjamini_hochberg(fisher(t).withColumn("p_combined", F.round("p_combined", 9)), "feature", p="p_combined")
 
 
 @query("t1_average_ranks", f"SELECT DISTINCT stratum, feature, x, {rnk('stratum, feature', 'x')} AS rnk FROM long", dbl="x rnk")
@@ -180,10 +180,10 @@ def _t9(t):
 
 @query("t10_benjamini_hochberg", """SELECT stratum, feature, p, rk AS bh_rank, round(rk / m * 0.2::DOUBLE, 6) AS bh_threshold,
     rk <= coalesce(max(CASE WHEN p <= round(rk / m * 0.2::DOUBLE, 6) THEN rk END) OVER (PARTITION BY stratum), 0) AS survives
-    FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY p, feature) AS rk, count(*) OVER (PARTITION BY stratum) AS m FROM within WHERE p IS NOT NULL)""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY p, feature) AS rk, count(*) OVER (PARTITION BY stratum) AS m FROM (SELECT * REPLACE (round(p, 9) AS p) FROM within) WHERE p IS NOT NULL)""",
        dbl="p bh_threshold", lng="bh_rank")
 def _t10(t):
-    out = A.benjamini_hochberg(within(t), "feature", q=0.2, family=["stratum"])
+    out = A.benjamini_hochberg(within(t).withColumn("p", F.round("p", 9)), "feature", q=0.2, family=["stratum"])
     return out.select("stratum", "feature", "p", "bh_rank", "bh_threshold", "survives")
 
 

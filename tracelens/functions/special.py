@@ -1,91 +1,108 @@
-"""Tail probabilities. Applied only to aggregated result rows, never to data rows."""
+"""Tail probabilities as column expressions, for aggregated result rows.
+
+Series and continued fractions run inside ``aggregate`` over a step sequence, so no
+Python worker is needed. Null in, null out.
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
-
-
-def _beta_fraction(a, b, x, rounds=500):
-    """Lentz evaluation of the continued fraction of the incomplete beta function."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, rounds):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return h
-
-
-def beta_inc(a, b, x):
-    """Regularised incomplete beta function, elementwise."""
-    a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
-    inner = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner))
-    flip = inner > (a + 1.0) / (a + b + 2.0)
-    left = front * _beta_fraction(np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - inner, inner))
-    out = np.where(flip, 1.0 - left / b, left / a)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.clip(out, 0.0, 1.0)))
-
-
-def t_two_sided(t, df):
-    """P(|T| >= |t|) for Student's t; large degrees of freedom use the normal expansion."""
-    t, df = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(t, df))
-    out = np.full(t.shape, np.nan)
-    ok = np.isfinite(df) & (df > 0) & ~np.isnan(t)
-    big = ok & (df > 1e6)
-    z = np.abs(t[big]) * (1 - 1 / (4 * df[big])) / np.sqrt(1 + t[big] ** 2 / (2 * df[big]))
-    out[big] = _erfc(z / math.sqrt(2)) if big.any() else out[big]
-    small = ok & ~big & np.isfinite(t)
-    if small.any():
-        out[small] = beta_inc(df[small] / 2, 0.5, df[small] / (df[small] + t[small] ** 2))
-    out[ok & np.isinf(t)] = 0.0
-    return out
-
-
-@F.pandas_udf("double")
-def _t_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = t_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float))
-    return pd.Series(p).where(~np.isnan(p), None)
-
-
-@F.pandas_udf("double")
-def _erfc_udf(x: pd.Series) -> pd.Series:
-    v = x.to_numpy(dtype=float)
-    return pd.Series(np.where(np.isnan(v), np.nan, _erfc(np.nan_to_num(v)))).where(~np.isnan(v), None)
+_STEPS = 400
+_EXACT_DF = 5000
+
+
+def _let(fields: dict[str, Column], body) -> Column:
+    """Evaluate ``body`` on named values that are computed once."""
+    one = F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])
+    return F.get(F.transform(F.array(one), body), 0)
+
+
+def _lentz(first_d: Column, term, steps: int) -> Column:
+    """Product form of the continued fraction 1 / (1 + t1 / (1 + t2 / (1 + …)))."""
+    huge = F.lit(1e300)
+    start = F.struct(F.lit(1.0).alias("c"), first_d.alias("d"), first_d.alias("h"))
+
+    def step(acc: Column, j: Column) -> Column:
+        t = term(j.cast("double"))
+        d = F.coalesce(F.try_divide(F.lit(1.0), 1 + t * acc["d"]), huge)
+        c = 1 + F.coalesce(F.try_divide(t, acc["c"]), huge)
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["h"])
+
+
+def _beta_term(a: Column, b, x: Column):
+    """Coefficients of the incomplete beta function's continued fraction from the second on."""
+    def term(j: Column) -> Column:
+        m = F.floor((j + 1) / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(j % 2 == 1, even).otherwise(F.when(j % 2 == 0, odd))
+    return term
+
+
+def _log_gamma_ratio(a: Column) -> Column:
+    """ln(Gamma(a + 1/2) / Gamma(a)): shifted up by 20, then the asymptotic series."""
+    y = a + 20
+    shift = F.aggregate(
+        F.sequence(F.lit(0), F.lit(19)), F.lit(0.0), lambda s, i: s + F.log((a + i) / (a + i + 0.5)))
+    series = -1 / (8 * y) + 1 / (192 * y ** 3) - 1 / (640 * y ** 5) + 17 / (14336 * y ** 7)
+    return shift + F.log(y) / 2 + series
+
+
+def _t_exact(t2: Column, df: Column) -> Column:
+    """P(T^2 >= t2), the incomplete beta function at (df/2, 1/2)."""
+    def body(v: Column) -> Column:
+        a, x = v["a"], v["x"]
+        front = F.exp(_log_gamma_ratio(a) - math.log(math.sqrt(math.pi)) + a * F.log(x) + 0.5 * F.log1p(-x))
+        plain = F.try_divide(F.lit(1.0), 1 - (a + 0.5) * x / (a + 1))
+        low = front * _lentz(plain, _beta_term(a, F.lit(0.5), x), _STEPS) / a
+        other = F.try_divide(F.lit(1.0), 1 - (a + 0.5) * (1 - x) / F.lit(1.5))
+        high = 1 - front * _lentz(other, _beta_term(F.lit(0.5), a, 1 - x), _STEPS) / 0.5
+        return F.when(x >= 1, 1.0).when(x <= 0, 0.0).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
+    return _let({"a": df / 2, "x": df / (df + t2)}, body)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function for x >= 0."""
+    def body(v: Column) -> Column:
+        z = v["z"]
+        two = z * z * 2
+        terms = F.aggregate(
+            F.sequence(F.lit(1), F.lit(80)), F.struct(z.alias("t"), z.alias("s")),
+            lambda acc, k: F.struct((acc["t"] * two / (2 * k + 1)).alias("t"), (acc["s"] + acc["t"] * two / (2 * k + 1)).alias("s")),
+            lambda acc: acc["s"])
+        near = 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * terms
+        # e^{z^2} sqrt(pi) erfc(z) = 1 / (z + (1/2) / (z + 1 / (z + (3/2) / (z + …)))), evaluated from the end
+        tail = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), z, lambda acc, k: z + (k / 2) / acc)
+        far = F.exp(-z * z) / math.sqrt(math.pi) / tail
+        return F.when(z < 2.5, near).otherwise(far)
+    return _let({"z": x}, body)
 
 
 def t_pvalue(t: Column, df: Column) -> Column:
-    return _t_udf(t.cast("double"), df.cast("double"))
+    """Two-sided tail of Student's t; beyond a few thousand degrees of freedom by the normal expansion."""
+    t, df = t.cast("double"), df.cast("double")
+    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
+    some = t.isNotNull() & (df > 0)
+    return F.when(some & (df > _EXACT_DF), erfc(z / math.sqrt(2))).when(some, _t_exact(t * t, df))
 
 
 def normal_pvalue(z: Column) -> Column:
     """Two-sided normal tail."""
-    return _erfc_udf(F.abs(z.cast("double")) / math.sqrt(2))
+    return F.when(z.isNotNull(), erfc(F.abs(z.cast("double")) / math.sqrt(2)))
 
 
 def chi2_1df_pvalue(x: Column) -> Column:
-    return _erfc_udf(F.sqrt(F.greatest(x.cast("double"), F.lit(0.0)) / 2))
+    return F.when(x.isNotNull(), erfc(F.sqrt(F.greatest(x.cast("double"), F.lit(0.0)) / 2)))
 
 
 def chi2_even_pvalue(x: Column, pairs: Column) -> Column:
-    """Upper chi-square tail with ``2 * pairs`` degrees of freedom, in closed form on the JVM."""
+    """Upper chi-square tail with ``2 * pairs`` degrees of freedom, in closed form."""
     half = x / 2
     start = F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("total"))
     steps = F.sequence(F.lit(1).cast("long"), pairs.cast("long"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..operators.skew import HOT_ROWS, average_ranks, has_large
+from ..session import materialize
 
 
 def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -99,6 +100,7 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, lim
     for i, c in enumerate((x, y, z)):
         one = ranks.where(F.col("axis") == i).select(*keys, F.col("v").alias(c), F.col("rnk").alias(f"_r{i}"))
         ranked = ranked.withColumn(c, F.col(c).cast("double")).join(one, [*keys, c])
+    ranked = materialize(ranked.select(*keys, *extra, "_c", "_r0", "_r1", "_r2"))  # read three times below
     level = [*keys, *extra]
     w = F.col("_c")
     means = ranked.groupBy(*level).agg(*[(F.sum(w * F.col(f"_r{i}")) / F.sum(w)).alias(f"_m{i}") for i in range(3)])
@@ -117,7 +119,7 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, lim
         F.round(F.col("_d0") - bx * F.col("_d2"), 9).alias("_ex"),
         F.round(F.col("_d1") - by * F.col("_d2"), 9).alias("_ey"),
     )
-    counted = resid.groupBy(*keys, "_ex", "_ey").agg(F.sum("_c").alias("_c"))
+    counted = materialize(resid.groupBy(*keys, "_ex", "_ey").agg(F.sum("_c").alias("_c")))
     return weighted_corr(_pair_ranks(counted, keys, "_ex", "_ey", limit, large), keys, "rx", "ry", "_c", "rho")
 
 
