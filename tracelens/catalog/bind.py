@@ -24,9 +24,15 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A text table; one that comes in fewer files than there are cores is spread by its key."""
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return self.spread("documents", "doc_id")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -34,7 +40,7 @@ class Tables:
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self.read("conversations")
+        return self.spread("conversations", "conv_id")
 
     @cached_property
     def runs(self) -> DataFrame:

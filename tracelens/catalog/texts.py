@@ -15,41 +15,41 @@ AL = f"lower({A})"
 
 
 def per_text(name: str, cols: dict, dbl: str = "", lng: str = "") -> None:
-    """Register a query of scalar columns over every document; cols: name → (column, sql)."""
+    """Register a query of scalar columns over every document; cols: name → (function giving the column, sql)."""
     body = ", ".join(f"{sql} AS {c}" for c, (_, sql) in cols.items())
 
     @query(name, f"SELECT doc_id, {body} FROM documents", dbl=dbl, lng=lng)
     def run(t):
-        return t.documents.select("doc_id", *[col.alias(c) for c, (col, _) in cols.items()])
+        return t.documents.select("doc_id", *[col().alias(c) for c, (col, _) in cols.items()])
 
 
 per_text("l1_tokenise", {
-    "tokens": (F.array_join(T.tokens("text"), " "), f"array_to_string({B.toks('lower(text)')}, ' ')"),
-    "tokens_case": (F.array_join(T.tokens("text", lower=False), " "), f"array_to_string({B.toks('text')}, ' ')"),
+    "tokens": (lambda: F.array_join(T.tokens("text"), " "), f"array_to_string({B.toks('lower(text)')}, ' ')"),
+    "tokens_case": (lambda: F.array_join(T.tokens("text", lower=False), " "), f"array_to_string({B.toks('text')}, ' ')"),
 })
-per_text("l2_token_count", {"tokens": (T.token_count("text"), B.ntok("text"))}, lng="tokens")
+per_text("l2_token_count", {"tokens": (lambda: T.token_count("text"), B.ntok("text"))}, lng="tokens")
 per_text("l4_token_estimate", {
-    "estimate": (T.token_estimate("text"), "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END")}, lng="estimate")
+    "estimate": (lambda: T.token_estimate("text"), "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END")}, lng="estimate")
 per_text("l5_lexicon_density", {
-    "common": (T.lexicon_density("text", B.COMMON_WORDS),
+    "common": (lambda: T.lexicon_density("text", B.COMMON_WORDS),
                B.per_tok(f"len(list_filter({B.toks('lower(text)')}, lambda x: x IN {B.in_list(B.COMMON_WORDS)}))", "text")),
-    "hedges": (T.lexicon_density("text", P.HEDGE_WORDS),
+    "hedges": (lambda: T.lexicon_density("text", P.HEDGE_WORDS),
                B.per_tok(f"len(list_filter({B.toks('lower(text)')}, lambda x: x IN {B.in_list(P.HEDGE_WORDS)}))", "text")),
 }, dbl="common hedges")
 per_text("l6_pattern_count", {
-    "common": (T.pattern_hits("text", B.COMMON_PATTERNS), B.hits_all(A, B.COMMON_PATTERNS)),
-    "alternatives": (T.pattern_hits("text", P.ALTERNATIVES), B.hits_all(A, P.ALTERNATIVES)),
+    "common": (lambda: T.pattern_hits("text", B.COMMON_PATTERNS), B.hits_all(A, B.COMMON_PATTERNS)),
+    "alternatives": (lambda: T.pattern_hits("text", P.ALTERNATIVES), B.hits_all(A, P.ALTERNATIVES)),
 }, lng="common alternatives")
 per_text("l7_pattern_density", {
-    "density": (T.pattern_density("text", B.COMMON_PATTERNS), B.per_tok(B.hits_all(A, B.COMMON_PATTERNS), "text"))}, dbl="density")
+    "density": (lambda: T.pattern_density("text", B.COMMON_PATTERNS), B.per_tok(B.hits_all(A, B.COMMON_PATTERNS), "text"))}, dbl="density")
 per_text("l8_substring_density", {
-    "density": (T.substring_density("text", B.COMMON_PARTS), B.per_tok(B.sub_hits("text", B.COMMON_PARTS), "text"))}, dbl="density")
+    "density": (lambda: T.substring_density("text", B.COMMON_PARTS), B.per_tok(B.sub_hits("text", B.COMMON_PARTS), "text"))}, dbl="density")
 _alt = r"\b(?:the|of the|and|that|it is)\b"
 per_text("l9_alternation_density", {
-    "density": (T.alternation_density("text", _alt),
+    "density": (lambda: T.alternation_density("text", _alt),
                 f"CASE WHEN length(text) >= 10 THEN {B.hits(AL, _alt, '')} / greatest({B.ntok('text')}, 1) ELSE 0.0 END")}, dbl="density")
 per_text("l10_per_kilochar", {
-    "density": (T.per_kilochar("text", B.COMMON_PATTERNS),
+    "density": (lambda: T.per_kilochar("text", B.COMMON_PATTERNS),
                 f"coalesce(CAST({B.hits_all(A, B.COMMON_PATTERNS)} AS DOUBLE) / nullif(length(text), 0) * 1000, 0.0)")}, dbl="density")
 
 
@@ -61,40 +61,40 @@ def _edge_score(words, phrases):
 
 _w, _ph = ["the", "with", "that"], ["of the", "in the"]
 per_text("l12_verification_score", {
-    "score": (T.verification_score("text"), _edge_score(P.VERIFICATION_WORDS, P.VERIFICATION_PHRASES)),
-    "common": (T.word_phrase_score("text", _w, _ph), _edge_score(_w, _ph)),
+    "score": (lambda: T.verification_score("text"), _edge_score(P.VERIFICATION_WORDS, P.VERIFICATION_PHRASES)),
+    "common": (lambda: T.word_phrase_score("text", _w, _ph), _edge_score(_w, _ph)),
 }, dbl="score common")
 _w2, _ph2 = ["for", "la", "und", "es"], ["to the", "de la"]
 per_text("l13_planning_score", {
-    "score": (T.planning_score("text"), _edge_score(P.PLANNING_WORDS, P.PLANNING_PHRASES)),
-    "common": (T.word_phrase_score("text", _w2, _ph2), _edge_score(_w2, _ph2)),
+    "score": (lambda: T.planning_score("text"), _edge_score(P.PLANNING_WORDS, P.PLANNING_PHRASES)),
+    "common": (lambda: T.word_phrase_score("text", _w2, _ph2), _edge_score(_w2, _ph2)),
 }, dbl="score common")
 _revise = [r"\bnot\b", r"\bis,", r"\bit was\b", r"\bthe\b"]
 per_text("l14_alternatives_backtracks", {
-    "alternatives": (T.alternatives_considered("text"), B.hits_all(A, P.ALTERNATIVES)),
-    "backtracks": (T.backtrack_count("text"), B.hits_all(A, P.BACKTRACKS)),
-    "common": (T.pattern_hits("text", _revise), B.hits_all(A, _revise)),
+    "alternatives": (lambda: T.alternatives_considered("text"), B.hits_all(A, P.ALTERNATIVES)),
+    "backtracks": (lambda: T.backtrack_count("text"), B.hits_all(A, P.BACKTRACKS)),
+    "common": (lambda: T.pattern_hits("text", _revise), B.hits_all(A, _revise)),
 }, lng="alternatives backtracks common")
 _sets = {**P.TIER2, "common_density": B.COMMON_PATTERNS}
 per_text("l15_tier2_densities", {
-    name: (F.when(T.has_text("text"), T.pattern_density("text", pats)),
+    name: (lambda pats=pats: F.when(T.has_text("text"), T.pattern_density("text", pats)),
            f"CASE WHEN regexp_replace(text, '\\s', '', 'g') <> '' THEN {B.per_tok(B.hits_all(A, pats), 'text')} END")
     for name, pats in _sets.items()
 }, dbl=" ".join(_sets))
 per_text("l16_tentative_insight_hedging", {
-    **{name: (T.alternation_density("text", P.ALTERNATIONS[name]),
+    **{name: (lambda name=name: T.alternation_density("text", P.ALTERNATIONS[name]),
               f"CASE WHEN length(text) >= 10 THEN {B.hits(AL, P.ALTERNATIONS[name], '')} / greatest({B.ntok('text')}, 1) ELSE 0.0 END")
        for name in ("tentative_density", "insight_density", "hedging_density")},
-    "tentative_parts": (T.substring_density("text", P.SUBSTRINGS["tentative_density"]),
+    "tentative_parts": (lambda: T.substring_density("text", P.SUBSTRINGS["tentative_density"]),
                         B.per_tok(B.sub_hits("text", P.SUBSTRINGS["tentative_density"]), "text")),
-    "common_parts": (T.substring_density("text", ["th", "en "]), B.per_tok(B.sub_hits("text", ["th", "en "]), "text")),
+    "common_parts": (lambda: T.substring_density("text", ["th", "en "]), B.per_tok(B.sub_hits("text", ["th", "en "]), "text")),
 }, dbl="tentative_density insight_density hedging_density tentative_parts common_parts")
 per_text("l17_precision_naming", {
-    "strict": (T.precision_naming("text"), B.per_tok(B.hits_all(A, P.NAMING, ""), "text")),
-    "loose": (T.precision_naming("text", loose=True), B.per_tok(B.hits_all(A, P.NAMING_LOOSE, ""), "text")),
+    "strict": (lambda: T.precision_naming("text"), B.per_tok(B.hits_all(A, P.NAMING, ""), "text")),
+    "loose": (lambda: T.precision_naming("text", loose=True), B.per_tok(B.hits_all(A, P.NAMING_LOOSE, ""), "text")),
 }, dbl="strict loose")
 per_text("l26_truncate", {
-    "short": (T.truncate("text", 200), "CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END")})
+    "short": (lambda: T.truncate("text", 200), "CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END")})
 
 
 @query("l3_deliberation_chars",

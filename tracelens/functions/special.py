@@ -1,7 +1,7 @@
-"""Tail probabilities as column expressions, for aggregated result rows.
+"""Tail probabilities as SQL expressions over aggregated result rows.
 
 Series and continued fractions run inside ``aggregate`` over a step sequence, so no
-Python worker is needed. Null in, null out.
+Python worker is needed. Arguments are SQL expressions of doubles; null in, null out.
 """
 
 from __future__ import annotations
@@ -13,105 +13,76 @@ from pyspark.sql import functions as F
 
 _STEPS = 400
 _EXACT_DF = 5000
+_ROOT_PI = repr(math.sqrt(math.pi)) + "D"
 
 
-def _let(fields: dict[str, Column], body) -> Column:
-    """Evaluate ``body`` on named values that are computed once."""
-    one = F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])
-    return F.get(F.transform(F.array(one), body), 0)
+def _let(values: dict[str, str], body: str) -> str:
+    """Name values once for use in ``body`` as ``v.name``."""
+    fields = ", ".join(f"'{k}', CAST({x} AS DOUBLE)" for k, x in values.items())
+    return f"get(transform(array(named_struct({fields})), v -> {body}), 0)"
 
 
-def _lentz(first_d: Column, term, steps: int) -> Column:
-    """Product form of the continued fraction 1 / (1 + t1 / (1 + t2 / (1 + …)))."""
-    huge = F.lit(1e300)
-    start = F.struct(F.lit(1.0).alias("c"), first_d.alias("d"), first_d.alias("h"))
+def _beta_fraction(a: str, b: str, x: str) -> str:
+    """The incomplete beta function's continued fraction in product form."""
+    m = "CAST(floor((j + 1) / 2) AS DOUBLE)"
+    t = (f"CASE WHEN j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m})) "
+         f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1)) END")
+    first = f"coalesce(try_divide(1D, 1 - ({a} + {b}) * {x} / ({a} + 1)), 1e300D)"
+    d = "coalesce(try_divide(1D, 1 + s.t * s.d), 1e300D)"
+    c = "(1 + coalesce(try_divide(s.t, s.c), 1e300D))"
+    step = (f"get(transform(array(named_struct('t', {t}, 'c', acc.c, 'd', acc.d, 'h', acc.h)), "
+            f"s -> named_struct('c', {c}, 'd', {d}, 'h', s.h * {c} * {d})), 0)")
+    return f"aggregate(sequence(1, {_STEPS}), named_struct('c', 1D, 'd', {first}, 'h', {first}), (acc, j) -> {step}, acc -> acc.h)"
 
-    def step(acc: Column, j: Column) -> Column:
-        t = term(j.cast("double"))
-        d = F.coalesce(F.try_divide(F.lit(1.0), 1 + t * acc["d"]), huge)
-        c = 1 + F.coalesce(F.try_divide(t, acc["c"]), huge)
-        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["h"])
+def _log_gamma_ratio(a: str) -> str:
+    """ln(Gamma(a + 1/2) / Gamma(a)): shifted up by 20, then the asymptotic series."""
+    y = f"({a} + 20)"
+    shift = f"aggregate(sequence(0, 19), 0D, (s, i) -> s + ln(({a} + i) / ({a} + i + 0.5D)))"
+    return (f"({shift} + ln({y}) / 2 - 1 / (8 * {y}) + 1 / (192 * pow({y}, 3)) - 1 / (640 * pow({y}, 5)) "
+            f"+ 17 / (14336 * pow({y}, 7)))")
 
 
-def _beta_term(a: Column, b, x: Column):
-    """Coefficients of the incomplete beta function's continued fraction from the second on."""
-    def term(j: Column) -> Column:
-        m = F.floor((j + 1) / 2).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return F.when(j % 2 == 1, even).otherwise(F.when(j % 2 == 0, odd))
-    return term
+def _t_exact(t2: str, df: str) -> str:
+    """P(T^2 >= t2), the incomplete beta function at (df / 2, 1 / 2)."""
+    a, x = "v.a", "v.x"
+    front = f"exp({_log_gamma_ratio(a)} - ln({_ROOT_PI}) + {a} * ln({x}) + 0.5D * ln(1 - {x}))"
+    low = f"{front} * {_beta_fraction(a, '0.5D', x)} / {a}"
+    high = f"1 - {front} * {_beta_fraction('0.5D', a, f'(1 - {x})')} / 0.5D"
+    body = f"CASE WHEN {x} >= 1 THEN 1D WHEN {x} <= 0 THEN 0D WHEN {x} < ({a} + 1) / ({a} + 2.5D) THEN {low} ELSE {high} END"
+    return _let({"a": f"({df}) / 2", "x": f"({df}) / (({df}) + {t2})"}, body)
 
 
-def _log_gamma_ratio(a: Column) -> Column:
-    """ln(Gamma(a + 1/2) / Gamma(a)): shifted up by 20, then the asymptotic series."""
-    y = a + 20
-    shift = F.aggregate(
-        F.sequence(F.lit(0), F.lit(19)), F.lit(0.0), lambda s, i: s + F.log((a + i) / (a + i + 0.5)))
-    series = -1 / (8 * y) + 1 / (192 * y ** 3) - 1 / (640 * y ** 5) + 17 / (14336 * y ** 7)
-    return shift + F.log(y) / 2 + series
-
-
-def _t_exact(t2: Column, df: Column) -> Column:
-    """P(T^2 >= t2), the incomplete beta function at (df/2, 1/2)."""
-    def body(v: Column) -> Column:
-        a, x = v["a"], v["x"]
-        front = F.exp(_log_gamma_ratio(a) - math.log(math.sqrt(math.pi)) + a * F.log(x) + 0.5 * F.log1p(-x))
-        plain = F.try_divide(F.lit(1.0), 1 - (a + 0.5) * x / (a + 1))
-        low = front * _lentz(plain, _beta_term(a, F.lit(0.5), x), _STEPS) / a
-        other = F.try_divide(F.lit(1.0), 1 - (a + 0.5) * (1 - x) / F.lit(1.5))
-        high = 1 - front * _lentz(other, _beta_term(F.lit(0.5), a, 1 - x), _STEPS) / 0.5
-        return F.when(x >= 1, 1.0).when(x <= 0, 0.0).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
-    return _let({"a": df / 2, "x": df / (df + t2)}, body)
-
-
-def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0."""
-    def body(v: Column) -> Column:
-        z = v["z"]
-        two = z * z * 2
-        terms = F.aggregate(
-            F.sequence(F.lit(1), F.lit(80)), F.struct(z.alias("t"), z.alias("s")),
-            lambda acc, k: F.struct((acc["t"] * two / (2 * k + 1)).alias("t"), (acc["s"] + acc["t"] * two / (2 * k + 1)).alias("s")),
-            lambda acc: acc["s"])
-        near = 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * terms
-        # e^{z^2} sqrt(pi) erfc(z) = 1 / (z + (1/2) / (z + 1 / (z + (3/2) / (z + …)))), evaluated from the end
-        tail = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), z, lambda acc, k: z + (k / 2) / acc)
-        far = F.exp(-z * z) / math.sqrt(math.pi) / tail
-        return F.when(z < 2.5, near).otherwise(far)
-    return _let({"z": x}, body)
-
-
-def t_pvalue(t: Column, df: Column) -> Column:
+def _erfc(z: str) -> str:
+    """Complementary error function for z >= 0: a series near 0, a continued fraction beyond."""
+    two = "v.z * v.z * 2"
+    terms = (f"aggregate(sequence(1, 80), named_struct('t', v.z, 's', v.z), (acc, k) -> named_struct("
+             f"'t', acc.t * {two} / (2 * k + 1), 's', acc.s + acc.t * {two} / (2 * k + 1)), acc -> acc.s)")
+    near = f"1 - 2 / {_ROOT_PI} * exp(-v.z * v.z) * {terms}"
+    far = f"exp(-v.z * v.z) / {_ROOT_PI} / aggregate(sequence(80, 1, -1), v.z, (acc, k) -> v.z + (k / 2D) / acc)"
+    return _let({"z": z}, f"CASE WHEN v.z < 2.5 THEN {near} ELSE {far} END")
+
+
+def t_pvalue(t: str, df: str) -> Column:
     """Two-sided tail of Student's t; beyond a few thousand degrees of freedom by the normal expansion."""
-    t, df = t.cast("double"), df.cast("double")
-    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
-    some = t.isNotNull() & (df > 0)
-    return F.when(some & (df > _EXACT_DF), erfc(z / math.sqrt(2))).when(some, _t_exact(t * t, df))
+    z = f"abs({t}) * (1 - 1 / (4D * ({df}))) / sqrt(1 + ({t}) * ({t}) / (2D * ({df}))) / {math.sqrt(2)!r}D"
+    return F.expr(
+        f"CASE WHEN ({t}) IS NULL OR ({df}) <= 0 THEN NULL WHEN ({df}) > {_EXACT_DF} THEN {_erfc(z)} "
+        f"ELSE {_t_exact(f'({t}) * ({t})', df)} END")
 
 
-def normal_pvalue(z: Column) -> Column:
+def normal_pvalue(z: str) -> Column:
     """Two-sided normal tail."""
-    return F.when(z.isNotNull(), erfc(F.abs(z.cast("double")) / math.sqrt(2)))
+    return F.expr(f"CASE WHEN ({z}) IS NOT NULL THEN {_erfc(f'abs({z}) / {math.sqrt(2)!r}D')} END")
 
 
-def chi2_1df_pvalue(x: Column) -> Column:
-    return F.when(x.isNotNull(), erfc(F.sqrt(F.greatest(x.cast("double"), F.lit(0.0)) / 2)))
+def chi2_1df_pvalue(x: str) -> Column:
+    return F.expr(f"CASE WHEN ({x}) IS NOT NULL THEN {_erfc(f'sqrt(greatest({x}, 0D) / 2)')} END")
 
 
-def chi2_even_pvalue(x: Column, pairs: Column) -> Column:
+def chi2_even_pvalue(x: str, pairs: str) -> Column:
     """Upper chi-square tail with ``2 * pairs`` degrees of freedom, in closed form."""
-    half = x / 2
-    start = F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("total"))
-    steps = F.sequence(F.lit(1).cast("long"), pairs.cast("long"))
-    summed = F.aggregate(
-        steps, start,
-        lambda acc, i: F.struct(
-            (acc["term"] * half / i.cast("double")).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    return F.least(summed, F.lit(1.0))
+    half = f"({x}) / 2"
+    return F.expr(
+        f"least(1D, aggregate(sequence(1, CAST({pairs} AS INT)), named_struct('term', exp(-{half}), 'total', 0D), "
+        f"(acc, i) -> named_struct('term', acc.term * {half} / i, 'total', acc.total + acc.term), acc -> acc.total))")

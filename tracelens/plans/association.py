@@ -53,6 +53,12 @@ def weighted_corr(df: DataFrame, keys: list[str], a: str, b: str, w: str, out: s
     return sums.select(*keys, F.col("n").cast("long").alias("n"), rho.alias(out))
 
 
+def rank_over(keys: list[str], x: str) -> Column:
+    """Average rank inside groups that fit a task; all such windows share one exchange by ``keys``."""
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
+    return (F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (ties - 1) / 2).cast("double")
+
+
 def cells_of(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return paired.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_c"))
@@ -65,21 +71,21 @@ def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", min_n:
     ``rho`` is null below ``min_n`` pairs or when a side is constant.
     """
     large = has_large(df, keys, limit) if large is None else large
-    ranked = _pair_ranks(cells_of(df, keys, x, y), keys, x, y, limit, large)
+    if large:
+        ranked = _pair_ranks(cells_of(df, keys, x, y), keys, x, y, limit, large)
+    else:
+        paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+        ranked = paired.select(*keys, rank_over(keys, x).alias("rx"), rank_over(keys, y).alias("ry"), F.lit(1).alias("_c"))
     out = weighted_corr(ranked, keys, "rx", "ry", "_c", "rho")
     if min_n:
         out = out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
     return out
 
 
-def t_statistic(rho: Column, n: Column) -> Column:
-    return F.when(n > 2, rho * F.sqrt((n - 2) / F.greatest(1 - rho * rho, F.lit(1e-300))))
-
-
 def with_pvalue(df: DataFrame, rho: str = "rho", n: str = "n", out: str = "p") -> DataFrame:
     """Two-sided p of a rank correlation by the t approximation with n - 2 degrees of freedom."""
-    t = t_statistic(F.col(rho), F.col(n))
-    return df.withColumn(out, special.t_pvalue(t, F.col(n) - 2))
+    t = f"{rho} * sqrt(({n} - 2) / greatest(1 - {rho} * {rho}, 1e-300D))"
+    return df.withColumn(out, special.t_pvalue(t, f"{n} - 2"))
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, limit: int = HOT_ROWS,
@@ -89,9 +95,28 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, lim
     With ``strata`` the ranks are also centred within strata before the regression, which
     is the same as adding one dummy per stratum to the regression.
     """
-    large = has_large(df, keys, limit)
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     extra = [strata] if strata else []
+    if has_large(df, keys, limit):
+        return _partial_cut(whole, keys, extra, x, y, z, limit)
+    rows = whole.select(*keys, *extra, x, y, z)
+    for i, c in enumerate((x, y, z)):
+        rows = rows.withColumn(f"_r{i}", rank_over(keys, c))
+    group, level = Window.partitionBy(*keys), Window.partitionBy(*keys, *extra)
+    d = [F.col(f"_r{i}") - F.avg(f"_r{i}").over(level) for i in range(3)]
+    rows = rows.select(*keys, *[d[i].alias(f"_d{i}") for i in range(3)])
+    zz = F.sum(F.col("_d2") * F.col("_d2")).over(group)
+    slope = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("_d2")).over(group), zz), F.lit(0.0))
+    resid = rows.select(
+        *keys, F.round(F.col("_d0") - slope("_d0") * F.col("_d2"), 9).alias("_ex"),
+        F.round(F.col("_d1") - slope("_d1") * F.col("_d2"), 9).alias("_ey"))
+    ranked = resid.select(*keys, rank_over(keys, "_ex").alias("rx"), rank_over(keys, "_ey").alias("ry"), F.lit(1).alias("_c"))
+    return weighted_corr(ranked, keys, "rx", "ry", "_c", "rho")
+
+
+def _partial_cut(whole: DataFrame, keys: list[str], extra: list[str], x: str, y: str, z: str, limit: int) -> DataFrame:
+    """The same for groups larger than a task, from counted cells and stored stages."""
+    large = True
     cells = whole.groupBy(*keys, *extra, x, y, z).agg(F.count(F.lit(1)).alias("_c"))
     parts = [F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate((x, y, z))]
     axes = cells.select(*keys, "_c", F.explode(F.array(*parts)).alias("_a")).select(*keys, "_c", "_a.axis", "_a.v")
@@ -161,7 +186,7 @@ def fisher_combine(df: DataFrame, keys: list[str], p: str = "p", rho: str = "rho
         (F.sum(F.col(rho) * F.col(n)) / F.sum(n)).alias("mean_rho"),
         (F.abs(F.sum(F.signum(rho))) == F.count(F.lit(1))).alias("same_sign"),
     )
-    return sums.withColumn("p_combined", special.chi2_even_pvalue(F.col("chi2"), F.col("k")))
+    return sums.withColumn("p_combined", special.chi2_even_pvalue("chi2", "k"))
 
 
 def fisher_interval(df: DataFrame, rho: str = "rho", n: str = "n", z: float = 1.959963984540054) -> DataFrame:
