@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ["texts", "attributed", "sequences", "statistics"]
+MODULES = ["texts", "attributed", "sequences", "statistics", "replay"]
 
 
 def _load() -> None:

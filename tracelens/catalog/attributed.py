@@ -10,16 +10,16 @@ from .. import schemas
 from ..functions import text as T
 from ..operators import attribution as A
 from ..operators import sequence as S
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import tables, traces
 from . import bind as B
 from .registry import query
 
 
 def attributed(t):
-    """Calls of the conversation traces with reasoning."""
+    """Calls of the conversation traces with reasoning, stored as the calls table that later steps read."""
     if "_attributed" not in t.__dict__:
-        t.__dict__["_attributed"] = A.with_reasoning(A.attribute(t.blocks))
+        t.__dict__["_attributed"] = materialize(A.with_reasoning(A.attribute(t.blocks)))
     return t.__dict__["_attributed"]
 
 
