@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ["texts", "attributed", "sequences", "statistics", "replay", "models", "further"]
+MODULES = ["texts", "attributed", "sequences", "statistics", "replay", "models", "further", "live"]
 
 
 def _load() -> None:

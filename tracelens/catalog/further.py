@@ -18,6 +18,7 @@ from .statistics import rho_sql, within
 
 AT = B.ascii_of("text")
 # Sentences, function-like words and clause starts that occur in the given texts.
+COMPAT = r"[^.]*(?:compat|version|install|deprecated|removed|Python 3\.\d+)[^.]*\."
 SENTENCE = r"[^.]*(?:tion|ung)[^.]*\."
 WORDS = r"\b(?:the|und|de)\b"
 START = r"(?:^|\n|(?<=\.\s))(?:The|La|Is)\b"
@@ -31,14 +32,14 @@ def _share(pattern, t=AT):
     return f"coalesce(list_sum(list_transform(regexp_extract_all({t}, {B.q('(?i)' + pattern)}), lambda s: length(s)))::DOUBLE / nullif(length(text), 0), 0)"
 
 
-@query("l20_thinking_first", f"""SELECT doc_id, {_share(SENTENCE)} AS sentence_share, {_share(WORDS)} AS word_share, {_share(P.COMPAT_SENTENCE)} AS compat_fraction, {_rate(P.PIVOT)} AS pivots_per_kchar,
+@query("l20_thinking_first", f"""SELECT doc_id, {_share(SENTENCE)} AS sentence_share, {_share(WORDS)} AS word_share, {_share(COMPAT)} AS compat_fraction, {_rate(P.PIVOT)} AS pivots_per_kchar,
     {B.hits(AT, P.DEAD_END)} AS dead_end_count, {_rate(P.FUNC_REF, '')} AS func_refs_per_kchar, {_rate(P.CODE_STRUCTURE)} - {_share(P.ENVIRONMENT)} * 10 - {_rate(P.PIVOT)} * 2 AS focus_score,
     CASE WHEN strpos(lower(text), 'tion') > 0 THEN (strpos(lower(text), 'tion') - 1) / length(text) ELSE 1.0 END AS first_mention FROM documents""",
        dbl="sentence_share word_share compat_fraction pivots_per_kchar func_refs_per_kchar focus_score first_mention", lng="dead_end_count")
 def _l20(t):
     f = K.first_round("text")
     return t.documents.select(
-        "doc_id", K.matched_share("text", SENTENCE).alias("sentence_share"), K.matched_share("text", WORDS).alias("word_share"),
+        "doc_id", K.sentence_share("text", "tion|ung").alias("sentence_share"), K.matched_share("text", WORDS).alias("word_share"),
         *[f[c].alias(c) for c in ("compat_fraction", "pivots_per_kchar", "dead_end_count", "func_refs_per_kchar", "focus_score")],
         K.first_mention("text", "tion").alias("first_mention"))
 
@@ -185,7 +186,7 @@ def _e14(t):
     return X.third_error_rates(t.calls)
 
 
-@query("e15_transitions", "SELECT run_id, tool_name AS a, next_tool AS b, count(*) / sum(count(*)) OVER (PARTITION BY run_id) AS share FROM marked WHERE next_tool IS NOT NULL GROUP BY ALL", dbl="share")
+@query("e15_transitions", "SELECT run_id, a, b, c / sum(c) OVER (PARTITION BY run_id) AS share FROM (SELECT run_id, tool_name AS a, next_tool AS b, count(*) AS c FROM marked WHERE next_tool IS NOT NULL GROUP BY run_id, tool_name, next_tool)", dbl="share")
 def _e15(t):
     return X.transitions(annotated(t))
 

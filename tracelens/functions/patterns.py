@@ -81,7 +81,7 @@ TENTATIVE_KCHAR = [r"\blet me try\b", r"\bmaybe\b", r"\bnot sure\b", r"\bmight\b
 ACTUALLY_KCHAR = [r"\bactually\b"]
 
 # Thinking-text patterns.
-COMPAT_SENTENCE = r"[^.]*(?:compat|version|install|deprecated|removed|Python 3\.\d+)[^.]*\."
+COMPAT_WORDS = r"compat|version|install|deprecated|removed|Python 3,\d"
 ENVIRONMENT = (
     r"(?:pip|install|docker|virtualenv|venv|conda|setuptools|pkg_resources|collections\.Mapping|"
     r"compatibility|deprecated|removed in|can't compile|can't build|not available|"

@@ -25,6 +25,20 @@ def matched_share(c, pattern: str) -> Column:
     return F.coalesce(F.try_divide(chars.cast("double"), F.length(T._text(c)).cast("double")), F.lit(0.0))
 
 
+def sentence_share(c, words: str) -> Column:
+    """Share of the characters in sentences, dot included, that hold one of the words.
+
+    Sentences are split at dots and searched one by one, which stays linear in the text;
+    the dot of a version number such as "Python 3.10" ends no sentence.
+    """
+    kept = F.regexp_replace(T._text(c), r"(?i)(python 3)\.(?=\d)", "$1,")
+    parts = F.split(kept, r"\.")
+    ended = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    hit = F.filter(ended, lambda s: F.regexp_like(s, F.lit("(?i)" + words)))
+    chars = F.aggregate(hit, F.lit(0), lambda a, s: a + F.length(s) + 1)
+    return F.coalesce(F.try_divide(chars.cast("double"), F.length(T._text(c)).cast("double")), F.lit(0.0))
+
+
 def count(c, pattern: str) -> Column:
     return F.regexp_count(T._text(c), F.lit("(?iU)" + pattern))
 
@@ -38,7 +52,7 @@ def first_mention(c, pattern: str = P.FIX_MENTION) -> Column:
 def first_round(c) -> dict[str, Column]:
     env, pivots = matched_share(c, P.ENVIRONMENT), rate(c, P.PIVOT)
     return {
-        "compat_fraction": matched_share(c, P.COMPAT_SENTENCE),
+        "compat_fraction": sentence_share(c, P.COMPAT_WORDS),
         "env_distraction_fraction": env,
         "pivots_per_kchar": pivots,
         "approach_pivots": count(c, P.PIVOT),

@@ -103,13 +103,15 @@ def newton(df: DataFrame, features: list[str], labels: list[str], folds: list[in
         for row in total:
             all_v[row["model"]] = row["v"]
         all_v = all_v.reshape(k, r, width)
+        before = loglik
         loglik, grad, hess = all_v[..., 0], all_v[..., 1:1 + size], all_v[..., 1 + size:].reshape(k, r, size, size)
         g = (grad - ridge * beta) * keep
         full = hess + np.einsum("kra,ab->krab", ridge, np.eye(size))
         full = full * keep[..., :, None] * keep[..., None, :] + np.einsum("kra,ab->krab", 1 - keep + 1e-12, np.eye(size))
         step = np.linalg.solve(full, g[..., None])[..., 0]
         beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < tol:
+        steady = np.abs(loglik - before).max() < tol * (1 + np.abs(loglik).max())
+        if steady or np.abs(step).max() < tol:
             break
     return beta, loglik, hess
 
