@@ -29,6 +29,6 @@ def _x1b(t):
 
 @query("x2_streak_alert", """WITH s AS (SELECT user_id, event_id, event_type = 'error' AS bad, row_number() OVER w - coalesce(max(CASE WHEN event_type <> 'error' THEN event_rank END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS streak
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS event_rank FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-    SELECT user_id::VARCHAR AS run_id, event_id AS at, 3 AS streak FROM s WHERE bad AND streak = 3""", lng="at streak")
+    SELECT user_id::VARCHAR AS run_id, event_id AS position, 3 AS streak FROM s WHERE bad AND streak = 3""", lng="position streak")
 def _x2(t):
     return S.drain(S.streak_alerts(stream(t), "user_id", "event_id", "failed", 3))

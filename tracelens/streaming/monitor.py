@@ -60,14 +60,14 @@ def streak_alerts(calls: DataFrame, run: str, order: str, failed: str, k: int, i
                 hits.append(last)
         state.update((last, streak))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
-        yield pd.DataFrame({"run_id": [key[0]] * len(hits), "at": hits, "streak": [k] * len(hits)})
+        yield pd.DataFrame({"run_id": [key[0]] * len(hits), "position": hits, "streak": [k] * len(hits)})
 
     amount, unit = idle.split()
     idle_ms = int(amount) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
     keyed = calls.withWatermark("ts", late).select(
         F.col(run).cast("string").alias("run_id"), F.col(order).cast("long").alias("o"), F.col(failed).alias("bad"), "ts")
     return keyed.groupBy("run_id").applyInPandasWithState(
-        fold, "run_id string, at long, streak int", "last long, streak int", "append", GroupStateTimeout.EventTimeTimeout)
+        fold, "run_id string, position long, streak int", "last long, streak int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
