@@ -142,3 +142,22 @@ def test_bootstrap_interval(spark):
     out = R.bootstrap_interval(reps).first()
     seen = auc([r[3] for r in data(6)], [r[5] for r in data(6)])
     assert out.replicates == 30 and out.low < seen < out.high
+
+
+def test_variance_inflation(spark):
+    from tracelens.operators.extra import vif
+    rows = [(r[3], r[4], r[3] * 2 + r[4] + (i % 5)) for i, r in enumerate(data(7))]
+    got = {r.feature: r.vif for r in vif(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    want = np.diag(np.linalg.inv(np.corrcoef(np.array(rows).T)))
+    assert np.allclose([got[f] for f in "abc"], want, rtol=1e-6)
+
+
+def test_permuted_versions_share_one_fit(spark):
+    df = frame(spark, data(8))
+    wide, names = M.shuffled_versions(df.select("id", "task", "s", "x1", "y"), "s", "y", "id", 2)
+    together, _ = M.cross_validate(wide.drop("y"), ["x1"], names, "task")
+    scores = {(r.rep, r.id): r.score for r in together.collect()}
+    alone, _ = M.cross_validate(df.select("id", "task", "x1", "y"), ["x1"], ["y"], "task")
+    assert all(abs(scores[(0, r.id)] - r.score) < 1e-8 for r in alone.collect())
+    labels = [(r.y0, r.y1, r.y2) for r in wide.collect()]
+    assert sum(l[0] for l in labels) == sum(l[1] for l in labels) == sum(l[2] for l in labels)
