@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .chunks import NULL_ID, array_of, bucket_edges, chunked, ids_of, in_order
 from .textnum import LOWER, U64, flat, span_hashes, word_spans
 
-DEPTH = 4
+DEPTH = 5
 END_WORD = U64(0x9D5C3A7F11E26B84)
 END, SPACE = 0x0A, 0x20
 SPLIT = 8  # parts of one last byte

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
+from .jaccard_join import jaccard_components
+from .lm_scoring import score_documents
+from .quality_classifier import classify
+from .quality_rules import judge
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .token_counts import count_tokens, vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +22,37 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op6_substring_dedup)}
+    return {f.__name__: f for f in (
+        op1_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_quality_rules, op6_substring_dedup, op7_ngram_jaccard_join, op8_byte_bpe, op10_lm_scoring)}
 
 
 #: Word windows as lists; the smallest doc_id of each, then the words that earlier ones cover.
