@@ -20,9 +20,13 @@ CHUNK_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(id, text, chunk) rows and the number of chunks, in proportion to the bytes of text."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, along: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(id, text, chunk) rows and the number of chunks, in proportion to the bytes of text.
+
+    Columns named in ``along`` travel with the rows as a struct ``rest``.
+    """
+    rest = [F.struct(*[F.col(f"`{c}`") for c in along]).alias("rest")] if along else []
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *rest)
     size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("size")).first()["size"] or 0
     n = int(size // chunk_bytes) + 1
     return slim.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n

@@ -172,3 +172,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     return _slim(docs, id_col, text_col, metadata).mapInArrow(score, "doc_id long, score double").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",),
+              keep: float = KEEP, most: int = TRAIN_ROWS) -> DataFrame:
+    """The documents, with all their columns, that score ``keep`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, metadata, most))
+
+    def run(batches):
+        for batch in batches:
+            meta = [np.log1p(np.maximum(batch.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False), 0)) for c in metadata]
+            meta, at, good = np.stack(meta, 1) if meta else np.zeros((batch.num_rows, 0)), 0, []
+            for dense, first, bucket, value in features(batch.column(text_col)):
+                good.append(shared.value.score(np.concatenate([dense, meta[at:at + len(dense)]], 1), first, bucket, value) >= keep)
+                at += len(dense)
+            yield batch.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

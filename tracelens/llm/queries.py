@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .chat_format import digests, format_turns, turns_of_records, turns_of_table
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
 from .lm_scoring import score_documents
 from .quality_classifier import classify
@@ -22,6 +25,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -46,13 +53,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    record = F.to_json(F.struct(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(hard).alias("content")) for r in ("user", "assistant")]).alias("messages")))
+    one = turns_of_records(spark.range(1).select(F.lit(-7).cast("long").alias("id"), record.alias("record")), "id", "record")
+    turns = turns_of_table(_table(spark, sf_dir, "conversations")).unionByName(one)
+    return digests(format_turns(turns))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_quality_rules, op6_substring_dedup, op7_ngram_jaccard_join, op8_byte_bpe, op10_lm_scoring)}
+        op1_suffix_array_dedup, op2_benchmark_decontamination, op3_token_counts, op4_quality_classifier, op5_quality_rules,
+        op6_substring_dedup, op7_ngram_jaccard_join, op8_byte_bpe, op9_chat_formatting, op10_lm_scoring)}
 
 
 #: Word windows as lists; the smallest doc_id of each, then the words that earlier ones cover.

@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chunks import NULL_ID
 from .induced import suffix_order
@@ -86,13 +87,18 @@ def _finish(with_text: bool):
                 s = raw[i:j]
                 sha.append(hashlib.sha256(s).hexdigest())
                 kept.append(s.decode("utf-8", "ignore") if with_text else None)
-        return pa.table({"doc_id": pa.array([None if x == NULL_ID else x for x in ids], pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()),
-                         "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()),
-                         "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.string())})
+        out = pa.table({"doc_id": pa.array([None if x == NULL_ID else x for x in ids], pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()),
+                        "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()),
+                        "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.string())})
+        return out.append_column("rest", rows["rest"]) if "rest" in rows.column_names else out
     return finish
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER,
-                   with_text: bool = True, budget: int = 1 << 22, base: int = 1 << 22, chunk_bytes: int | None = None, hot: int = HOT) -> DataFrame:
-    """One row per document: bytes, bytes and spans removed, digest of the remaining bytes and the remaining text."""
-    return find_covered(docs, id_col, text_col, Spec(False, window, min(minimiser, window)), sort_suffixes(window, budget, base), _finish(with_text), SCHEMA, chunk_bytes, hot)
+                   with_text: bool = True, budget: int = 1 << 22, base: int = 1 << 22, chunk_bytes: int | None = None, hot: int = HOT, along: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: bytes, bytes and spans removed, digest of the remaining bytes and the remaining text.
+
+    Columns named in ``along`` come back in a struct ``rest``.
+    """
+    rest = f", rest {docs.select(F.struct(*along).alias('rest')).schema['rest'].dataType.simpleString()}" if along else ""
+    return find_covered(docs, id_col, text_col, Spec(False, window, min(minimiser, window)), sort_suffixes(window, budget, base), _finish(with_text), SCHEMA + rest, chunk_bytes, hot, along)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunks import array_of, bucket_edges, chunked, ids_of, in_order
+from .chunks import CHUNK_BYTES, array_of, bucket_edges, chunked, ids_of, in_order
 from .textnum import BYTE_CODE, IS_SPACE, U64, blocks, flat, mix, rolling, runs, sliding_min, span_hashes, word_spans
 
 HOT = 50_000
@@ -266,9 +266,9 @@ def _covered(p: Pieces, answers: pa.Table):
 
 
 def find_covered(docs: DataFrame, id_col: str, text_col: str, spec: Spec, solve, finish, schema: str,
-                 chunk_bytes: int | None = None, hot: int = HOT) -> DataFrame:
+                 chunk_bytes: int | None = None, hot: int = HOT, along: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``finish(rows, [(ids, block, covered)]) -> arrow table`` to each chunk of documents."""
-    base, n = chunked(docs, id_col, text_col, *([chunk_bytes] if chunk_bytes else []))
+    base, n = chunked(docs, id_col, text_col, chunk_bytes or CHUNK_BYTES, along)
     buckets, shards = max(1, n // 3) + 7, max(1, n // 2) + 7
     by_chunk = base.groupBy("chunk")
 
