@@ -62,7 +62,7 @@ def _held_out(ids: np.ndarray) -> np.ndarray:
 
 
 class Stream:
-    """A chunk's words and byte strings: one word key per token, one string key per byte."""
+    """A chunk's words and byte strings: one word key per token, one string key per byte (depth 0: words only)."""
 
     def __init__(self, rows: pa.Table, depth: int):
         self.ids = ids_of(rows)
@@ -77,6 +77,8 @@ class Stream:
         slot = np.ones(len(self.words), bool)
         slot[self.token_first[1:] - 1] = False
         self.words[slot] = span_hashes(data, starts, ends)
+        if not depth:
+            return
         # bytes: `depth` end bytes as the context before, the words with a space each, the end
         size = np.concatenate(([0], np.cumsum(ends - starts + 1)))[first]
         self.byte_first = size + np.arange(n + 1) * (depth + 1)
@@ -118,23 +120,32 @@ def _part_of(keys: np.ndarray, depth: int) -> np.ndarray:
     return last * SPLIT + before % SPLIT
 
 
-def _send(depth: int, word_parts: int):
+def _packed(out: list[tuple]) -> pa.Table:
+    columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["part", "chunk", "body", "extra"])
+
+
+def _send_words(word_parts: int):
     def send(rows: pa.Table) -> pa.Table:
-        rows = in_order(rows)
-        chunk, s = rows["chunk"][0].as_py(), Stream(rows, depth)
-        out = []
+        s, out = Stream(in_order(rows), 0), []
         key, n = _counted(s.words, np.repeat(~s.held, np.diff(s.token_first)))
         edges = bucket_edges(key, word_parts)
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if j > i:
-                out.append((-1 - b, chunk, key[i:j].tobytes(), n[i:j].tobytes()))
+                out.append((-1 - b, rows["chunk"][0].as_py(), key[i:j].tobytes(), n[i:j].tobytes()))
+        return _packed(out)
+    return send
+
+
+def _send_strings(depth: int):
+    def send(rows: pa.Table) -> pa.Table:
+        s, out = Stream(in_order(rows), depth), []
         key, n = _counted(s.strings, np.repeat(~s.held, s.n_bytes))
         part = _part_of(key, depth)
         order = np.argsort(part, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-            out.append((int(part[at[0]]), chunk, key[at].tobytes(), n[at].tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["part", "chunk", "body", "extra"])
+            out.append((int(part[at[0]]), rows["chunk"][0].as_py(), key[at].tobytes(), n[at].tobytes()))
+        return _packed(out)
     return send
 
 
@@ -290,9 +301,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("depth is 2 to 6 bytes")
     base, n = chunked(docs, id_col, text_col, *([chunk_bytes] if chunk_bytes else []))
     by_chunk = base.groupBy("chunk")
-    sent = by_chunk.applyInArrow(_send(depth, max(1, n // 3) + 7), PACKED)
-    by_part = sent.repartition("part")  # one exchange for the four uses below
-    words, strings = by_part.where("part < 0").groupBy("part"), by_part.where("part >= 0").groupBy("part")
+    words = by_chunk.applyInArrow(_send_words(max(1, n // 3) + 7), PACKED).groupBy("part")
+    strings = by_chunk.applyInArrow(_send_strings(depth), PACKED).groupBy("part")
     top = strings.applyInArrow(_summary(depth), "part int, counts binary, sums binary").withColumn("whole", F.lit(0)).groupBy("whole").applyInArrow(_top, "part int, body binary")
     answers = words.applyInArrow(_word_answers, "part int, chunk long, body binary").unionByName(
         strings.cogroup(top.groupBy("part")).applyInArrow(_string_answers(depth), "part int, chunk long, body binary"))
