@@ -88,6 +88,16 @@ def test_cross_reference_rules(spark):
     assert got == {"a": ("fail", "high"), "b": ("env_error", "low")}
 
 
+def test_replace_runs_drops_runs_reparsed_to_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "calls"), "run_id string, seq long"
+    tables.replace_runs(path, spark.createDataFrame([(r, s) for r in "abcdef" for s in (1, 2)], schema), buckets=3)
+    tables.replace_runs(path, spark.createDataFrame([("a", 9)], schema), buckets=3, replaced=spark.createDataFrame([("a",), ("b",), ("zz",)], "run_id string"))
+    got = sorted((r.run_id, r.seq) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 9)] + [(r, s) for r in "cdef" for s in (1, 2)]
+    tables.replace_runs(path, spark.createDataFrame([("a", 7)], schema), buckets=3, replaced=spark.createDataFrame([(r,) for r in "cdef"], "run_id string"))
+    assert [(r.run_id, r.seq) for r in spark.read.parquet(path).collect()] == [("a", 7)]
+
+
 def test_replace_runs_is_atomic_per_run(spark, tmp_path):
     path = str(tmp_path / "calls")
     schema = "run_id string, seq int"

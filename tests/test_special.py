@@ -44,6 +44,26 @@ def test_normal_and_chi2(spark):
     assert abs(got[0] - 0.05) < 1e-4 and abs(got[1] - 0.05) < 1e-4 and got[2] == 1.0
 
 
+def test_tails_in_logs(spark):
+    """No jump where the two forms meet, no underflow, and null data of many strata stay null."""
+    import numpy as np
+
+    grid = [(t, d) for t in (0.01, 0.5, 2.0, 3.0, 10.0, 30.0, 60.0) for d in (4999.0, 5000.0, 5001.0, 5002.0)]
+    df = spark.createDataFrame(grid, "t double, d double")
+    got = {(r.t, r.d): r.lp for r in df.select("t", "d", special.t_log_pvalue("t", "d").alias("lp")).collect()}
+    for t in {g[0] for g in grid}:
+        a, b, c, e = (got[t, d] for d in (4999.0, 5000.0, 5001.0, 5002.0))
+        assert abs((c - b) - ((b - a) + (e - c)) / 2) < 1e-9 * max(1, abs(b) * 1e-2), (t, a, b, c, e)
+    assert got[60.0, 5000.0] < -1200
+    rng = np.random.default_rng(1)
+    rows = [("f", float(p), 0.1, 20) for p in rng.uniform(0, 1, 2000)]
+    null = spark.createDataFrame(rows, "feature string, p double, rho double, n long")
+    assert 0.01 < A.fisher_combine(null, ["feature"]).first().p_combined < 0.99
+    strong = spark.createDataFrame([("f", 0.9, 20_000), ("f", 0.95, 20_000), ("f", 1.0, 20_000)], "feature string, rho double, n long")
+    ln = [r.ln_p for r in A.with_log_pvalue(strong).collect()]
+    assert ln[0] < -16_000 and ln[1] < ln[0] and ln[2] == math.log(1e-300)
+
+
 def test_published_fixed_points(spark):
     ci = spark.createDataFrame([(0.494, 183), (-0.253, 183)], "rho double, n long")
     got = [(round(r.ci_low, 4), round(r.ci_high, 4)) for r in A.fisher_interval(ci).collect()]

@@ -105,3 +105,12 @@ def test_error_policies(spark):
     assert values(spark, rows, text.is_error("t")) == [True, False, False, False, False, False]
     assert values(spark, rows, text.is_error("t", "fail")) == [True, False, False, True, True, True]
     assert values(spark, rows, text.is_error("t", "fallback")) == [True, False, False, False, False, True]
+
+
+def test_long_inputs_keep_their_meaning(spark):
+
+
+    df = spark.createDataFrame([("sed " + "-n " * 1500 + "-i s/a/b/ f",), ("sed -n p f",)], "c string")
+    assert [r[0] for r in df.select(shell._sed_writes(F.col("c"))).collect()] == [True, False]
+    out = spark.createDataFrame([("12345678901 passed",), ("99999999999999999999999 passed",)], "o string")
+    assert [r[0] for r in out.select(text.test_counts("o")[0]).collect()] == [12345678901, 0]

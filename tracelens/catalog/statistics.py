@@ -39,7 +39,7 @@ def t_p(r: str, n: str) -> str:
 
 
 def chi_p(x: str, k: str) -> str:
-    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1.0, exp(-{x} / 2) * list_sum(list_transform(range(0, {k}), lambda i: exp(i * ln({x} / 2) - lgamma(i + 1))))) END"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, {k}), lambda i: exp(i * ln({x} / 2) - {x} / 2 - lgamma(i + 1))))) END"
 
 
 def tested(name: str, source: str, keys: str, floor: int = 0, y: str = "success") -> None:
@@ -80,7 +80,7 @@ def by_wave(t):
 
 
 def fisher(t):
-    return A.fisher_combine(within(t), ["feature"])
+    return A.fisher_combine(A.with_log_pvalue(within(t)), ["feature"], log_p="ln_p")
 
 
 @query("flagship_within_stratum", """SELECT feature, k, chi2, mean_rho, same_sign, p_combined, rk AS bh_rank, round(rk / m * 0.05::DOUBLE, 6) AS bh_threshold,
@@ -174,8 +174,8 @@ def _t8(t):
 @query("t9_bonferroni", "SELECT stratum, feature, p, least(p * count(p) OVER (), 1) AS p_bonf, p < 0.05::DOUBLE / count(p) OVER () AS survives FROM within WHERE p IS NOT NULL", dbl="p p_bonf")
 def _t9(t):
     out = A.bonferroni(within(t).where(F.col("p").isNotNull()))
-    m = F.count("p").over(A.Window.partitionBy())
-    return out.select("stratum", "feature", "p", "p_bonf", (F.col("p") < 0.05 / m).alias("survives"))
+    m = within(t).agg(F.count("p").alias("m"))
+    return out.crossJoin(F.broadcast(m)).select("stratum", "feature", "p", "p_bonf", (F.col("p") < 0.05 / F.col("m")).alias("survives"))  # one row
 
 
 @query("t10_benjamini_hochberg", """SELECT stratum, feature, p, rk AS bh_rank, round(rk / m * 0.2::DOUBLE, 6) AS bh_threshold,

@@ -45,7 +45,7 @@ def _pipeline_writes(cmd: Column) -> Column:
 
 def _sed_writes(cmd: Column) -> Column:
     """-i among the options that precede the script."""
-    args = F.slice(_words(cmd), 2, 1000)
+    args = F.slice(_words(cmd), 2, F.size(_words(cmd)))
     folded = F.aggregate(
         args,
         F.struct(F.lit(True).alias("open"), F.lit(False).alias("hit")),

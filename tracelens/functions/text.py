@@ -208,7 +208,7 @@ def verdict(c) -> Column:
 
 
 def _number(c, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(_text(c), pattern, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(_text(c), pattern, 1), F.lit("")).try_cast("bigint")
 
 
 def test_counts(c) -> tuple[Column, Column]:

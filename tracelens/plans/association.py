@@ -7,6 +7,8 @@ counted before any shuffle and no group is gathered in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +84,19 @@ def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", min_n:
     return out
 
 
+PERFECT = 0.9999999999  # beyond it a correlation counts as exact, and its p as 1e-300
+
+
+def with_log_pvalue(df: DataFrame, rho: str = "rho", n: str = "n", out: str = "ln_p") -> DataFrame:
+    """ln of the two-sided p of a rank correlation by the t approximation with n - 2 degrees of freedom."""
+    t = f"{rho} * sqrt(({n} - 2) / (1 - {rho} * {rho}))"
+    exact = (F.abs(rho) > PERFECT) & (F.col(n) > 2)
+    return df.withColumn(out, F.when(exact, math.log(1e-300)).otherwise(special.t_log_pvalue(f"CASE WHEN abs({rho}) <= {PERFECT} THEN {t} END", f"{n} - 2")))
+
+
 def with_pvalue(df: DataFrame, rho: str = "rho", n: str = "n", out: str = "p") -> DataFrame:
-    """Two-sided p of a rank correlation by the t approximation with n - 2 degrees of freedom."""
-    t = f"{rho} * sqrt(({n} - 2) / greatest(1 - {rho} * {rho}, 1e-300D))"
-    return df.withColumn(out, special.t_pvalue(t, f"{n} - 2"))
+    """The same as a p."""
+    return with_log_pvalue(df, rho, n, "_ln_p").withColumn(out, F.exp("_ln_p")).drop("_ln_p")
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str, limit: int = HOT_ROWS,
@@ -152,8 +163,15 @@ def _partial_cut(whole: DataFrame, keys: list[str], extra: list[str], x: str, y:
 
 
 def bonferroni(df: DataFrame, p: str = "p", family: list[str] | None = None, out: str = "p_bonf") -> DataFrame:
-    m = F.count(p).over(Window.partitionBy(*(family or [])))
-    return df.withColumn(out, F.least(F.col(p) * m, F.lit(1.0)))
+    tests = _tests(df, p, family)
+    return tests.withColumn(out, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
+
+
+def _tests(df: DataFrame, p: str, family: list[str] | None) -> DataFrame:
+    """Add ``_m``, the number of tests of the family (of the table when none is given)."""
+    if family:
+        return df.withColumn("_m", F.count(p).over(Window.partitionBy(*family)))
+    return df.crossJoin(F.broadcast(df.agg(F.count(p).alias("_m"))))  # one row
 
 
 def holm(df: DataFrame, tie: str, p: str = "p", family: list[str] | None = None, out: str = "p_holm") -> DataFrame:
@@ -176,13 +194,16 @@ def benjamini_hochberg(df: DataFrame, tie: str, p: str = "p", q: float = 0.05,
     return ranked.withColumn("survives", F.coalesce(F.col("bh_rank") <= last, F.lit(False)))
 
 
-def fisher_combine(df: DataFrame, keys: list[str], p: str = "p", rho: str = "rho", n: str = "n") -> DataFrame:
-    """Fisher's chi-square over strata, the n-weighted mean rho and whether all signs agree."""
+def fisher_combine(df: DataFrame, keys: list[str], p: str = "p", rho: str = "rho", n: str = "n", log_p: str | None = None) -> DataFrame:
+    """Fisher's chi-square over strata, the n-weighted mean rho and whether all signs agree.
+
+    ``log_p`` names a column of ln p, which keeps p below the least double apart.
+    """
     tested = df.where(F.col(p).isNotNull())
-    floor = F.greatest(F.col(p), F.lit(1e-300))
+    ln_p = F.col(log_p) if log_p else F.log(F.col(p))
     sums = tested.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"),
-        (-2 * F.sum(F.log(floor))).alias("chi2"),
+        (-2 * F.sum(ln_p)).alias("chi2"),
         (F.sum(F.col(rho) * F.col(n)) / F.sum(n)).alias("mean_rho"),
         (F.abs(F.sum(F.signum(rho))) == F.count(F.lit(1))).alias("same_sign"),
     )

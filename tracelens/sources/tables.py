@@ -12,28 +12,38 @@ def with_bucket(df: DataFrame, run: str = "run_id", buckets: int = BUCKETS) -> D
     return df.withColumn("run_bucket", F.pmod(F.xxhash64(F.col(run).cast("string")), F.lit(buckets)).cast("int"))
 
 
-def replace_runs(path: str, new: DataFrame, run: str = "run_id", buckets: int = BUCKETS) -> None:
+def replace_runs(path: str, new: DataFrame, run: str = "run_id", buckets: int = BUCKETS, replaced: DataFrame | None = None) -> None:
     """Replace all rows of the runs in ``new``; only the partitions of those runs are rewritten.
 
-    Untouched runs that share a partition are kept: their rows are read, joined out of the
-    replaced set and written back with the new ones in one partition overwrite.
+    ``replaced`` lists the runs that were parsed again, those without a row in ``new`` among them: their old
+    rows go. Untouched runs that share a partition are kept: their rows are read, joined out of the
+    replaced set and written back with the new ones in one partition overwrite. Partitions that
+    become empty are removed.
     """
+    from ..session import materialize
     spark = new.sparkSession
-    fresh = with_bucket(new, run, buckets)
+    fresh = materialize(with_bucket(new, run, buckets))
+    gone = fresh.select(run, "run_bucket").distinct()
+    if replaced is not None:
+        gone = gone.unionByName(with_bucket(replaced.select(run), run, buckets)).distinct()
     try:
         old = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
+    emptied = []
     if old is not None:
-        touched = fresh.select("run_bucket").distinct()
+        touched = gone.select("run_bucket").distinct()
         kept = old.join(F.broadcast(touched), "run_bucket", "left_semi")  # at most ``buckets`` rows
-        kept = kept.join(fresh.select(run).distinct(), run, "left_anti")
-        from ..session import materialize
+        kept = kept.join(gone.select(run).distinct(), run, "left_anti")
         fresh = fresh.unionByName(materialize(kept), allowMissingColumns=True)
+        emptied = [r[0] for r in touched.join(fresh.select("run_bucket").distinct(), "run_bucket", "left_anti").collect()]  # at most ``buckets``
     (fresh.repartition("run_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_bucket").parquet(path))
+    for bucket in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_bucket={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def count_changes(before: DataFrame, after: DataFrame, run: str = "run_id") -> DataFrame:
