@@ -13,7 +13,7 @@ from . import bind as B
 from .registry import query
 from .statistics import rnk
 
-REPS = 40
+PERMUTATIONS, DRAWS = 10_000, 2_000
 
 
 def preds(t):
@@ -44,35 +44,35 @@ def diff_sql(source: str, keys: str, strata: str, x: str, label: str) -> str:
 
 def perm_sql(strata: str, x: str) -> str:
     return f"""WITH usable AS (SELECT * FROM features WHERE {strata} IN (SELECT {strata} FROM features GROUP BY {strata} HAVING min(success) < max(success))),
-    mixed AS ({shuffled_sql('usable', strata, REPS)}), nul AS ({diff_sql('mixed', 'rep', strata, x, 'shuffled')}), seen AS ({diff_sql('usable', '', strata, x, 'success')})
+    mixed AS ({shuffled_sql('usable', strata, PERMUTATIONS)}), nul AS ({diff_sql('mixed', 'rep', strata, x, 'shuffled')}), seen AS ({diff_sql('usable', '', strata, x, 'success')})
     SELECT s.statistic AS observed, count(*) AS permutations, (count(*) FILTER (WHERE abs(round(n.statistic, 12)) >= abs(round(s.statistic, 12))) + 1) / (count(*) + 1) AS p
     FROM nul n, seen s GROUP BY s.statistic"""
 
 
 @query("b1_stratified_permutation", perm_sql("stratum", "f_common"), dbl="observed p", lng="permutations")
 def _b1(t):
-    return R.permutation_test(materialize(t.features), "stratum", "f_common", "success", "run_id", REPS)
+    return R.permutation_test(materialize(t.features), "stratum", "f_common", "success", "run_id", PERMUTATIONS)
 
 
 @query("b2_within_task_permutation", perm_sql("task_id", "f_tokens"), dbl="observed p", lng="permutations")
 def _b2(t):
     f = materialize(t.features)
-    return R.permutation_test(f.join(mixed_tasks(f), "task_id", "left_semi"), "task_id", "f_tokens", "success", "run_id", REPS)
+    return R.permutation_test(f.join(mixed_tasks(f), "task_id", "left_semi"), "task_id", "f_tokens", "success", "run_id", PERMUTATIONS)
 
 
-@query("b4_label_shuffle_auc", f"""WITH mixed AS ({shuffled_sql('preds', 'stratum', REPS)}), nul AS ({auc_sql('mixed', 'rep', 'score', 'shuffled')}), seen AS ({auc_sql('preds', '', 'score', 'success')})
+@query("b4_label_shuffle_auc", f"""WITH mixed AS ({shuffled_sql('preds', 'stratum', PERMUTATIONS)}), nul AS ({auc_sql('mixed', 'rep', 'score', 'shuffled')}), seen AS ({auc_sql('preds', '', 'score', 'success')})
     SELECT s.auc AS observed, count(*) AS permutations, avg(n.auc) AS mean_null, stddev_pop(n.auc) AS sd_null, avg(CASE WHEN round(n.auc, 12) >= round(s.auc, 12) THEN 1.0::DOUBLE ELSE 0 END) AS p
     FROM nul n, seen s WHERE n.auc IS NOT NULL GROUP BY s.auc""", dbl="observed mean_null sd_null p", lng="permutations")
 def _b4(t):
-    return R.shuffle_auc_test(materialize(preds(t)), "stratum", "score", "success", "run_id", REPS)
+    return R.shuffle_auc_test(materialize(preds(t)), "stratum", "score", "success", "run_id", PERMUTATIONS)
 
 
 @query("b5_bootstrap_auc", f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY md5(run_id::VARCHAR), run_id) - 1 AS position, count(*) OVER () AS m FROM preds),
-    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || position), 1, 8))::BIGINT % m AS position FROM placed, range(0, {REPS}) g(rep)),
+    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || position), 1, 8))::BIGINT % m AS position FROM placed, range(0, {DRAWS}) g(rep)),
     sample AS (SELECT d.rep, p.score, p.success FROM drawn d JOIN placed p USING (position)), a AS ({auc_sql('sample', 'rep', 'score', 'success')})
     SELECT count(auc) AS replicates, avg(auc) AS mean, stddev_samp(auc) AS se, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM a""", dbl="mean se low high", lng="replicates")
 def _b5(t):
-    reps = R.bootstrap_auc(preds(t), "score", "success", "run_id", REPS)
+    reps = R.bootstrap_auc(preds(t), "score", "success", "run_id", DRAWS)
     return R.bootstrap_interval(materialize(reps))
 
 
@@ -193,9 +193,9 @@ def _e21(t):
 
 @query("e21_block_bootstrap", f"""WITH c AS (SELECT task_id, sum(f_common) AS s, count(*) AS c FROM features GROUP BY task_id),
     placed AS (SELECT *, row_number() OVER (ORDER BY md5(task_id), task_id) - 1 AS i, count(*) OVER () AS m FROM c),
-    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || i), 1, 8))::BIGINT % m AS i FROM placed, range(0, {REPS}) g(rep))
+    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || i), 1, 8))::BIGINT % m AS i FROM placed, range(0, {DRAWS}) g(rep))
     SELECT rep, sum(s) / sum(c) AS mean FROM drawn JOIN placed USING (i) GROUP BY rep""", dbl="mean", lng="rep")
 def _e21b(t):
-    return R.block_bootstrap_mean(t.features, "task_id", "f_common", REPS)
+    return R.block_bootstrap_mean(t.features, "task_id", "f_common", DRAWS)
 
 

@@ -7,10 +7,15 @@ partitioning gives the same draw.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_ROWS, has_large, positions, quantile
+from ..operators.skew import HOT_ROWS, average_ranks, has_large, positions, quantile
 from ..session import materialize
 from .evaluate import auc
 
@@ -54,6 +59,52 @@ def shuffle_labels(df: DataFrame, strata: str, label: str, unit: str, reps: int,
     return out.drop("_h", "_pos", "_size", "_b", "_left", "_k")
 
 
+#: Replicates that one task draws for one stratum.
+REPS_AT_ONCE = 500
+
+
+def shuffled_sums(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42,
+                  limit: int = HOT_ROWS, at_once: int = REPS_AT_ONCE) -> DataFrame:
+    """Per (rep, stratum): rows ``n``, positives ``n1`` and the sum ``s1`` of x over the shuffled positives, and ``s``.
+
+    The labels are those of ``shuffle_labels``. A task has one stratum and a chunk of replicates, so rows are
+    shuffled once per chunk and not once per replicate; strata beyond ``limit`` rows go the way of
+    ``shuffle_labels`` and add up before the shuffle.
+    """
+    sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_size"))
+    rows = df.join(sizes, strata).select(
+        F.col(strata).cast("string").alias("stratum"), F.col(x).cast("double").alias("x"), F.col(label).cast("int").alias("y"),
+        F.col(unit).cast("string").alias("text"), F.col(unit).alias("unit"), (F.col("_size") <= limit).alias("_fits"))
+
+    def draw(key, table):
+        order = pc.sort_indices(table["unit"])
+        table = table.take(order)
+        values, positives = table["x"].to_numpy(), int(pc.sum(table["y"]).as_py() or 0)
+        units = [u.encode() for u in table["text"].to_pylist()]
+        first = key[1].as_py() * at_once
+        ids = range(first, min(first + at_once, reps))
+        sums = []
+        for rep in ids:
+            head = f"{seed}|{rep}|".encode()
+            digests = np.frombuffer(b"".join([hashlib.md5(head + u).digest() for u in units]), np.dtype("S16")) if units else []
+            wide = np.frombuffer(np.asarray(digests).tobytes(), ">u8").reshape(-1, 2)
+            chosen = np.lexsort((wide[:, 1], wide[:, 0]))[:positives]  # stable: ties follow the unit
+            sums.append(float(values[chosen].sum()))
+        n = len(sums)
+        return pa.table({"rep": pa.array(ids, pa.int32()), "stratum": pa.array([key[0].as_py()] * n, pa.string()), "n": pa.array([len(units)] * n, pa.int64()),
+                         "n1": pa.array([positives] * n, pa.int64()), "s1": pa.array(sums, pa.float64()), "s": pa.array([float(values.sum())] * n, pa.float64())})
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // at_once)))
+    small = rows.where("_fits").withColumn("chunk", chunks).groupBy("stratum", "chunk").applyInArrow(draw, "rep int, stratum string, n long, n1 long, s1 double, s double")
+    if not has_large(df, [strata], limit):
+        return small
+    wide = rows.where("NOT _fits").drop("_fits")
+    mixed = shuffle_labels(wide, "stratum", "y", "unit", reps, seed, 0, limit)
+    one = F.col("shuffled") == 1
+    large = mixed.groupBy("rep", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(one).alias("n1"), F.coalesce(F.sum(F.when(one, F.col("x"))), F.lit(0.0)).alias("s1"), F.sum("x").alias("s"))
+    return small.unionByName(large)
+
+
 def two_class_strata(df: DataFrame, strata: str, label: str) -> DataFrame:
     """Rows of strata that hold both labels."""
     ok = df.groupBy(strata).agg((F.min(label) < F.max(label)).alias("_ok")).where("_ok").select(strata)
@@ -67,16 +118,12 @@ def weighted_difference(df: DataFrame, keys: list[str], strata: str, x: str, lab
     return per.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_d")) / F.sum("_n")).alias("statistic"))
 
 
-def permutation_null(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42,
-                     chunk: int = 1000) -> DataFrame:
-    """The statistic for each replicate, in chunks of replicates that are unioned."""
+def permutation_null(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42, limit: int = HOT_ROWS) -> DataFrame:
+    """The statistic for each replicate."""
     usable = two_class_strata(df.where(F.col(x).isNotNull()), strata, label).select(strata, x, label, unit)
-    parts = None
-    for start in range(0, reps, chunk):
-        mixed = shuffle_labels(usable, strata, label, unit, min(chunk, reps - start), seed, start)
-        one = weighted_difference(mixed, ["rep"], strata, x, "shuffled")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    sums = shuffled_sums(usable, strata, x, label, unit, reps, seed, limit)
+    gap = F.coalesce(F.try_divide("s1", F.col("n1")) - F.try_divide(F.col("s") - F.col("s1"), F.col("n") - F.col("n1")), F.lit(0.0))
+    return sums.groupBy("rep").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("statistic"))
 
 
 def permutation_test(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42) -> DataFrame:
@@ -91,10 +138,17 @@ def permutation_test(df: DataFrame, strata: str, x: str, label: str, unit: str,
 
 
 def shuffle_auc_test(preds: DataFrame, strata: str, score: str, label: str, unit: str, reps: int, seed: int = 42) -> DataFrame:
-    """AUC of fixed scores under labels shuffled within strata; one-sided p without correction."""
+    """AUC of fixed scores under labels shuffled within strata; one-sided p without correction.
+
+    Scores don't change, so their ranks are taken once and a replicate is a sum of the ranks of its positives.
+    """
     seen = auc(preds, [], score, label).select(F.col("auc").alias("observed"))
-    mixed = shuffle_labels(preds.select(strata, score, label, unit), strata, label, unit, reps, seed)
-    null = auc(mixed, ["rep"], score, "shuffled").where(F.col("auc").isNotNull())
+    ranks = average_ranks(preds.select(score, F.lit(1).alias("_one")), [], score, "_one").select(score, "rnk")
+    ranked = preds.select(strata, score, label, unit).join(ranks, score)
+    sums = shuffled_sums(ranked, strata, "rnk", label, unit, reps, seed)
+    per = sums.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("s1").alias("r"))
+    value = F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double"))
+    null = per.select("rep", value.alias("auc")).where(F.col("auc").isNotNull())
     both = null.crossJoin(F.broadcast(seen))  # one row
     return both.groupBy("observed").agg(
         F.count(F.lit(1)).alias("permutations"), F.avg("auc").alias("mean_null"), F.stddev_pop("auc").alias("sd_null"),
