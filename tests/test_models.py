@@ -63,6 +63,17 @@ def test_nested_selection_and_folds(spark):
     assert hashed.select("task", "fold").distinct().count() == 9 and hashed.agg(F.max("fold")).first()[0] <= 3
 
 
+def test_every_task_is_a_fold(spark):
+    for tasks in (50, 51, 300):
+        df = spark.range(tasks * 2).selectExpr("id", f"id % {tasks} AS task", "rand(1) AS x1", "CAST(id % 2 AS INT) AS y")
+        assert M.fold_of(df, "task").groupBy("fold").agg(F.count_distinct("task").alias("t")).where("t = 1").count() == tasks
+    preds, _ = M.cross_validate(df, ["x1"], ["y"], "task")  # 300 folds are more than one block
+    assert preds.count() == 600
+    one = spark.createDataFrame([(1, "a", 0.1, 0), (2, "a", 0.2, 0), (3, "b", 0.3, 1), (4, "b", 0.4, 0)], "id long, task string, x1 double, y int")
+    assert {r.id for r in M.cross_validate(one, ["x1"], ["y"], "task")[0].collect()} == {1, 2}
+    assert M.cross_validate(one, ["x1"], ["y"], "task", one_class="rate")[0].count() == 4
+
+
 def test_stratum_logit(spark):
     rows = data(3)
     df = frame(spark, rows)

@@ -150,15 +150,15 @@ def _m1(t):
 
 @query("m2_leave_task_out")
 def _m2(t):
-    p, _ = M.cross_validate(t.features.select("run_id", "stratum", "success", *FEATURES), FEATURES, ["success"], "stratum")
-    return p.select("run_id", "stratum", "y", "score")
+    p, _ = M.cross_validate(t.features.select("run_id", "task_id", "success", *FEATURES), FEATURES, ["success"], "task_id")
+    return p.select("run_id", "task_id", "y", "score")
 
 
 @query("m3_nested_selection_cv")
 def _m3(t):
     focal = ["en", "fr"]
-    rows = t.features.select("run_id", "stratum", "model", "success", *FEATURES)
-    p, share = M.cross_validate(rows, FEATURES, ["success"], "stratum", select_in=("model", focal))
+    rows = t.features.select("run_id", "task_id", "model", "success", *FEATURES)
+    p, share = M.cross_validate(rows, FEATURES, ["success"], "task_id", select_in=("model", focal))
     stable = t.spark.createDataFrame([(k, v) for k, v in share.items()], "feature string, stability double")
     scores = V.auc(p, [], "score", "y").crossJoin(F.broadcast(V.binary_metrics(p, [], "score", "y").select("accuracy", "brier")))
     return stable.crossJoin(F.broadcast(scores))  # one row of scores
@@ -166,9 +166,9 @@ def _m3(t):
 
 @query("b3_permuted_cv_auc")
 def _b3(t):
-    rows = materialize(t.features.select("run_id", "stratum", "success", *FEATURES))
+    rows = materialize(t.features.select("run_id", "task_id", "stratum", "success", *FEATURES))
     wide, names = M.shuffled_versions(rows, "stratum", "success", "run_id", 20)
-    p, _ = M.cross_validate(wide.drop("success"), FEATURES, names, "stratum", folds=20)
+    p, _ = M.cross_validate(wide.drop("success"), FEATURES, names, "task_id")
     a = V.auc(materialize(p), ["rep"], "score", "y")
     seen = a.where("rep = 0").select(F.col("auc").alias("observed"))
     return a.where("rep > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(

@@ -147,7 +147,7 @@ def _partial_cut(whole: DataFrame, keys: list[str], extra: list[str], x: str, y:
     fit = centred.groupBy(*keys).agg(
         F.sum(w * d2 * d2).alias("_zz"), F.sum(w * d0 * d2).alias("_xz"), F.sum(w * d1 * d2).alias("_yz"),
     )
-    both = centred.join(F.broadcast(fit), keys) if keys else centred.crossJoin(F.broadcast(fit))  # a row per test
+    both = centred.join(fit, keys) if keys else centred.crossJoin(F.broadcast(fit))  # one row
     bx = F.coalesce(F.try_divide("_xz", "_zz"), F.lit(0.0))
     by = F.coalesce(F.try_divide("_yz", "_zz"), F.lit(0.0))
     resid = both.select(

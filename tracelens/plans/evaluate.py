@@ -79,7 +79,7 @@ def vuong(df: DataFrame, keys: list[str], cluster: str, p_a: str, p_b: str, labe
 def agreement_signal(df: DataFrame, level: str, label: str) -> DataFrame:
     """P(correct | agreement level), attached to the rows."""
     rates = df.groupBy(level).agg(F.avg(F.col(label).cast("double")).alias("p_level"))
-    return df.join(F.broadcast(rates), level)  # three levels
+    return df.join(rates, level)
 
 
 def critic_quality(df: DataFrame, keys: list[str], level: str, label: str) -> DataFrame:

@@ -27,13 +27,15 @@ def _by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def fold_of(df: DataFrame, task: str, folds: int) -> DataFrame:
-    """Add ``fold``: one per task when there are at most ``folds`` tasks, else tasks hashed to folds."""
-    tasks = df.select(task).distinct()
-    few = tasks.limit(folds + 1).count() <= folds
-    if few:
-        listed = tasks.withColumn("fold", F.dense_rank().over(Window.orderBy(task)) - 1)
-        return df.join(F.broadcast(listed), task)  # at most ``folds`` rows
+#: Folds whose models share one pass over the rows.
+FOLD_BLOCK = 256
+
+
+def fold_of(df: DataFrame, task: str, folds: int | None = None) -> DataFrame:
+    """Add ``fold``: one per task, however many there are, or tasks hashed to ``folds`` folds when that is given."""
+    if folds is None:
+        listed = df.select(task).distinct().withColumn("fold", F.dense_rank().over(Window.orderBy(task)) - 1)  # one row per task
+        return df.join(listed, task)
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(task).cast("string")), F.lit(folds)).cast("int"))
 
 
@@ -127,8 +129,11 @@ def fit(df: DataFrame, features: list[str], label: str, penalty: float = 1.0) ->
     return {"beta": beta[0, 0], "loglik": float(ll[0, 0]), "hessian": hess[0, 0], "mean": mean[0], "sd": sd[0]}
 
 
-def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[int], mean, sd, beta, base, single) -> DataFrame:
-    """Out-of-fold scores in long form: the row's columns, label version ``rep``, ``y`` and ``score``."""
+def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[int], mean, sd, beta, base, single, one_class: str = "skip") -> DataFrame:
+    """Out-of-fold scores in long form: the row's columns, label version ``rep``, ``y`` and ``score``.
+
+    A training set with one class gives no score (``skip``) or its rate (``rate``).
+    """
     _by_value()
     ids = [c for c in df.columns if c not in features and c not in labels]
     at = {f: i for i, f in enumerate(folds)}
@@ -140,7 +145,8 @@ def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[i
             eta = np.einsum("np,nrp->nr", z, beta[i][..., 1:]) + beta[i][..., 0]
             prob = np.where(single[i], base[i], 1 / (1 + np.exp(-eta)))
             for r, name in enumerate(labels):
-                yield b[ids].assign(rep=r, y=b[name].to_numpy(int), score=prob[:, r])
+                out = b[ids].assign(rep=r, y=b[name].to_numpy(int), score=prob[:, r])
+                yield out[~single[i][:, r]] if one_class == "skip" else out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in ids)
     return df.mapInPandas(score, f"{schema}, rep int, y int, score double")
@@ -166,14 +172,15 @@ def _select(df: DataFrame, features: list[str], labels: list[str], folds: list[i
     return mask
 
 
-def cross_validate(df: DataFrame, features: list[str], labels: list[str], task: str, folds: int = 50, penalty: float = 1.0,
+def cross_validate(df: DataFrame, features: list[str], labels: list[str], task: str, folds: int | None = None, penalty: float = 1.0,
                    select_in: tuple[str, list[str]] | None = None, rho: float = 0.15, p: float = 0.10, min_n: int = 5,
-                   limit: int = HOT_ROWS) -> tuple[DataFrame, dict[str, float]]:
+                   limit: int = HOT_ROWS, one_class: str = "skip") -> tuple[DataFrame, dict[str, float]]:
     """Leave-task-out predictions for each label version, and each feature's selection share.
 
-    Up to ``folds`` tasks are left out one by one; more tasks are grouped into that many
-    folds, a task never split. ``select_in`` = (stratum column, focal strata) turns on
-    feature selection inside each fold. A training set with one class predicts its rate.
+    Every task is left out by itself, in blocks of folds per pass; with ``folds`` tasks are hashed to that
+    many folds, a task never split. Nothing depends on the number of tasks. ``select_in`` = (stratum column,
+    focal strata) turns on feature selection inside each fold. A training set with one class is skipped, or
+    predicts its rate with ``one_class="rate"``.
     """
     keep = [task] + ([select_in[0]] if select_in else [])
     cast = [F.col(f).cast("double").alias(f) for f in features]
@@ -187,8 +194,13 @@ def cross_validate(df: DataFrame, features: list[str], labels: list[str], task:
     mask = np.ones((len(ids), len(labels), len(features)))
     if select_in:
         mask = _select(rows, features, labels, ids, select_in[0], select_in[1], rho, p, min_n, limit)
-    beta, _, _ = newton(rows, features, labels, ids, mean, sd, mask, penalty)
-    preds = predict(rows, features, labels, ids, mean, sd, beta, rate, single)
+    preds = None
+    for i in range(0, len(ids), FOLD_BLOCK):
+        at = slice(i, i + FOLD_BLOCK)
+        beta, _, _ = newton(rows, features, labels, ids[at], mean[at], sd[at], mask[at], penalty)
+        own = rows if len(ids) <= FOLD_BLOCK else rows.where(F.col("fold").isin(ids[at]))
+        part = predict(own, features, labels, ids[at], mean[at], sd[at], beta, rate[at], single[at], one_class)
+        preds = part if preds is None else preds.unionByName(part)
     share = {f: float(mask[:, 0, j].mean()) for j, f in enumerate(features)}
     return preds, share
 
