@@ -12,23 +12,28 @@ def stream(t):
     return S.read_calls(t.spark, t.sf_dir, t.events.schema, "events.parquet").withColumn("failed", F.col("event_type") == "error")
 
 
-@query("x1_error_monitor")
+_WINDOWS = """SELECT user_id % 8 AS run_group, epoch_us(time_bucket(INTERVAL 1 hour, ts)) // 1000000 AS window_start, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
+    avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS error_rate FROM events GROUP BY ALL"""
+
+
+@query("x1_error_monitor", f"""SELECT * FROM ({_WINDOWS}) WHERE window_start + 3600 <= (SELECT floor(epoch_us(max(ts)) / 1000) / 1000 - 600 FROM events)""", dbl="error_rate", lng="run_group window_start calls errors")
 def _x1(t):
-    """Windows that the watermark has closed; equal to the batch table but for the last ones."""
+    """Windows that the watermark has closed: those that end ten minutes or more before the last event."""
     rows = stream(t).withColumn("run_group", F.pmod("user_id", F.lit(8)))
-    return S.drain(S.error_monitor(rows, "run_group", F.col("failed")))
+    return S.drain(S.error_monitor(rows, "run_group", F.col("failed"))).withColumn("window_start", F.unix_seconds("window_start"))
 
 
-@query("x1_error_monitor_batch", """SELECT user_id % 8 AS run_group, epoch_us(time_bucket(INTERVAL 1 hour, ts)) // 1000000 AS window_start, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
-    avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS error_rate FROM events GROUP BY ALL""", dbl="error_rate", lng="run_group window_start calls errors")
+@query("x1_error_monitor_batch", _WINDOWS, dbl="error_rate", lng="run_group window_start calls errors")
 def _x1b(t):
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("run_group", F.pmod("user_id", F.lit(8)))
     out = S.monitor_batch(rows, "run_group", F.col("event_type") == "error")
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
-@query("x2_streak_alert", """WITH s AS (SELECT user_id, event_id, event_type = 'error' AS bad, row_number() OVER w - coalesce(max(CASE WHEN event_type <> 'error' THEN event_rank END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS streak
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS event_rank FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+@query("x2_streak_alert", """WITH past AS (SELECT * FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 minute FROM events)),
+    s AS (SELECT user_id, event_id, event_type = 'error' AS bad, row_number() OVER w - coalesce(max(CASE WHEN event_type <> 'error' THEN event_rank END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS streak
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_rank FROM past) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id::VARCHAR AS run_id, event_id AS position, 3 AS streak FROM s WHERE bad AND streak = 3""", lng="position streak")
 def _x2(t):
+    """Alerts up to the watermark, ten minutes before the last event."""
     return S.drain(S.streak_alerts(stream(t), "user_id", "event_id", "failed", 3))
