@@ -223,10 +223,12 @@ B.CTES["xref"] = """SELECT *, CASE WHEN passed > 0 AND failed = 0 AND NOT is_err
 def _xref(t):
     target = F.array(F.concat(F.lit("m"), F.pmod("run_id", F.lit(50)).cast("string"), F.lit(".py")))
     ex = _event_executions(t)
-    return Q.cross_reference(ex, ex.select("run_id").distinct().select("run_id", target.alias("targets")))
+    every = ex.select("run_id").unionByName(t.call_runs.select("run_id")).distinct()
+    return Q.cross_reference(ex, every.select("run_id", target.alias("targets")))
 
 
-@query("q2_cross_reference", "SELECT run_id, passed, failed, hits, verdict, CASE WHEN verdict = 'unclear' THEN 'low' WHEN hits > 0 THEN 'high' ELSE 'medium' END AS confidence FROM xref", lng="passed failed hits")
+@query("q2_cross_reference", """SELECT run_id, passed, failed, hits, coalesce(verdict, 'no_tests') AS verdict, CASE WHEN verdict IS NULL THEN 'none' WHEN verdict = 'unclear' THEN 'low' WHEN hits > 0 THEN 'high' ELSE 'medium' END AS confidence
+    FROM xref FULL JOIN (SELECT DISTINCT run_id FROM call_runs) USING (run_id)""", lng="passed failed hits")
 def _q2(t):
     return _xref(t).select("run_id", "passed", "failed", "hits", "verdict", "confidence")
 
@@ -243,16 +245,22 @@ def _q3(t):
     return Q.edit_log(t.blocks).select("run_id", "line_no", "block_pos", "tool_name", "path", "ok")
 
 
-@query("q4_edit_replay", """SELECT c.run_id, 'm' || (k % 3) || '.py' AS path, count(*) AS edits FROM calls c WHERE tool_name IN ('Edit', 'Write') GROUP BY ALL""", lng="edits")
+@query("q4_edit_replay", """SELECT * FROM (WITH RECURSIVE e AS (SELECT run_id, 'm' || (k % 3) || '.py' AS path, tool_name, 'start ' || k AS content, substr(k::VARCHAR, 1, 1) AS old,
+        row_number() OVER (PARTITION BY run_id, k % 3 ORDER BY event_id) AS i FROM calls WHERE tool_name IN ('Edit', 'Write')),
+    r AS (SELECT DISTINCT e.run_id, e.path, 0::BIGINT AS i, CASE WHEN e.path = 'm1.py' THEN d.text END AS t, 0::BIGINT AS applied, 0::BIGINT AS failed FROM e LEFT JOIN documents d ON d.doc_id = e.run_id
+        UNION ALL SELECT r.run_id, r.path, e.i, CASE WHEN e.tool_name = 'Write' THEN e.content WHEN contains(r.t, e.old) THEN substr(r.t, 1, instr(r.t, e.old) - 1) || '9' || substr(r.t, instr(r.t, e.old) + 1) ELSE r.t END,
+            r.applied + CASE WHEN e.tool_name = 'Write' OR coalesce(contains(r.t, e.old), false) THEN 1 ELSE 0 END, r.failed + CASE WHEN e.tool_name = 'Write' OR coalesce(contains(r.t, e.old), false) THEN 0 ELSE 1 END
+        FROM r JOIN e ON e.run_id = r.run_id AND e.path = r.path AND e.i = r.i + 1)
+    SELECT run_id, path, md5(t) AS text_md5, applied, failed FROM r QUALIFY row_number() OVER (PARTITION BY run_id, path ORDER BY i DESC) = 1)""", lng="applied failed")
 def _q4(t):
-    """Edits of event runs over files made of the labelled text; every edit is applied or fails."""
+    """Edits of event runs over files made of the labelled text: final texts and what was applied."""
     path = F.concat(F.lit("m"), F.pmod("k", F.lit(3)).cast("string"), F.lit(".py"))
     edits = t.raw_calls.where("tool_name in ('Edit', 'Write')").select(
         "run_id", F.col("event_id").alias("line_no"), F.lit(0).alias("block_pos"), "tool_name", path.alias("path"),
         F.concat(F.lit("start "), F.col("k").cast("string")).alias("content"), F.substring(F.col("k").cast("string"), 1, 1).alias("old"),
         F.lit("9").alias("new"), F.lit(True).alias("ok"))
     files = t.documents.select(F.col("doc_id").alias("run_id"), F.lit("m1.py").alias("path"), "text")
-    return Q.replay_edits(edits, files).select("run_id", "path", (F.col("applied") + F.col("failed")).alias("edits"))
+    return Q.replay_edits(edits, files).select("run_id", "path", F.md5("text").alias("text_md5"), "applied", "failed")
 
 
 @query("q6_quality_checks", """SELECT 'runs_without_calls' AS issue, 'WARN' AS severity, count(*) FILTER (WHERE run_id NOT IN (SELECT user_id FROM events)) AS n FROM call_runs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.gates import kappa
 from ..operators.runs import majority
-from ..operators.skew import average_ranks
+from ..operators.skew import average_ranks, quantile
 from ..plans import association as A
 from ..plans import evidence as E
 from ..sources import tables
@@ -262,9 +262,10 @@ def _t17(t):
 
 @query("t18_polarity", """SELECT a.feature, a.rho AS rho_a, a.p AS p_a, b.rho AS rho_b, b.p AS p_b, CASE WHEN a.rho IS NULL OR b.rho IS NULL THEN NULL WHEN a.p < 0.05 AND b.p < 0.05 AND sign(a.rho) = sign(b.rho) THEN 'same direction'
     WHEN a.p < 0.05 AND b.p < 0.05 THEN 'flipped' WHEN a.p < 0.05 OR b.p < 0.05 THEN 'model specific' WHEN sign(a.rho) <> sign(b.rho) THEN 'suggestive' ELSE 'none' END AS kind
-    FROM by_model a JOIN by_model b USING (feature) WHERE a.model = 'en' AND b.model = 'fr'""", dbl="rho_a p_a rho_b p_b")
+    FROM by_model a JOIN by_model b USING (feature) WHERE a.model < b.model""".replace("SELECT a.feature,", "SELECT a.model AS model_a, b.model AS model_b, a.feature,"), dbl="rho_a p_a rho_b p_b")
 def _t18(t):
-    return E.polarity(by_model(t), ["feature"], "model", "en", "fr")
+    """Every pair of models."""
+    return E.polarity(by_model(t), ["feature"], "model")
 
 
 B.CTES["layered"] = f"""SELECT role AS layer, f.feature, f.x, l.quality AS success FROM (SELECT conv_id, role, avg(length(text)) AS chars, avg({B.per_tok(B.sub_hits('text', B.COMMON_PARTS), 'text')}) AS parts FROM conversations WHERE role <> 'system' GROUP BY ALL) c
@@ -302,18 +303,31 @@ def _t21(t):
     return E.replication(by_wave(t), ["feature"], "wave", 0, 1)
 
 
-_VOTES = """SELECT stratum, max(CASE WHEN model = 'en' THEN vote END) AS a, max(CASE WHEN model = 'fr' THEN vote END) AS b FROM (
-    SELECT stratum, model, CASE WHEN avg(success) > 0.85 THEN 1 ELSE 0 END AS vote FROM runs WHERE model IN ('en', 'fr') GROUP BY ALL) GROUP BY stratum"""
+B.CTES["votes"] = """SELECT stratum, model, CASE WHEN avg(long) > 0.5 THEN 1 ELSE 0 END AS vote FROM
+    (SELECT stratum, model, CAST(f_tokens > (SELECT quantile_cont(f_tokens, 0.5) FROM features) AS INT) AS long FROM features) GROUP BY stratum, model"""
 
 
-@query("t22_model_agreement", f"""WITH v AS (SELECT * FROM ({_VOTES}) WHERE a IS NOT NULL AND b IS NOT NULL),
-    s AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM v)
-    SELECT n, po AS agreement, (po - pe) / nullif(1 - pe, 0) AS kappa FROM s""", dbl="agreement kappa", lng="n")
+def _votes(t):
+    """Majority vote of each model per stratum on whether a text is longer than the median; an even split is a no."""
+    mid = quantile(t.features, [], "f_tokens", [0.5])
+    rows = t.features.crossJoin(F.broadcast(mid)).withColumn("long", (F.col("f_tokens") > F.col("q0")).cast("int"))  # one row
+    votes = majority(rows, ["stratum", "model"], 0, "long").select("stratum", "model", "vote")
+    a = votes.select("stratum", F.col("model").alias("model_a"), F.col("vote").alias("a"))
+    return a.join(votes.select("stratum", F.col("model").alias("model_b"), F.col("vote").alias("b")), "stratum").where("model_a < model_b")
+
+
+@query("t22_model_agreement", """WITH v AS (SELECT x.model AS model_a, y.model AS model_b, x.vote AS a, y.vote AS b FROM votes x JOIN votes y USING (stratum) WHERE x.model < y.model),
+    s AS (SELECT model_a, model_b, count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM v GROUP BY ALL)
+    SELECT model_a, model_b, n, po AS agreement, (po - pe) / nullif(1 - pe, 0) AS kappa FROM s""", dbl="agreement kappa", lng="n")
 def _t22(t):
-    """Votes of two models per source; an outcome above the base rate counts as a pass."""
-    votes = majority(t.runs.where("model in ('en', 'fr')"), ["stratum", "model"]).withColumn("vote", (F.col("rate") > 0.85).cast("int"))
-    wide = votes.groupBy("stratum").pivot("model", ["en", "fr"]).agg(F.first("vote"))
-    return kappa(wide, [], "en", "fr")
+    """Agreement of the majority votes of every pair of models over strata."""
+    return kappa(_votes(t), ["model_a", "model_b"], "a", "b")
+
+
+@query("t22_stratum_agreement", """SELECT stratum, count(*) AS pairs, count(*) FILTER (WHERE x.vote = y.vote) AS agree FROM votes x JOIN votes y USING (stratum) WHERE x.model < y.model GROUP BY stratum""", lng="pairs agree")
+def _t22b(t):
+    """The same per stratum: pairs of models, and pairs that agree."""
+    return _votes(t).groupBy("stratum").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("agree"))
 
 
 @query("t23_within_between", "SELECT run_id, avg(f_tokens) OVER (PARTITION BY stratum) AS between, f_tokens - avg(f_tokens) OVER (PARTITION BY stratum) AS within FROM features", dbl="between within")
@@ -329,8 +343,15 @@ def _t23b(t):
     return E.intraclass(t.features, "stratum", "f_tokens")
 
 
-@query("j12_common_survivors", "SELECT feature FROM by_model WHERE model = 'en' AND p < 0.3 INTERSECT SELECT feature FROM by_model_toxic WHERE model = 'en' AND p < 0.3")
+@query("j12_common_survivors", "SELECT feature, count(*) AS models FROM by_model WHERE p < 0.3 GROUP BY feature HAVING count(*) >= 2", lng="models")
 def _j12(t):
+    """Features that survive in two models or more."""
+    return by_model(t).where("p < 0.3").groupBy("feature").agg(F.count("*").alias("models")).where("models >= 2")
+
+
+@query("j12_survivors_of_outcomes", "SELECT model, feature FROM by_model WHERE p < 0.3 INTERSECT SELECT model, feature FROM by_model_toxic WHERE p < 0.3")
+def _j12b(t):
+    """Features that survive for both outcomes, in each model."""
     other = result(t, "_by_model_toxic", ["model", "feature"], 5, y="toxic")
-    hit = lambda r: r.where("model = 'en' AND p < 0.3").select("feature")
+    hit = lambda r: r.where("p < 0.3").select("model", "feature")
     return hit(by_model(t)).intersect(hit(other))

@@ -260,7 +260,7 @@ def is_error(result_json, null_policy: str = "ok") -> Column:
     unless the raw text contains an error flag.
     """
     raw = _col(result_json)
-    flag = F.lower(F.get_json_object(raw, "$.is_error")) == "true"
+    flag = F.from_json(raw, "is_error boolean")["is_error"]  # a JSON boolean; the text "true" is no flag
     readable = F.get_json_object(raw, "$").isNotNull()
     if null_policy == "fail":
         return F.when(readable, F.coalesce(flag, F.lit(False))).otherwise(F.lit(True))

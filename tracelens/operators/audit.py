@@ -22,7 +22,7 @@ def test_executions(blocks: DataFrame) -> DataFrame:
 
 
 def cross_reference(executions: DataFrame, targets: DataFrame) -> DataFrame:
-    """One verdict per run from its best-matching test execution.
+    """One verdict per run of ``targets`` from its best-matching test execution, ``no_tests`` for a run that has none.
 
     ``targets`` has (run_id, targets array). Most target hits win, the first of equals; without
     any hit the last execution counts. Executions of a run are reduced, never gathered.
@@ -41,7 +41,9 @@ def cross_reference(executions: DataFrame, targets: DataFrame) -> DataFrame:
         .when(F.col("is_error"), F.when(missing, "env_error").otherwise("fail")).otherwise("unclear"))
     out = one.withColumn("verdict", verdict)
     sure = F.col("verdict").isin("pass", "fail")
-    return out.withColumn("confidence", F.when(sure & (F.col("hits") > 0), "high").when(sure, "medium").otherwise("low"))
+    judged = out.withColumn("confidence", F.when(sure & (F.col("hits") > 0), "high").when(sure, "medium").otherwise("low"))
+    every = targets.select("run_id").distinct().join(judged, "run_id", "left")
+    return every.withColumn("verdict", F.coalesce("verdict", F.lit("no_tests"))).withColumn("confidence", F.coalesce("confidence", F.lit("none")))
 
 
 def relabel(runs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def tier(within_p: Column, combined_p: Column, permutation_p: Column, same_sign:
         .when(hits == 3, "gold").when(hits == 2, "silver").when(hits == 1, "moderate").otherwise("null"))
 
 
-def polarity(result: DataFrame, keys: list[str], side: str, a: str, b: str) -> DataFrame:
-    """Compare two models' results for the same test."""
-    pick = lambda v, n: result.where(F.col(side) == v).select(*keys, F.col("rho").alias(f"rho_{n}"), F.col("p").alias(f"p_{n}"))
-    both = pick(a, "a").join(pick(b, "b"), keys)
+def polarity(result: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Compare every two models' results for the same test, as ``<side>_a`` and ``<side>_b``."""
+    pick = lambda n: result.select(*keys, F.col(side).alias(f"{side}_{n}"), F.col("rho").alias(f"rho_{n}"), F.col("p").alias(f"p_{n}"))
+    both = pick("a").join(pick("b"), keys).where(F.col(f"{side}_a") < F.col(f"{side}_b"))
     sa, sb = F.col("p_a") < 0.05, F.col("p_b") < 0.05
     agree = F.signum("rho_a") == F.signum("rho_b")
     kind = (
