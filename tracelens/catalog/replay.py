@@ -120,10 +120,12 @@ def _g9b(t):
     return decisions(t).where("verdict = 'block'").groupBy("condition", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g10_condition_comparison", """WITH b AS (SELECT avg(1.0::DOUBLE - success) AS base FROM call_runs), w AS (SELECT max(CASE WHEN condition = 'A1' THEN precision END) AS a1p, max(CASE WHEN condition = 'B1' THEN precision END) AS b1p,
-    max(CASE WHEN condition = 'A1' THEN f1 END) AS a1, max(CASE WHEN condition = 'B1' THEN f1 END) AS b1, max(CASE WHEN condition = 'B2' THEN f1 END) AS b2, max(CASE WHEN condition = 'B3' THEN f1 END) AS b3 FROM gate_metrics)
-    SELECT unnest(['A1 over base', 'B1 over base', 'early minus always', 'critic minus self', 'both minus self', 'both minus critic']) AS contrast,
-        unnest([a1p - base, b1p - base, a1 - b1, b2 - b1, b3 - b1, b3 - b2]) AS difference FROM w, b""", dbl="difference")
+_CONTRASTS = [*[(f"{x}{i} over base", f"{x}{i}", "") for x in "AB" for i in (1, 2, 3)], *[(f"A{i} minus B{i}", f"A{i}", f"B{i}") for i in (1, 2, 3)],
+              *[(f"{x}{i} minus {x}{j}", f"{x}{i}", f"{x}{j}") for x in "AB" for i, j in ((3, 1), (3, 2), (2, 1))]]
+
+
+@query("g10_condition_comparison", f"""SELECT n.contrast, CASE WHEN n.b = '' THEN x.precision - (SELECT avg(1.0::DOUBLE - success) FROM call_runs) ELSE x.f1 - y.f1 END AS difference
+    FROM (VALUES {', '.join(map(str, _CONTRASTS))}) n(contrast, a, b) LEFT JOIN gate_metrics x ON x.condition = n.a LEFT JOIN gate_metrics y ON y.condition = n.b""", dbl="difference")
 def _g10(t):
     base = t.call_runs.agg(F.avg(1 - F.col("success").cast("double")).alias("base"))
     return G.compare_conditions(G.gate_metrics(decisions(t), t.call_runs), base)

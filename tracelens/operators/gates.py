@@ -129,7 +129,8 @@ def run_gate_metrics(decisions: DataFrame, runs: DataFrame, keys: list[str]) ->
 
 
 def compare_conditions(metrics: DataFrame, base_fail_rate: DataFrame) -> DataFrame:
-    """Precision above the base failure rate and the contrasts between condition pairs."""
+    """Precision above the base failure rate for each condition, and F1 contrasts: early against always, both
+    gates against either, critic against self."""
     m = metrics.select("condition", "precision", "recall", "f1")
     wide = m.groupBy().pivot("condition", ["A1", "A2", "A3", "B1", "B2", "B3"]).agg(
         F.first("precision").alias("p"), F.first("f1").alias("f"))
@@ -137,9 +138,9 @@ def compare_conditions(metrics: DataFrame, base_fail_rate: DataFrame) -> DataFra
     pairs = F.array(*[
         F.struct(F.lit(name).alias("contrast"), value.alias("difference"))
         for name, value in [
-            ("A1 over base", c("A1_p") - c("base")), ("B1 over base", c("B1_p") - c("base")),
-            ("early minus always", c("A1_f") - c("B1_f")), ("critic minus self", c("B2_f") - c("B1_f")),
-            ("both minus self", c("B3_f") - c("B1_f")), ("both minus critic", c("B3_f") - c("B2_f")),
+            *[(f"{x}{i} over base", c(f"{x}{i}_p") - c("base")) for x in "AB" for i in (1, 2, 3)],
+            *[(f"A{i} minus B{i}", c(f"A{i}_f") - c(f"B{i}_f")) for i in (1, 2, 3)],
+            *[(f"{x}{i} minus {x}{j}", c(f"{x}{i}_f") - c(f"{x}{j}_f")) for x in "AB" for i, j in ((3, 1), (3, 2), (2, 1))],
         ]])
     one = wide.crossJoin(F.broadcast(base_fail_rate))  # one row each
     return one.select(F.explode(pairs).alias("_p")).select("_p.*")
