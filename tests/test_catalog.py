@@ -15,6 +15,14 @@ def test_registry_needs_no_session_and_covers_oracles():
     assert set(sql) <= set(queries) and len(queries) > 170
 
 
+def test_stages_are_released(spark, tmp_path):
+    from tracelens.session import materialize, release
+
+    release(spark)
+    stage = materialize(spark.range(5))
+    assert stage.count() == 5 and release(spark) == 1 and release(spark) == 0
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
     con = connect(SF)

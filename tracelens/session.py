@@ -45,4 +45,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGES: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the stages that ``materialize`` has written so far; results that still read them must be stored before."""
+    done = 0
+    while _STAGES:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        done += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return done
