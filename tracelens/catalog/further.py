@@ -14,7 +14,7 @@ from ..plans import evaluate as V
 from . import bind as B
 from .registry import query
 from .sequences import LONG_FEATURES, annotated
-from .statistics import rho_sql, within
+from .statistics import rho_sql, t_p, within
 
 AT = B.ascii_of("text")
 # Sentences, function-like words and clause starts that occur in the given texts.
@@ -204,10 +204,14 @@ def _e16(t):
 
 
 @query("e17_discriminative_words", f"""WITH w AS (SELECT success, unnest(list_distinct({B.toks('lower(text)')})) AS word FROM runs), n AS (SELECT count(*) FILTER (WHERE success = 1) AS p, count(*) FILTER (WHERE success = 0) AS f FROM runs)
-    SELECT word, count(*) FILTER (WHERE success = 1) AS pass_docs, count(*) FILTER (WHERE success = 0) AS fail_docs, (count(*) FILTER (WHERE success = 1) / any_value(p)) / nullif(count(*) FILTER (WHERE success = 0) / any_value(f), 0) AS ratio
-    FROM w, n GROUP BY word HAVING count(*) >= 5""", dbl="ratio", lng="pass_docs fail_docs")
+    SELECT *, {t_p('rho', 'n')} AS p FROM (SELECT word, a AS pass_docs, b AS fail_docs, (a / p) / nullif(b / f, 0) AS ratio, p + f AS n,
+        (a * (f - b) - b * (p - a)) / nullif(sqrt(((a + b) * (p + f - a - b))::DOUBLE) * sqrt((p * f)::DOUBLE), 0) AS rho
+        FROM (SELECT word, count(*) FILTER (WHERE success = 1) AS a, count(*) FILTER (WHERE success = 0) AS b FROM w GROUP BY word HAVING count(*) FILTER (WHERE success IN (0, 1)) >= 1), n)""", dbl="ratio rho p", lng="pass_docs fail_docs n")
 def _e17(t):
-    return X.discriminative_words(t.runs, "text", "success", 5)
+    """Every word, with its association; words of equal counts share one tail."""
+    words = X.discriminative_words(t.runs, "text", "success", 1)
+    tails = A.with_pvalue(words.select("pass_docs", "fail_docs", "n", "rho").distinct()).select("pass_docs", "fail_docs", "p")
+    return words.join(tails, ["pass_docs", "fail_docs"])
 
 
 @query("e18_holm_blocks", """SELECT stratum, feature, p, max(step) OVER (PARTITION BY stratum ORDER BY p, feature ROWS UNBOUNDED PRECEDING) AS p_holm, least(p * count(*) OVER (PARTITION BY feature), 1) AS p_block FROM (
@@ -218,7 +222,25 @@ def _e18(t):
     return out.select("stratum", "feature", "p", "p_holm", "p_block")
 
 
-@query("e19_variance_inflation")
+def _vif_sql() -> str:
+    """1 / (1 - R^2) of each feature on the others, taking the others out one after the other by partial correlation."""
+    name = lambda a, b: "r_" + "_".join(sorted((a, b)))
+    pairs = [(a, b) for i, a in enumerate(LONG_FEATURES) for b in LONG_FEATURES[i + 1:]]
+    whole = " AND ".join(f"{f} IS NOT NULL" for f in LONG_FEATURES)
+    base = f"SELECT {', '.join(f'CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE coalesce(corr({a}, {b}), 0) END AS {name(a, b)}' for a, b in pairs)} FROM features WHERE {whole}"
+    out = []
+    for f in LONG_FEATURES:
+        rest, table = [x for x in LONG_FEATURES if x != f], f"(SELECT *, 1.0::DOUBLE AS left_over FROM ({base}))"
+        while rest:
+            z, rest = rest[0], rest[1:]
+            own = [(a, b) for i, a in enumerate([f, *rest]) for b in [f, *rest][i + 1:]]
+            step = [f"({name(a, b)} - {name(a, z)} * {name(b, z)}) / sqrt((1 - pow({name(a, z)}, 2)) * (1 - pow({name(b, z)}, 2))) AS {name(a, b)}" for a, b in own]
+            table = f"(SELECT {', '.join([*step, f'left_over * (1 - pow({name(f, z)}, 2)) AS left_over'])} FROM {table})"
+        out.append(f"SELECT '{f}' AS feature, 1 / left_over AS vif, 1 / left_over > 5 AS flagged FROM {table}")
+    return " UNION ALL ".join(out)
+
+
+@query("e19_variance_inflation", _vif_sql(), dbl="vif")
 def _e19(t):
     return X.vif(t.features, LONG_FEATURES)
 

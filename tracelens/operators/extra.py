@@ -197,7 +197,8 @@ def substantive_error_rate(calls: DataFrame, output: str, pattern: str = INFRAST
 
 
 def discriminative_words(runs: DataFrame, text: str, success: str, min_docs: int) -> DataFrame:
-    """Per word: passing and failing texts that hold it and the ratio of their shares.
+    """Per word: passing and failing texts that hold it, the ratio of their shares, and the rank correlation of holding
+    it with the outcome (``rho`` over ``n`` texts; of two yes/no columns it follows from the counts).
 
     Words are made distinct inside a text before anything is shuffled.
     """
@@ -207,7 +208,10 @@ def discriminative_words(runs: DataFrame, text: str, success: str, min_docs: int
     totals = runs.agg(F.count_if(F.col(success) == 1).alias("_p"), F.count_if(F.col(success) == 0).alias("_f"))
     both = c.where(F.col("pass_docs") + F.col("fail_docs") >= min_docs).crossJoin(F.broadcast(totals))  # one row
     ratio = F.try_divide(F.col("pass_docs") / F.col("_p"), F.col("fail_docs") / F.col("_f"))
-    return both.select("word", "pass_docs", "fail_docs", ratio.alias("ratio"))
+    have, n = F.col("pass_docs") + F.col("fail_docs"), F.col("_p") + F.col("_f")
+    spread = F.sqrt((have * (n - have)).cast("double")) * F.sqrt((F.col("_p") * F.col("_f")).cast("double"))
+    rho = F.try_divide((F.col("pass_docs") * (F.col("_f") - F.col("fail_docs")) - F.col("fail_docs") * (F.col("_p") - F.col("pass_docs"))).cast("double"), spread)
+    return both.select("word", "pass_docs", "fail_docs", ratio.alias("ratio"), n.alias("n"), rho.alias("rho"))
 
 
 def vif(df: DataFrame, features: list[str]) -> DataFrame:
