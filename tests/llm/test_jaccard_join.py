@@ -3,7 +3,9 @@
 import random
 import re
 
-from tracelens.llm.jaccard_join import jaccard_components
+import numpy as np
+
+from tracelens.llm.jaccard_join import jaccard_components, least_difference, parity_bits
 
 
 def sets(text):
@@ -56,3 +58,12 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 63, 64, 65, 127, 130, 1000, 1030):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[n // 10:], rng.integers(0, 2**63, n // 7).astype(np.uint64))))
+        assert least_difference(parity_bits(a), parity_bits(b)) <= len(np.setxor1d(a, b))
+        assert least_difference(parity_bits(a), parity_bits(a)) == 0

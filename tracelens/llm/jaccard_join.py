@@ -7,10 +7,12 @@ table over all documents whose size follows the corpus up to 2**24 counters (its
 
 1. Equal sets are one *class*; classes with equal size and prefix are one *group*.
 2. Per prefix token, every group meets the token's *pivot*, the group with the fewest rarer tokens
-   before it (in a family of near copies the one with the fewest edits). Size and position filters drop group pairs;
-   the rest are expanded to members and verified on whole sets. This links a family without all its pairs.
+   before it (in a family of near copies the one with the fewest edits). Size and position filters drop group pairs,
+   members are expanded, and parity bitmaps of about n bits drop pairs that differ in too many tokens (each differing
+   token flips one bit, so no link is lost). A member is verified on whole sets with the nearest of its pivots. This
+   links a family without all its pairs.
 3. Then members under one token that aren't in one component yet are compared: cells of equal
-   token, component, size and position are filtered in pairs, passing pairs are expanded and verified.
+   token, component, size and position are filtered in pairs, passing pairs are expanded, filtered by bitmap and verified.
    Pairs inside a component can't change the result, so nothing is lost and nothing is squared.
 
 Defined cases: texts that are null or have no words have an empty set and stand alone; a null id
@@ -103,6 +105,58 @@ def _may_link(a: str, b: str, t: int) -> F.Column:
     return sizes & (bound >= _least_common(f"{a}n", f"{b}n", t))
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parity of the tokens that fall on each of 2**floor(log2 n) bits, 64 at least."""
+    size = 1 << max(6, len(s).bit_length() - 1)
+    return np.packbits((np.bincount(((s >> U64(20)) & U64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of tokens that only one of two sets has."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):  # a longer bitmap folds onto itself
+        p = p.reshape(2, -1)[0] ^ p.reshape(2, -1)[1]
+    while len(q) > len(p):
+        q = q.reshape(2, -1)[0] ^ q.reshape(2, -1)[1]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _near(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose bitmaps leave a link possible, with their least difference."""
+    def test(batches):
+        for batch in batches:
+            found = np.array([least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], np.int64)
+            both = batch.column("an").to_numpy() + batch.column("bn").to_numpy()
+            keep = pa.array(found <= both - 2 * np.ceil(t * both / (100 + t) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(found).filter(keep)], ["a", "b", "apart"])
+
+    x = classes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("x"))
+    y = classes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "an", "bn", "x", "y").mapInArrow(test, "a long, b long, apart long")
+
+
+FILTER_BITS = 27
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that may be among ids, by a Bloom filter of at most 2**27 bits; others stay where they are."""
+    size = 1 << min(FILTER_BITS, max(10, (16 * max(1, ids.count())).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
+    words = ids.select(place.alias("place")).selectExpr("CAST(place DIV 64 AS INT) AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**21 rows
+    table = np.zeros(size // 64 + 1, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63)) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(hit == 1))
+
+    return docs.where("id IS NOT NULL").select("id", "text", place.alias("place")).mapInArrow(run, "id long, text string")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, t: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link; homes: a document of each node."""
     def sets(out: list[str]):
@@ -127,6 +181,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, t: int)
                 hit.append(100 * common >= t * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
+    # the pairs are a written table, so that they are cheap to read again
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    docs = _only(docs, ends.join(homes, "node").select(F.col("home").alias("id")).distinct())
     left = pairs.join(homes.select(F.col("node").alias("a"), F.col("home").alias("id")), "a")
     right = pairs.select(F.col("b").alias("node")).distinct().join(homes.select("node", F.col("home").alias("id")), "node")
     x = docs.join(left, "id").select("a", "b", F.col("a").alias("node"), "text").mapInArrow(sets(["a", "b"]), "a long, b long, tokens binary").withColumnRenamed("tokens", "x")
@@ -145,7 +202,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sketch(batches):
         level = shared.value
         for batch in batches:
-            n, node, prefix = [], [], []
+            n, node, prefix, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 p = len(s) - (-(-t * len(s) // 100)) + 1 if len(s) else 0
                 rank = level[(s & U64(len(level) - 1)).astype(np.int64)]
@@ -153,10 +210,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 n.append(len(s))
                 node.append(_fingerprint(s))
                 prefix.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], ["id", "n", "node", "prefix"])
+                bits.append(parity_bits(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
+                                             ["id", "n", "node", "prefix", "bits"])
 
-    sketches = materialize(docs.mapInArrow(sketch, "id long, n long, node long, prefix binary"))
-    classes = materialize(sketches.where("n > 0 AND id IS NOT NULL").groupBy("node", "n", "prefix").agg(F.min("id").alias("home")))
+    sketches = materialize(docs.mapInArrow(sketch, "id long, n long, node long, prefix binary, bits binary"))
+    classes = materialize(sketches.where("n > 0 AND id IS NOT NULL").groupBy("node", "n", "prefix", "bits").agg(F.min("id").alias("home")))
     groups = classes.groupBy("n", "prefix").agg(F.min("node").alias("gid"))
 
     def tokens(batches):
@@ -180,7 +239,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meet = shared_entries.where("gid <> p_gid").withColumnsRenamed({"n": "a_n", "pos": "a_pos", "p_n": "b_n", "p_pos": "b_pos"}).where(_may_link("a_", "b_", t)).select("gid", "p_gid").distinct()
     star = meet.join(members, "gid").select(F.col("node").alias("a"), F.col("p_gid").alias("b")).unionByName(
         members.where("gid <> node").select(F.col("node").alias("a"), F.col("gid").alias("b"))).distinct()
-    links = materialize(_verify(docs, star, homes, k, t))
+    nearest = _near(star, classes, t).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    links = materialize(_verify(docs, materialize(nearest), homes, k, t))
     labels = materialize(components(links))
 
     # members that share a token but no component yet
@@ -196,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = placed.select("token", "own", F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("node").alias("a"))
     right = placed.select("token", "own", F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("node").alias("b"))
     rest = met.join(left, ["token", "own", "a_comp", "a_n", "a_pos"]).join(right, ["token", "own", "b_comp", "b_n", "b_pos"]).select("a", "b").distinct()
-    rest = materialize(rest.join(links, ["a", "b"], "left_anti"))
+    rest = materialize(_near(rest, classes, t).select("a", "b"))
     more = materialize(_verify(docs, rest, homes, k, t))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
