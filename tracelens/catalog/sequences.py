@@ -155,6 +155,14 @@ def _mean(expr, blank="NULL"):
 _PARTS = {**{k: P.SUBSTRINGS[k] for k in P.SUBSTRINGS}, "causal_density": ["the", "la"], "tentative_density": ["on", "er"]}
 
 
+_LEXICON = [*P.HEDGE_WORDS, "the", "and", "der", "que"]
+
+
+def _edge(tx: str, words: list[str], phrases: list[str]) -> str:
+    bare = f"list_transform({B.toks(f'lower({tx})')}, lambda x: trim(x, '.,;:!?()'))"
+    return B.per_tok(f"(len(list_filter({bare}, lambda x: x IN {B.in_list(words)})) + {B.sub_hits(tx, phrases)})", tx)
+
+
 @query("a4_run_feature_frame", f"""WITH c AS (SELECT *, coalesce(reasoning_text, '') AS tx, tool_target AS tg FROM attributed),
     res AS (SELECT t.run_id, t.seq, coalesce(u.len % 5 = 0, false) AS err FROM takers t LEFT JOIN good u ON u.run_id = t.run_id AND u.role = 'user' AND u.line_no = t.line_no + 1),
     m AS (SELECT c.run_id, c.seq, c.n, c.tool_name, c.tg, r.err, lead(r.err) OVER w AS next_err, lead(c.tool_name) OVER w AS next_tool,
@@ -168,21 +176,21 @@ _PARTS = {**{k: P.SUBSTRINGS[k] for k in P.SUBSTRINGS}, "causal_density": ["the"
         count(*) FILTER (WHERE err AND NOT next_err) / nullif(count_if(err), 0) AS recovery_rate,
         count(*) FILTER (WHERE err AND next_tool <> tool_name) / nullif(count_if(err), 0) AS fail_then_switch_rate,
         count_if(tool_name = 'Bash' AND contains(tg, 'test')) AS test_run_count FROM m GROUP BY run_id),
-    lex AS (SELECT run_id, avg({B.per_tok(f"len(list_filter({B.toks('lower(tx)')}, lambda x: x IN {B.in_list(P.HEDGE_WORDS)}))", 'tx')}) AS hedging_score,
+    lex AS (SELECT run_id, avg({B.per_tok(f"len(list_filter({B.toks('lower(tx)')}, lambda x: x IN {B.in_list(_LEXICON)}))", 'tx')}) AS hedging_score,
         avg({B.ntok('tx')}) AS deliberation_length, avg({B.hits_all(B.ascii_of('tx'), P.BACKTRACKS)}) AS backtrack_count,
+        avg({_edge('tx', P.VERIFICATION_WORDS, P.VERIFICATION_PHRASES)}) AS verification_score, avg({_edge('tx', P.PLANNING_WORDS, P.PLANNING_PHRASES)}) AS planning_score,
         {", ".join(f"{_mean(B.per_tok(B.sub_hits('tx', v), 'tx'))} AS {k}" for k, v in _PARTS.items())},
         {_mean(B.per_tok(B.hits_all(B.ascii_of('tx'), P.NAMING_LOOSE, ''), 'tx'))} AS precision_naming_score,
         avg(CASE WHEN {_EDIT} THEN CASE WHEN contains(tx, split_part(tg, '/', -1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS reasoning_to_action_alignment FROM c GROUP BY run_id)
     SELECT d.run_id, d.success, coalesce(n_calls, 0) AS n_calls, fail_streak_max, early_error_rate, first_edit_position, unique_files_touched, edit_churn_rate,
-        recovery_rate, fail_then_switch_rate, test_run_count, hedging_score, deliberation_length, backtrack_count, {", ".join(_PARTS)}, precision_naming_score, reasoning_to_action_alignment
+        recovery_rate, fail_then_switch_rate, test_run_count, hedging_score, deliberation_length, backtrack_count, verification_score, planning_score, {", ".join(_PARTS)}, precision_naming_score, reasoning_to_action_alignment
     FROM call_runs d LEFT JOIN shape USING (run_id) LEFT JOIN lex USING (run_id)""",
-       dbl="early_error_rate first_edit_position edit_churn_rate recovery_rate fail_then_switch_rate hedging_score deliberation_length backtrack_count precision_naming_score reasoning_to_action_alignment " + " ".join(_PARTS),
+       dbl="early_error_rate first_edit_position edit_churn_rate recovery_rate fail_then_switch_rate hedging_score deliberation_length backtrack_count verification_score planning_score precision_naming_score reasoning_to_action_alignment " + " ".join(_PARTS),
        lng="success n_calls fail_streak_max unique_files_touched test_run_count")
 def _a4(t):
     from ..operators import attribution as A
     calls = A.attach_results(attributed(t), t.blocks)
-    out = R.run_features(t.call_runs, calls, parts=_PARTS)
-    return out.drop("task_id", "stratum", "verification_score", "planning_score")
+    return R.run_features(t.call_runs, calls, parts=_PARTS, lexicon=_LEXICON).drop("task_id", "stratum")
 
 
 _ALT = r"\b(?:the|and|la|die)\b"

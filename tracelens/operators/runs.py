@@ -26,8 +26,11 @@ def mean_rollup(calls: DataFrame, cols: list[str], key: str = "run_id") -> DataF
 
 
 def structural(annotated: DataFrame) -> DataFrame:
-    """Run-level structure from ``sequence.annotate`` output, in one aggregation."""
-    test = T.is_test_command("tool_name", "tool_target", "substring")
+    """Run-level structure from ``sequence.annotate`` output, in one aggregation.
+
+    Test calls are looked for in the whole parameter text where the calls carry it (``params_json``).
+    """
+    test = T.is_test_command("tool_name", "params_json" if "params_json" in annotated.columns else "tool_target", "substring")
     return annotated.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_calls"), S.fail_streak_max().alias("fail_streak_max"),
         S.early_error_rate().alias("early_error_rate"), S.first_edit().alias("first_edit_position"),
@@ -47,9 +50,12 @@ FEATURES = ["fail_streak_max", "early_error_rate", "first_edit_position", "uniqu
 
 
 def run_features(runs: DataFrame, calls: DataFrame, text: str = "reasoning_text",
-                 parts: dict[str, list[str]] | None = None) -> DataFrame:
-    """The 23-column frame: structure, lexical means, densities of non-blank texts, alignment."""
-    t1 = T.tier1(text)
+                 parts: dict[str, list[str]] | None = None, lexicon: list[str] | None = None) -> DataFrame:
+    """The 23-column frame: structure, lexical means, densities of non-blank texts, alignment.
+
+    ``lexicon`` replaces the short list of hedging words; ``text.read_lexicon`` reads a longer one.
+    """
+    t1 = T.tier1(text, lexicon)
     dens = {k: F.when(F.length(text) > 0, T.substring_density(text, v)) for k, v in (parts or P.SUBSTRINGS).items()}
     dens["precision_naming_score"] = F.when(F.length(text) > 0, T.precision_naming(text, loose=True))
     scored = calls.select(
