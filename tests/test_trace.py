@@ -196,3 +196,14 @@ def test_ranks_and_quantiles_do_not_depend_on_cuts(spark):
         q = quantile(df, ["g"], "v", [0.5, 0.25], limit).where("g = 'a'").collect()[0]
         import numpy as np
         assert abs(q.q0 - np.quantile(a, 0.5)) < 1e-12 and abs(q.q1 - np.quantile(a, 0.25)) < 1e-12
+
+
+def test_files_of_one_name_are_two_runs(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "run1.jsonl").write_text('{"type":"x"}\n{"type":"y"}\n')
+    ids = lambda path: sorted({r.run_id for r in traces.read_lines(spark, path).collect()})
+    assert ids(f"{tmp_path}/*/*.jsonl") == ids(str(tmp_path)) == ["a/run1", "b/run1"]
+    assert ids(f"{tmp_path}/a/run1.jsonl") == ids(f"{tmp_path}/a/*.jsonl") == ["run1"]
+    rows = traces.read_lines(spark, str(tmp_path)).collect()
+    assert len({(r.run_id, r.line_no) for r in rows}) == 4

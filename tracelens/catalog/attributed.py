@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -28,6 +28,20 @@ def _d1(t):
     return traces.drop_report(t.lines)
 
 
+def _folder(t) -> str:
+    """A new folder in shared storage."""
+    return f"{shared_dir(t.spark)}/query-{uuid.uuid4().hex}"
+
+
+@query("d1_read_files", "SELECT run_id, count(*) AS total, count_if(NOT broken) AS events, count_if(broken) AS dropped FROM turns GROUP BY run_id", lng="run_id total events dropped")
+def _d1b(t):
+    """The same from files, one per run, in two folders."""
+    path = _folder(t)
+    t.lines.select("line", F.pmod("run_id", F.lit(2)).alias("half"), "run_id").repartition("run_id").write.partitionBy("half", "run_id").text(path)
+    report = traces.drop_report(traces.read_lines(t.spark, path))
+    return report.select(F.regexp_extract("run_id", r"run_id=(\d+)/", 1).alias("run_id"), "total", "events", "dropped")
+
+
 _BLOCKS = """SELECT run_id, line_no, 0 AS block_pos, 'thinking' AS kind, text, NULL AS tool_name FROM good WHERE role = 'assistant'
     UNION ALL SELECT run_id, line_no, 1, 'tool_use', NULL, tool_name FROM tools
     UNION ALL SELECT run_id, line_no, 2, 'text', 'after ' || line_no, NULL FROM tools
@@ -107,11 +121,28 @@ def _d8(t):
     return tables.first_source_wins([first, second], "task_id")
 
 
+@query("d8_read_manifest", """WITH a AS (SELECT 't' || doc_id AS task_id, source AS origin FROM documents WHERE doc_id % 2 = 0),
+    b AS (SELECT 't' || item_id AS task_id, 'benchmark' AS origin FROM benchmark)
+    SELECT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.origin, b.origin) AS origin FROM a FULL JOIN b USING (task_id)""")
+def _d8b(t):
+    """The same union from JSON-lines files."""
+    path = _folder(t)
+    t.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("t"), F.col("doc_id")).alias("task_id"), F.col("source").alias("origin")).write.json(f"{path}/a")
+    t.read("benchmark").select(F.concat(F.lit("t"), F.col("item_id")).alias("task_id"), F.lit("benchmark").alias("origin")).write.json(f"{path}/b")
+    return tables.read_manifest(t.spark, [f"{path}/a", f"{path}/b"], "task_id string, origin string")
+
+
+@query("d9_markdown", """WITH s AS (SELECT stratum, count(*) AS n, CAST(sum(success) AS BIGINT) AS passes FROM runs GROUP BY stratum)
+    SELECT '| stratum | n | passes |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT '| ' || stratum || ' | ' || n || ' | ' || passes || ' |' FROM s""")
+def _d9b(t):
+    return tables.markdown(t.runs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("passes"))).select("line")
+
+
 @query("d9_export", "SELECT stratum, count(*) AS n, sum(success) AS passes FROM runs GROUP BY stratum", lng="n passes")
 def _d9(t):
     """Written as JSON lines and read back."""
     out = t.runs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("passes"))
-    path = tempfile.mkdtemp(prefix="export-", dir=shared_dir(t.spark)) if "://" not in shared_dir(t.spark) else shared_dir(t.spark) + "/export"
+    path = _folder(t)
     tables.export(out, path + "/rows", "json")
     return t.spark.read.schema("stratum string, n bigint, passes bigint").json(path + "/rows")
 

@@ -117,5 +117,5 @@ def markdown(df: DataFrame) -> DataFrame:
     """Result rows as lines of a markdown table, header first; ``line_no`` keeps their order."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
     head = df.sparkSession.createDataFrame(
-        [(-2, "| " + " | ".join(df.columns) + " |"), (-1, "|" + " --- |" * len(df.columns))], "line_no long, line string")
+        [(-2, "| " + " | ".join(df.columns) + " |"), (-1, "| " + " | ".join(["---"] * len(df.columns)) + " |")], "line_no long, line string")
     return head.unionByName(df.select(F.monotonically_increasing_id().alias("line_no"), cells.alias("line")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,17 @@ from ..functions import shell, text
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Trace files, one run per file: (run_id, line_no, line).
 
-    ``line_no`` grows along the file but has gaps; large files are still split over tasks.
+    A run is named by its file's path below the fixed part of ``path`` (what precedes the first wildcard), without the
+    extension, so files of one name in two folders are two runs. ``line_no`` grows along the file but
+    has gaps; large files are still split over tasks.
     """
-    raw = spark.read.text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    root = re.split(r"[*?\[{]", re.sub(r"^[a-z0-9]+:/*", "/", path))[0]
+    root = root if root.endswith("/") else root.rsplit("/", 1)[0] + "/" if root != re.sub(r"^[a-z0-9]+:/*", "/", path) else root + "/"
+    file = F.col("_metadata.file_path")
+    below = F.when(F.contains(file, F.lit(root)), F.substring(file, F.position(F.lit(root), file) + len(root), 1 << 20)).otherwise(F.element_at(F.split(file, "/"), -1))
     return raw.select(
-        F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "").alias("run_id"),
+        F.regexp_replace(below, r"\.[^./]*$", "").alias("run_id"),
         (F.col("_metadata.file_block_start") * 16 + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"),
         F.col("value").alias("line"),
     )
