@@ -207,3 +207,13 @@ def test_files_of_one_name_are_two_runs(spark, tmp_path):
     assert ids(f"{tmp_path}/a/run1.jsonl") == ids(f"{tmp_path}/a/*.jsonl") == ["run1"]
     rows = traces.read_lines(spark, str(tmp_path)).collect()
     assert len({(r.run_id, r.line_no) for r in rows}) == 4
+
+
+def test_parts_of_a_large_group_are_even(spark):
+    from tracelens.operators.skew import split_large
+
+    df = spark.range(20_000).selectExpr("'g' AS k", "IF(id = 0, 0D, 1e9 + id) AS x")
+    sizes = [r["count"] for r in split_large(df, ["k"], F.col("x"), 1000).groupBy("_part").count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 20_000
+    none = split_large(df.limit(500), ["k"], F.col("x"), 1000)
+    assert none.where("_cut OR _part <> 0").count() == 0
