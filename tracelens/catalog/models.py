@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators.runs import mixed_tasks
 from ..plans import evaluate as V
+from ..plans import evidence as E
 from ..plans import logit as M
 from ..plans import resample as R
 from ..session import materialize
 from . import bind as B
 from .registry import query
-from .statistics import rnk
+from .sequences import LONG_FEATURES
+from .statistics import fisher, rnk, within
 
 PERMUTATIONS, DRAWS = 10_000, 2_000
 
@@ -60,6 +62,22 @@ def _b2(t):
     return R.permutation_test(f.join(mixed_tasks(f), "task_id", "left_semi"), "task_id", "f_tokens", "success", "run_id", PERMUTATIONS)
 
 
+B.CTES["permuted"] = " UNION ALL ".join(f"SELECT '{f}' AS feature, p FROM ({perm_sql('stratum', f)})" for f in LONG_FEATURES)
+
+
+@query("t17_evidence_tiers", """SELECT feature, w.p AS within_p, f.p_combined, q.p AS permutation_p, CASE WHEN h > 0 AND NOT same_sign AND h < 3 THEN 'retracted' WHEN h = 3 THEN 'gold' WHEN h = 2 THEN 'silver' WHEN h = 1 THEN 'moderate' ELSE 'null' END AS tier
+    FROM (SELECT feature, min(p) AS p FROM within GROUP BY feature) w JOIN fisher f USING (feature) JOIN permuted q USING (feature),
+    LATERAL (SELECT coalesce(CAST(w.p < 0.05 AS INT), 0) + coalesce(CAST(f.p_combined < 0.05 AS INT), 0) + coalesce(CAST(q.p < 0.05 AS INT), 0) AS h)""", dbl="within_p p_combined permutation_p")
+def _t17(t):
+    """Tiers from the within-stratum tests, their combination and the stratified permutation test."""
+    f, parts = materialize(t.features), None
+    for name in LONG_FEATURES:
+        one = R.permutation_test(f, "stratum", name, "success", "run_id", PERMUTATIONS).select(F.lit(name).alias("feature"), F.col("p").alias("permutation_p"))
+        parts = one if parts is None else parts.unionByName(one)
+    rows = within(t).groupBy("feature").agg(F.min("p").alias("within_p")).join(fisher(t), "feature").join(parts, "feature")
+    return rows.select("feature", "within_p", "p_combined", "permutation_p", E.tier(F.col("within_p"), F.col("p_combined"), F.col("permutation_p"), F.col("same_sign")).alias("tier"))
+
+
 @query("b4_label_shuffle_auc", f"""WITH mixed AS ({shuffled_sql('preds', 'stratum', PERMUTATIONS)}), nul AS ({auc_sql('mixed', 'rep', 'score', 'shuffled')}), seen AS ({auc_sql('preds', '', 'score', 'success')})
     SELECT s.auc AS observed, count(*) AS permutations, avg(n.auc) AS mean_null, stddev_pop(n.auc) AS sd_null, avg(CASE WHEN round(n.auc, 12) >= round(s.auc, 12) THEN 1.0::DOUBLE ELSE 0 END) AS p
     FROM nul n, seen s WHERE n.auc IS NOT NULL GROUP BY s.auc""", dbl="observed mean_null sd_null p", lng="permutations")

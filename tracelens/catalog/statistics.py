@@ -250,16 +250,6 @@ def _t16(t):
     return E.rank_evidence(methods(t))
 
 
-@query("t17_evidence_tiers", """SELECT feature, w.p AS within_p, f.p_combined, q.p AS other_p, CASE WHEN h > 0 AND NOT same_sign AND h < 3 THEN 'retracted' WHEN h = 3 THEN 'gold' WHEN h = 2 THEN 'silver' WHEN h = 1 THEN 'moderate' ELSE 'null' END AS tier
-    FROM (SELECT feature, min(p) AS p FROM within GROUP BY feature) w JOIN fisher f USING (feature) JOIN pooled q USING (feature),
-    LATERAL (SELECT coalesce(CAST(w.p < 0.05 AS INT), 0) + coalesce(CAST(f.p_combined < 0.05 AS INT), 0) + coalesce(CAST(q.p < 0.05 AS INT), 0) AS h)""", dbl="within_p p_combined other_p")
-def _t17(t):
-    w = within(t).groupBy("feature").agg(F.min("p").alias("within_p"))
-    rows = w.join(fisher(t), "feature").join(pooled(t).select("feature", F.col("p").alias("other_p")), "feature")
-    return rows.select("feature", "within_p", "p_combined", "other_p",
-                       E.tier(F.col("within_p"), F.col("p_combined"), F.col("other_p"), F.col("same_sign")).alias("tier"))
-
-
 @query("t18_polarity", """SELECT a.feature, a.rho AS rho_a, a.p AS p_a, b.rho AS rho_b, b.p AS p_b, CASE WHEN a.rho IS NULL OR b.rho IS NULL THEN NULL WHEN a.p < 0.05 AND b.p < 0.05 AND sign(a.rho) = sign(b.rho) THEN 'same direction'
     WHEN a.p < 0.05 AND b.p < 0.05 THEN 'flipped' WHEN a.p < 0.05 OR b.p < 0.05 THEN 'model specific' WHEN sign(a.rho) <> sign(b.rho) THEN 'suggestive' ELSE 'none' END AS kind
     FROM by_model a JOIN by_model b USING (feature) WHERE a.model < b.model""".replace("SELECT a.feature,", "SELECT a.model AS model_a, b.model AS model_b, a.feature,"), dbl="rho_a p_a rho_b p_b")
