@@ -217,3 +217,11 @@ def _e21b(t):
     return R.block_bootstrap_mean(t.features, "task_id", "f_common", DRAWS)
 
 
+
+
+@query("e21_block_bootstrap_auc", f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY md5(task_id), task_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT task_id FROM preds)),
+    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || i), 1, 8))::BIGINT % m AS i FROM placed, range(0, {DRAWS}) g(rep)),
+    sample AS (SELECT d.rep, p.score, p.success FROM drawn d JOIN placed USING (i) JOIN preds p USING (task_id)), a AS ({auc_sql('sample', 'rep', 'score', 'success')})
+    SELECT count(auc) AS replicates, avg(auc) AS mean, stddev_samp(auc) AS se, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM a""", dbl="mean se low high", lng="replicates")
+def _e21c(t):
+    return R.bootstrap_interval(materialize(R.block_bootstrap_auc(preds(t), "task_id", "score", "success", DRAWS)))

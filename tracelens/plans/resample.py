@@ -197,3 +197,13 @@ def block_bootstrap_mean(df: DataFrame, cluster: str, value: str, reps: int, see
     drawn = replicated(sized.select("_i", "_m"), reps).select("rep", draw.alias("_i"))
     both = drawn.groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("_k")).join(placed, "_i")
     return both.groupBy("rep").agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("mean"))
+
+
+def block_bootstrap_auc(preds: DataFrame, cluster: str, score: str, label: str, reps: int, seed: int = 42) -> DataFrame:
+    """AUC per replicate when whole clusters are redrawn; a cluster's rows count as often as it was drawn."""
+    placed = materialize(numbered(preds.select(cluster).distinct(), cluster).withColumnRenamed("position", "_i"))
+    m = placed.count()
+    draw = F.conv(F.substring(digest(seed, "rep", "_i"), 1, 8), 16, 10).cast("long") % F.lit(m)
+    drawn = replicated(placed.select("_i"), reps).select("rep", draw.alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
+    rows = drawn.join(placed, "_i").join(preds.select(cluster, score, label), cluster)
+    return auc(rows, ["rep"], score, label, weight="_k").where(F.col("auc").isNotNull())
