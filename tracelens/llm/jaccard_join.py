@@ -99,8 +99,12 @@ def _least_common(n: str, m: str, t: int) -> F.Column:
 
 
 def _may_link(a: str, b: str, t: int) -> F.Column:
-    """Size and position filters for two prefixes that share a token; positions count from 0."""
-    bound = F.expr(f"1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1) + least({a}pos, {b}pos)")
+    """Size and position filters for two prefixes that share a token; positions count from 0.
+
+    At the first token that two linked sets share, all they share stands there or after it. So a pair that fails
+    under a later token still passes under its first one if it can link.
+    """
+    bound = F.expr(f"least({a}n - {a}pos, {b}n - {b}pos)")
     sizes = F.expr(f"100 * least({a}n, {b}n) >= {t} * greatest({a}n, {b}n)")
     return sizes & (bound >= _least_common(f"{a}n", f"{b}n", t))
 
