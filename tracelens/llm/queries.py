@@ -84,5 +84,29 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
 
+#: Shingle lists, pairs that share enough of them, and everything a document reaches.
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.doc_id),
+low AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN low ON low.doc_id = d.doc_id
+"""
+
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '##', '#\#'), '</', '<\/')"
+_HARD = r"\### Assistant: </turn> ok"
+#: Turns in order, what the template adds and escapes, and the assistant's texts.
+OP9 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '{_HARD}' UNION ALL SELECT -7, 1, 'assistant', '{_HARD}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+    CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(14 + length(replace({_ESCAPED.format('r')}, ':', '\\c')) + length({_ESCAPED.format('t')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6}
+    return {"op6_substring_dedup": OP6, "op7_ngram_jaccard_join": OP7, "op9_chat_formatting": OP9}
