@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,24 @@ REPEATED, IS_HOT = 1, 2
 
 @dataclass(frozen=True)
 class Spec:
-    """What a unit is, windows of ``k`` units, minimisers of ``m`` units."""
+    """What a unit is, windows of ``k`` units, minimisers of ``m`` units whose hashes keep ``key_bytes`` bytes.
+
+    Short hashes may take different minimisers for one, which sends more strings but changes no result.
+    """
 
     words: bool
     k: int
     m: int
+    key_bytes: int = 8
+
+    def pack(self, key: np.ndarray) -> bytes:
+        return np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - self.key_bytes:]).tobytes()
+
+    def unpack(self, value) -> np.ndarray:
+        part = array_of(value, np.uint8).reshape(-1, self.key_bytes)
+        whole = np.zeros((len(part), 8), np.uint8)
+        whole[:, 8 - self.key_bytes:] = part
+        return whole.view(">u8").ravel().astype(U64)
 
 
 class Block:
@@ -66,7 +79,7 @@ class Block:
         end = np.append(begin[1:], len(least))
         keep = begin < stop[doc]
         self.begin, self.end, self.doc = begin[keep], end[keep], doc[keep]
-        self.key = mix(least[self.begin] ^ U64(0x5851F42D4C957F2D))
+        self.key = mix(least[self.begin] ^ U64(0x5851F42D4C957F2D)) >> U64(64 - 8 * self.spec.key_bytes)
 
     def span(self, begin, end):
         """Byte range of windows begin .. end - 1 (arrays or numbers)."""
@@ -104,8 +117,8 @@ def _send_minimisers(spec: Spec, buckets: int):
         chunk = rows["chunk"][0].as_py()
         key, count, many = _distinct(spec, rows)
         extra = (np.minimum(count, 0x7FFFFFFF).astype(np.uint32) << np.uint32(1)) | many.astype(np.uint32)
-        edges = bucket_edges(key, buckets)
-        out = [(b, chunk, key[i:j].tobytes(), extra[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        edges = bucket_edges(key << U64(64 - 8 * spec.key_bytes), buckets)
+        out = [(b, chunk, spec.pack(key[i:j]), extra[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
         return _table(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "chunk", "body", "extra"])
     return send
 
@@ -115,9 +128,9 @@ def _table(rows: list[tuple], types: list, names: list[str]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _judge_minimisers(hot: int):
+def _judge_minimisers(spec: Spec, hot: int):
     def judge(rows: pa.Table) -> pa.Table:
-        keys = [array_of(x, U64) for x in rows["body"]]
+        keys = [spec.unpack(x) for x in rows["body"]]
         extra = np.concatenate([array_of(x, np.uint32) for x in rows["extra"]])
         key = np.concatenate(keys)
         order = np.argsort(key)
@@ -269,6 +282,8 @@ def find_covered(docs: DataFrame, id_col: str, text_col: str, spec: Spec, solve,
                  chunk_bytes: int | None = None, hot: int = HOT, along: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``finish(rows, [(ids, block, covered)]) -> arrow table`` to each chunk of documents."""
     base, n = chunked(docs, id_col, text_col, chunk_bytes or CHUNK_BYTES, along)
+    # false matches stay rare: ten bits more than it takes to number all bytes
+    spec = replace(spec, key_bytes=min(8, -(-((n * (chunk_bytes or CHUNK_BYTES)).bit_length() + 10) // 8)))
     buckets, shards = max(1, n // 3) + 7, max(1, n // 2) + 7
     by_chunk = base.groupBy("chunk")
 
@@ -279,7 +294,7 @@ def find_covered(docs: DataFrame, id_col: str, text_col: str, spec: Spec, solve,
         rows = in_order(rows)
         return finish(rows, list(_covered(Pieces(spec, rows, marks, shards, True), answers)))
 
-    marks = by_chunk.applyInArrow(send, PACKED).groupBy("bucket").applyInArrow(_judge_minimisers(hot), "bucket int, chunk long, body binary")
+    marks = by_chunk.applyInArrow(send, PACKED).groupBy("bucket").applyInArrow(_judge_minimisers(spec, hot), "bucket int, chunk long, body binary")
     shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(_send_pieces(spec, shards), SHIPPED)
     answers = shipped.groupBy("shard").applyInArrow(_answer(spec, solve), "shard int, chunk long, counts binary, lengths binary, ids binary")
     # marks and answers come to the last pass in one table
