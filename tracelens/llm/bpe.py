@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .pretokens import KINDS, Splitter
 
 MOVES, STATES, WORDS = 400_000, 100_000, 200_000
@@ -256,6 +257,7 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes, and the packed ids if asked for."""
     def encode(batches):
+        claim("bpe", codec.cache_clear)
         own = codec(path)
         for batch in batches:
             count, ids_sha, text_sha, kept = [], [], [], []

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
@@ -32,6 +32,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
     return slim.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default, as rows are whole texts; a session's own choice stays."""
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, str(rows))
+
+
 def in_order(rows: pa.Table) -> pa.Table:
     """A chunk's rows in the same order in every pass: by id (null last), then text."""
     return rows.sort_by([("id", "ascending"), ("text", "ascending")])

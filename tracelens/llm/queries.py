@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .chat_format import digests, format_turns, turns_of_records, turns_of_table
+from .chunks import short_batches
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
 from .lm_scoring import score_documents
@@ -18,6 +19,7 @@ from .token_counts import count_tokens, vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .caches import claim
+
 U64 = np.uint64
 #: The bytes between words: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -34,6 +36,7 @@ BYTE_CODE = _BYTE_AT[:256].copy()
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text or binary column, and where each row starts (one more than rows)."""
+    claim("arrays")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .pretokens import Splitter
 
 FREQUENT, LONGEST = 65_536, 64
@@ -83,6 +84,7 @@ def lengths(path: str) -> Lengths:
 def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int = FREQUENT) -> DataFrame:
     """(piece, n): the most frequent pre-tokens by the counts that tasks pass on."""
     def count(batches):
+        claim("token counts", lengths.cache_clear)
         counter: Counter = Counter()
         known = lengths(path)
         for batch in batches:
@@ -109,6 +111,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(table)
 
     def count(batches):
+        claim("token counts", lengths.cache_clear)
         tiers = lengths(path)
         tiers.start(shared.value)
         for batch in batches:
