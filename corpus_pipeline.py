@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.bpe import encode_documents
+from tracelens.llm.chunks import short_batches
 from tracelens.llm.decontaminate import drop_contaminated
 from tracelens.llm.jaccard_join import jaccard_components
 from tracelens.llm.quality_classifier import keep_good
@@ -24,17 +25,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    short_batches(spark)
     return keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of the Jaccard join stays; a null id is in no component."""
+    short_batches(spark)
     kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes or more that an earlier document has are cut out; documents with nothing left go."""
+    short_batches(spark)
     out = dedup_suffixes(docs, along=tuple(docs.columns)).where("n_removed = 0 OR n_removed < n_bytes")
     cut = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))}
     cut["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -43,11 +47,13 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a test item go."""
+    short_batches(spark)
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the remaining documents, and digests of the ids and of the decoded text."""
+    short_batches(spark)
     return encode_documents(docs, vocabulary_path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
