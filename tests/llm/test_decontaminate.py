@@ -47,3 +47,26 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0 and D.contaminated(docs, items).count() == 1
+
+
+def test_edited_copies_however_rare_or_common(spark):
+    rnd = random.Random(8)
+    item = [f"i{n}" for n in range(20)]
+    half, split = [f"h{n}" for n in range(24)], [f"s{n}" for n in range(20)]
+    bench = [(1, " ".join(item)), (2, " ".join(half)), (3, " ".join(split))]
+    edited = list(item)
+    for n in (3, 7, 11, 15):
+        edited[n] = "edit"
+    noise = lambda n: [f"w{rnd.randrange(300)}" for _ in range(n)]
+    leaks = {7: edited, 8: half[:12], 9: split[:10] + noise(19) + split[10:]}
+    other = spark.createDataFrame(bench, "item_id long, text string")
+    for every in (None, 3):
+        docs = []
+        for d in range(1000):
+            leak = leaks.get(d, edited if every and d % every == 0 else [])
+            docs.append((d, " ".join(noise(15) + leak + noise(15))))
+        want = {(d, i): s for d, t in docs for i, w in bench if (s := smith_waterman(w.split(), t.split())) >= 0.5}
+        assert {(7, 1), (8, 2), (9, 3)} <= set(want) and len(want) >= (300 if every else 3)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert {(r.doc_id, r.item_id): r.score for r in D.contaminated(df, other).collect()} == want
+        assert {r.doc_id for r in D.drop_contaminated(df, other).collect()} == set(range(1000)) - {d for d, _ in want}

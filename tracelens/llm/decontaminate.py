@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) and lose ASCII punctuation. An item's word trigrams are counted over all documents
-(each task adds up an array of counters; only those are shuffled). An item's *seeds* are its trigrams that at most as
-many documents have as its median trigram, or at most ``RARE`` of the documents: a passage that a third of
-the corpus copies keeps its seeds. A document's seeds name the items and the places to look at; the passage around
-each cluster of seeds is aligned with the item word by word (match 2, mismatch -1, gap -1), and the best score
-over 2 x item words is the similarity. Pairs of at least ``THRESHOLD`` are contaminated.
+Words are lower-cased (A-Z) and lose ASCII punctuation. Every word trigram of an item is a *seed*, however many documents
+have it: an edited passage may have kept the common ones only. A document's seeds name the items and the places to look at;
+the passage around each cluster of seeds is wide enough for every alignment through them that reaches the threshold. A passage
+that lacks too many of the item's words to reach it is left (``bound``), the others are aligned with the item word by word
+(match 2, mismatch -1, gap -1), and the best score over 2 x item words is the similarity. Pairs of at least ``THRESHOLD`` are
+contaminated. A passage that has no three words of the item in a row, such as one with every third word replaced, has no seed
+and isn't found.
 
 The items are joined map-side, as they are a query set: blocks of at most ``BLOCK_WORDS`` words are broadcast, and
 a larger benchmark takes a pass over the documents for each block. Documents aren't shuffled.
@@ -27,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .textnum import IS_SPACE, LOWER, U64, blocks, flat, rolling, span_hashes, word_spans
 
-GRAM, THRESHOLD, RARE = 3, 0.5, 1e-4
+GRAM, THRESHOLD = 3, 0.5
 BLOCK_WORDS = 1 << 20
 FILTER = 1 << 22
 #: Bytes of a word that count: all but ASCII punctuation and control characters; A-Z is lower-cased.
@@ -56,16 +57,10 @@ class Items:
         self.item = np.repeat(np.arange(len(grams)), size)
         self.place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
         self.gram, self.number = np.unique(every, return_inverse=True)
-        self.keep(np.ones(len(every), bool))
-
-    def keep(self, seeds: np.ndarray) -> None:
-        """Use these (item, place) trigrams only."""
-        order = np.argsort(self.number, kind="stable")
-        order = order[seeds[order]]
-        self.by_gram, self.at = order, np.searchsorted(self.number[order], np.arange(len(self.gram) + 1))
-        live = np.diff(self.at) > 0
+        self.by_gram = np.argsort(self.number, kind="stable")
+        self.at = np.searchsorted(self.number[self.by_gram], np.arange(len(self.gram) + 1))
         self.filter = np.zeros(FILTER, bool)
-        self.filter[(self.gram[live] & U64(FILTER - 1)).astype(np.int64)] = True
+        self.filter[(self.gram & U64(FILTER - 1)).astype(np.int64)] = True
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``grams`` that are known, and which trigram each is."""
@@ -108,7 +103,17 @@ def align(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
     return best
 
 
-def _passages(items: Items, hits, first: np.ndarray):
+def bound(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """An upper bound of ``align``: a word of the item that a passage has nowhere costs 1 inside an alignment."""
+    now = np.zeros(len(passages), np.int32)
+    best = now.copy()
+    for w in item:
+        now = np.maximum(now + np.where((passages == w).any(1), np.int32(2), np.int32(-1)), 0)
+        np.maximum(best, now, out=best)
+    return best
+
+
+def _passages(items: Items, hits, first: np.ndarray, threshold: float):
     """(item, document, begin, end, seeds) of the passages to align, each cluster of seeds by itself."""
     at, n, doc = hits
     many = items.at[n + 1] - items.at[n]
@@ -118,7 +123,8 @@ def _passages(items: Items, hits, first: np.ndarray):
     length = np.array([len(w) for w in items.words], np.int64)
     order = np.lexsort((start, doc, item))
     item, start, doc = item[order], start[order], doc[order]
-    pad = length[item] // 2 + 8
+    # an alignment of at least the threshold has no more gaps than that
+    pad = np.ceil(2 * length[item] * (1 - threshold)).astype(np.int64) + 1
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > pad[1:])
     begin_at = np.flatnonzero(new)
@@ -130,7 +136,8 @@ def _passages(items: Items, hits, first: np.ndarray):
     return item, doc, np.maximum(low - pad, first[doc]), np.minimum(high + length[item] + pad, first[doc + 1]), last - begin_at + 1
 
 
-def _scores(items: Items, words: np.ndarray, item, begin, end) -> np.ndarray:
+def _scores(items: Items, words: np.ndarray, item, begin, end, threshold: float) -> np.ndarray:
+    """The similarity of each passage, 0 where it can't reach the threshold."""
     out = np.zeros(len(item))
     order = np.lexsort((end - begin, item))
     i = 0
@@ -143,7 +150,8 @@ def _scores(items: Items, words: np.ndarray, item, begin, end) -> np.ndarray:
         place = begin[part][:, None] + np.arange(n)
         rows = np.where(place < end[part][:, None], words[np.minimum(place, len(words) - 1)], U64(0))
         own = items.words[item[order[i]]]
-        out[part] = align(own, rows) / (2 * len(own))
+        near = np.flatnonzero(bound(own, rows) / (2 * len(own)) >= threshold)
+        out[part[near]] = align(own, rows[near]) / (2 * len(own))
         i = j
     return out
 
@@ -167,43 +175,12 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BL
         yield Items(ids, words)
 
 
-def _rare(docs: DataFrame, items: Items, share: float) -> np.ndarray:
-    """Which (item, place) trigrams are seeds, by the number of documents that have them."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-
-    def count(batches):
-        own = shared.value
-        total, rows = np.zeros(len(own.gram), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, first, grams in _grams(batch.column("text"), own.k):
-                at, n, doc = _hits(own, first, grams, own.k)
-                pair = np.unique(doc * len(own.gram) + n)
-                total += np.bincount(pair % len(own.gram), minlength=len(own.gram))
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["docs", "counts"])
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in parts["counts"])
-        return pa.table({"docs": pa.array([sum(parts["docs"].to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    # tasks' arrays are added in two steps, so that no task adds those of all tasks
-    schema = "docs long, counts binary"
-    part = docs.mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 64).groupBy("part").applyInArrow(add, schema).toArrow()
-    if not part.num_rows:
-        return np.ones(len(items.number), bool)
-    total = add(part)
-    df, n = np.frombuffer(total["counts"][0].as_buffer(), np.int64)[items.number], total["docs"][0].as_py()
-    median = np.array([np.median(df[items.item == i]) for i in range(len(items.ids))])
-    return df <= np.maximum(median[items.item], share * n)
-
-
 def _matches(items: Items, texts, threshold: float) -> list[tuple]:
     """(row, item id, score, seeds, begin, end) of the best passage of each contaminated pair."""
     rows = []
     for i, words, first, grams in _grams(texts, items.k):
-        item, doc, begin, end, seeds = _passages(items, _hits(items, first, grams, items.k), first)
-        score = _scores(items, words, item, begin, end)
+        item, doc, begin, end, seeds = _passages(items, _hits(items, first, grams, items.k), first, threshold)
+        score = _scores(items, words, item, begin, end, threshold)
         best: dict[tuple[int, int], int] = {}
         for x in np.flatnonzero(score >= threshold).tolist():
             key = (int(doc[x]), int(item[x]))
@@ -214,7 +191,7 @@ def _matches(items: Items, texts, threshold: float) -> list[tuple]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", threshold: float = THRESHOLD, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+                 item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, word_begin, word_end): the best passage of each contaminated pair."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(benchmark.dtypes)[item_id]
@@ -223,7 +200,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     out = None
     for items in item_blocks(benchmark, item_id, item_text, block_words):
-        items.keep(_rare(docs, items, rare))
         shared = spark.sparkContext.broadcast(items)
         item_type = to_arrow_type(benchmark.schema[item_id].dataType)
 
@@ -241,11 +217,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                      threshold: float = THRESHOLD, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+                      threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, that have no contaminated passage."""
-    spark, whole = docs.sparkSession, docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    spark = docs.sparkSession
     for items in item_blocks(benchmark, item_id, item_text, block_words):
-        items.keep(_rare(whole, items, rare))
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
