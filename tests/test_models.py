@@ -1,5 +1,6 @@
 """Models and resampling against plain numpy."""
 
+import math
 import random
 
 import numpy as np
@@ -172,3 +173,49 @@ def test_permuted_versions_share_one_fit(spark):
     assert all(abs(scores[(0, r.id)] - r.score) < 1e-8 for r in alone.collect())
     labels = [(r.y0, r.y1, r.y2) for r in wide.collect()]
     assert sum(l[0] for l in labels) == sum(l[1] for l in labels) == sum(l[2] for l in labels)
+
+
+def spearman_p(x, y):
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    if np.std(x) == 0 or np.std(y) == 0:
+        return 0.0, 1.0
+    rho, df = np.corrcoef(rank(x), rank(y))[0, 1], len(x) - 2
+    t = np.linspace(0, abs(rho) * np.sqrt(df / (1 - rho * rho)), 20001)
+    gamma = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    return rho, 1 - 2 * gamma * np.trapezoid((1 + t * t / df) ** (-(df + 1) / 2), t)
+
+
+def test_permuted_auc_selects_in_every_fold(spark):
+    rows = data(9, 90)
+    df = frame(spark, rows)
+    got = {r.rep: r.auc for r in M.permuted_auc(df, ["x1", "x2"], "y", "task", "s", "id", 5, select_in=("s", ["a", "b"]), at_once=2).collect()}
+    wide, names = M.shuffled_versions(df, "s", "y", "id", 5)
+    labels = {r.id: [r[c] for c in names] for r in wide.collect()}
+    x, task, s = np.array([r[3:5] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    partly = 0
+    for rep in range(6):
+        y = np.array([labels[r[0]][rep] for r in rows])
+        score = np.zeros(len(rows))
+        for held in set(task):
+            tr = task != held
+            pick = [j for j in range(2) if any(abs(c[0]) > 0.15 and c[1] < 0.10 for c in (spearman_p(x[tr & (s == f), j], y[tr & (s == f)]) for f in "ab"))]
+            partly += len(pick) == 1
+            z = x[:, pick or [0, 1]]
+            z = (z - z[tr].mean(0)) / z[tr].std(0)
+            b = logit(z[tr], y[tr], 1.0)[0]
+            score[~tr] = (1 / (1 + np.exp(-(b[0] + z @ b[1:]))))[~tr]
+        assert abs(got[rep] - auc(list(score), list(y))) < 1e-9
+    assert partly and len(got) == 6
+
+
+def test_b3_draws_all_permutations_with_nested_selection(spark, monkeypatch):
+    asked = []
+
+    def short(df, features, label, task, strata, unit, reps, select_in=None, **other):
+        asked.append((reps, select_in))
+        return spark.createDataFrame([(0, 0.7), (1, 0.5), (2, 0.8)], "rep int, auc double")
+
+    monkeypatch.setattr(M, "permuted_auc", short)
+    from tracelens import catalog
+    row = catalog.queries()["b3_permuted_cv_auc"](spark, "/root/testdata/sf0.001").first()
+    assert asked == [(10_000, ("model", ["en", "fr"]))] and (row.permutations, row.p) == (2, 0.5)

@@ -157,6 +157,7 @@ def _m9b(t):
 # -- models: no SQL form; checked against plain numpy in the tests --------------------------
 
 FEATURES = ["f_tokens", "f_common", "f_commas", "f_parts"]
+FOCAL = ["en", "fr"]  # strata in which features are selected
 
 
 @query("m1_logistic_regression")
@@ -174,9 +175,8 @@ def _m2(t):
 
 @query("m3_nested_selection_cv")
 def _m3(t):
-    focal = ["en", "fr"]
     rows = t.features.select("run_id", "task_id", "model", "success", *FEATURES)
-    p, share = M.cross_validate(rows, FEATURES, ["success"], "task_id", select_in=("model", focal))
+    p, share = M.cross_validate(rows, FEATURES, ["success"], "task_id", select_in=("model", FOCAL))
     stable = t.spark.createDataFrame([(k, v) for k, v in share.items()], "feature string, stability double")
     scores = V.auc(p, [], "score", "y").crossJoin(F.broadcast(V.binary_metrics(p, [], "score", "y").select("accuracy", "brier")))
     return stable.crossJoin(F.broadcast(scores))  # one row of scores
@@ -184,10 +184,8 @@ def _m3(t):
 
 @query("b3_permuted_cv_auc")
 def _b3(t):
-    rows = materialize(t.features.select("run_id", "task_id", "stratum", "success", *FEATURES))
-    wide, names = M.shuffled_versions(rows, "stratum", "success", "run_id", 20)
-    p, _ = M.cross_validate(wide.drop("success"), FEATURES, names, "task_id")
-    a = V.auc(materialize(p), ["rep"], "score", "y")
+    rows = materialize(t.features.select("run_id", "task_id", "stratum", "model", "success", *FEATURES))
+    a = M.permuted_auc(rows, FEATURES, "success", "task_id", "stratum", "run_id", PERMUTATIONS, select_in=("model", FOCAL))
     seen = a.where("rep = 0").select(F.col("auc").alias("observed"))
     return a.where("rep > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(
         F.count("auc").alias("permutations"), F.avg("auc").alias("mean_null"), F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"))

@@ -8,6 +8,7 @@ size models x features^2, reach the driver, where the Newton step is a batched s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators.skew import HOT_ROWS
+from ..operators.skew import HOT_ROWS, average_ranks, has_large
 from ..session import materialize
-from .association import spearman, to_long, with_pvalue
+from .association import rank_over, to_long, with_pvalue
+from .evaluate import auc
 
 
 def _by_value() -> None:
@@ -93,7 +95,7 @@ def newton(df: DataFrame, features: list[str], labels: list[str], folds: list[in
                     prob = 1 / (1 + np.exp(-eta))
                     g[i] += (y[own] - prob).T @ z
                     w = prob * (1 - prob)
-                    h[i] += np.einsum("nr,na,nb->rab", w, z, z, optimize=True)
+                    h[i] += (w.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)).reshape(r, size, size)
                     ll[i] += (y[own] * eta - np.logaddexp(0, eta)).sum(axis=0)
             out = np.concatenate([ll[..., None], g, h.reshape(k, r, -1)], axis=2).reshape(k * r, -1)
             yield pd.DataFrame({"model": np.arange(k * r), "v": list(out)})
@@ -152,22 +154,60 @@ def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[i
     return df.mapInPandas(score, f"{schema}, rep int, y int, score double")
 
 
+def _critical_t(p: float, df: float) -> float:
+    """The two-sided critical t to 0.01 (Cornish-Fisher); not a number where the expansion isn't that near."""
+    if df < 10 or not 0.01 <= p < 1:
+        return np.nan
+    z = NormalDist().inv_cdf(1 - p / 2)
+    terms = z, (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96, (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
+    return sum(x / df ** i for i, x in enumerate(terms))
+
+
 def _select(df: DataFrame, features: list[str], labels: list[str], folds: list[int], strata: str, focal: list[str],
             rho: float, p: float, min_n: int, limit: int) -> np.ndarray:
-    """Which features each fold keeps, from correlations within focal strata of its training rows."""
+    """Which features each fold keeps, from correlations within focal strata of its training rows.
+
+    Labels are 0 or 1, so their ranks are linear in them: the values are ranked once for all label versions.
+    Only correlations near the critical one have their p worked out.
+    """
+    _by_value()
+    keys, count = ["train", "stratum", "feature"], len(labels)
     here = df.where(F.col(strata).isin(focal))
     others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("fold"))
-    spread = here.withColumn("train", F.explode(others))  # factor: number of folds, a fixed bound
-    versions = F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), F.col(c).alias("y")) for i, c in enumerate(labels)]))
-    rows = spread.select("train", F.col(strata).alias("stratum"), *features, versions.alias("_v")).select(
-        "train", "stratum", *features, "_v.*")
-    long = to_long(rows, ["train", "stratum", "rep", "y"], features)
-    tested = with_pvalue(spearman(long, ["train", "stratum", "rep", "feature"], min_n=min_n, limit=limit))
-    hits = tested.where((F.abs("rho") > rho) & (F.col("p") < p)).select("train", "rep", "feature").distinct().collect()
+    spread = here.withColumn("train", F.explode(others))  # factor: number of folds
+    rows = spread.select("train", F.col(strata).alias("stratum"), *features, F.array(*labels).alias("_y"))
+    long = to_long(rows, ["train", "stratum", "_y"], features).where("x IS NOT NULL")
+    if has_large(long, keys, limit):
+        ranks = average_ranks(long.select(*keys, "x", F.lit(1).alias("_c")), keys, "x", "_c", limit, True).select(*keys, "x", "rnk")
+        ranked = long.join(ranks, [*keys, "x"])
+    else:
+        ranked = long.withColumn("rnk", rank_over(keys, "x"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per group: rows, sums of rank, its square, each label version and its product with the rank."""
+        for b in batches:
+            for key, g in b.groupby(keys, sort=False):
+                r, y = g["rnk"].to_numpy(float), np.stack(g["_y"].to_numpy()).astype(float)
+                yield pd.DataFrame([[*key, np.concatenate(([len(r), r.sum(), (r * r).sum()], y.sum(0), r @ y))]], columns=[*keys, "v"])
+
+    def correlations(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        v = np.sum(g["v"].tolist(), axis=0)
+        (n, sr, srr), sy, sry = v[:3], v[3:3 + count], v[3 + count:]
+        vr, vy = n * srr - sr ** 2, n * sy - sy ** 2
+        with np.errstate(all="ignore"):
+            value = np.clip((n * sry - sr * sy) / np.sqrt(vr * vy), -1, 1)
+            over = np.abs(value) * np.sqrt((n - 2) / (1 - value ** 2)) - _critical_t(p, n - 2)
+        ok = np.flatnonzero((vr > 1e-12 * n * srr) & (vy > 0) & (n >= min_n) & (np.abs(value) > rho) & ~(over < -0.05))
+        return pd.DataFrame({"train": key[0], "feature": key[2], "rep": ok, "n": int(n), "rho": value[ok], "sure": over[ok] > 0.05})
+
+    kind = dict(long.dtypes)
+    parts = ranked.select(*keys, "rnk", "_y").mapInPandas(sums, ", ".join(f"{k} {kind[k]}" for k in keys) + ", v array<double>")
+    found = materialize(parts.groupBy(*keys).applyInPandas(correlations, "train int, feature string, rep int, n long, rho double, sure boolean"))
+    near = with_pvalue(found.where("NOT sure")).where(F.col("p") < p)
+    hits = found.where("sure").select("train", "rep", "feature").unionByName(near.select("train", "rep", "feature")).distinct().toPandas()
     mask = np.zeros((len(folds), len(labels), len(features)))
     at = {f: i for i, f in enumerate(folds)}
-    for row in hits:
-        mask[at[row["train"]], row["rep"], features.index(row["feature"])] = 1
+    mask[hits["train"].map(at).to_numpy(int), hits["rep"].to_numpy(int), hits["feature"].map(features.index).to_numpy(int)] = 1
     mask[mask.sum(axis=2) == 0] = 1  # nothing passes: use all features
     return mask
 
@@ -205,13 +245,35 @@ def cross_validate(df: DataFrame, features: list[str], labels: list[str], task:
     return preds, share
 
 
-def shuffled_versions(df: DataFrame, strata: str, label: str, unit: str, reps: int, seed: int = 123) -> tuple[DataFrame, list[str]]:
-    """Label permutations within strata as extra columns ``y0`` (the labels) and ``y1`` … (shuffles)."""
+def shuffled_versions(df: DataFrame, strata: str, label: str, unit: str, reps: int, seed: int = 123, start: int = 0) -> tuple[DataFrame, list[str]]:
+    """Label permutations within strata as extra columns ``y0`` (the labels) and ``y1`` … (shuffles from ``start``)."""
     from .resample import shuffle_labels
     names = [f"y{i + 1}" for i in range(reps)]
-    mixed = shuffle_labels(df.select(strata, label, unit), strata, label, unit, reps, seed)
-    wide = mixed.groupBy(unit).agg(*[F.max(F.when(F.col("rep") == i, F.col("shuffled"))).alias(c) for i, c in enumerate(names)])
-    return df.withColumn("y0", F.col(label)).join(wide, unit), ["y0", *names]
+    mixed = shuffle_labels(df.select(strata, label, unit), strata, label, unit, reps, seed, start)
+    wide = mixed.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct("rep", "shuffled"))).alias("_v"))
+    return df.withColumn("y0", F.col(label)).join(wide.select(unit, *[F.col("_v")[F.lit(start + i).cast(dict(mixed.dtypes)["rep"])].alias(c) for i, c in enumerate(names)]), unit), ["y0", *names]
+
+
+#: Label versions that share the passes of one cross-validation.
+VERSIONS_AT_ONCE = 250
+
+
+def permuted_auc(df: DataFrame, features: list[str], label: str, task: str, strata: str, unit: str, reps: int,
+                 select_in: tuple[str, list[str]] | None = None, at_once: int = VERSIONS_AT_ONCE, seed: int = 123) -> DataFrame:
+    """(rep, auc): the AUC of the whole cross-validation with the labels (rep 0) and with labels shuffled within strata.
+
+    Every shuffle selects features and fits anew in each fold. ``at_once`` bounds the label versions in memory; no result depends on it.
+    """
+    found = []
+    for start in range(0, reps, at_once):
+        many = min(at_once, reps - start)
+        wide, names = shuffled_versions(df, strata, label, unit, many, seed, start)
+        used = names if start == 0 else names[1:]
+        keep = [c for c in wide.columns if c not in names and c != label]
+        p, _ = cross_validate(wide.select(*keep, *used), features, used, task, select_in=select_in)
+        first = 0 if start == 0 else start + 1
+        found += [(first + r["rep"], r["auc"]) for r in auc(materialize(p.select("rep", "score", "y")), ["rep"], "score", "y").select("rep", "auc").collect()]
+    return df.sparkSession.createDataFrame(found, "rep int, auc double")
 
 
 def stratum_logit(df: DataFrame, features: list[str], strata: str, label: str, top: int = 3) -> list[tuple]:
