@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
+from tracelens.llm import substring_dedup
 from tracelens.llm.substring_dedup import dedup_substrings
 from tracelens.llm.suffix_dedup import dedup_suffixes
 
@@ -62,3 +64,10 @@ def test_bytes(spark, hot, budget, base):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_suffixes(df).count() == 0 and dedup_substrings(df).count() == 0
+
+
+def test_equal_windows_meet_at_any_shard_size(monkeypatch):
+    strings, ids = [b"a b c"] * 7 + [b"d e f"] * 3, np.array([5, 9, 8, 1, 7, 6, 4, 3, 2, 9])
+    for at_once in range(1, 12):
+        monkeypatch.setattr(substring_dedup, "SORT_AT_ONCE", at_once)
+        assert substring_dedup.sort_windows(3)(strings, ids)[0].tolist() == [1] * 7 + [2] * 3

@@ -40,7 +40,7 @@ def sort_windows(k: int):
         owner = np.repeat(ids, sizes)
         # windows fall into ranges of their first words' hash, so that one sort holds a bounded number
         head = words[at].astype(np.int64) * 1000003 ^ words[at + k - 1]
-        for part in np.array_split(np.argsort(head, kind="stable"), 1 + len(out) // SORT_AT_ONCE) if len(out) <= SORT_AT_ONCE else _ranges(head):
+        for part in _ranges(head):
             view = np.lib.stride_tricks.sliding_window_view(words, k)[at[part]]
             row = np.ascontiguousarray(view).view(np.dtype((np.void, 4 * k))).ravel()
             order = np.argsort(row)
