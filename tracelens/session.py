@@ -43,15 +43,20 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the plan for results that are read several times or iterated over, and survives
     the loss of executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_stage(df.sparkSession)
     df.write.parquet(path)
-    _STAGES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _STAGES: list[str] = []
 
 
+def new_stage(spark: SparkSession) -> str:
+    """A new name in shared storage, which ``release`` deletes."""
+    _STAGES.append(f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}")
+    return _STAGES[-1]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the stages that ``materialize`` has written so far; results that still read them must be stored before."""
     done = 0
