@@ -11,11 +11,14 @@ from .chunks import short_batches
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
 from .lm_scoring import score_documents
+from .periodic_runs import periodic_runs, plant_runs
 from .quality_classifier import classify
 from .quality_rules import judge
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 from .token_counts import count_tokens, vocabulary_path
+from .token_files import stored_tokens
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +70,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(plant_runs(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_suffix_array_dedup, op2_benchmark_decontamination, op3_token_counts, op4_quality_classifier, op5_quality_rules,
-        op6_substring_dedup, op7_ngram_jaccard_join, op8_byte_bpe, op9_chat_formatting, op10_lm_scoring)}
+        op6_substring_dedup, op7_ngram_jaccard_join, op8_byte_bpe, op9_chat_formatting, op10_lm_scoring,
+        op11_token_files, op12_embedding_whitening, op13_periodic_runs)}
 
 
 #: Word windows as lists; the smallest doc_id of each, then the words that earlier ones cover.
