@@ -20,9 +20,14 @@ def odd_texts(n=1500):
 
 
 def test_pieces_give_the_library_s_ids():
-    library, own = Tokenizer.from_file(JSON), Encoder(JSON)
-    for t in odd_texts() + [t or "" for t in texts()]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    library, all_ = Tokenizer.from_file(JSON), odd_texts() + [t or "" for t in texts()]
+    for kept, size in ((150_000, 200), (20, 7), (0, 1)):
+        own = Encoder(JSON, kept)
+        for i in range(0, len(all_), size):
+            part = [t.encode() for t in all_[i:i + size]]
+            ids, n = own.encode(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0] + [len(t) for t in part]))
+            for t, got in zip(part, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                assert got.tolist() == library.encode(t.decode(), add_special_tokens=False).ids, repr(t)
 
 
 def expected(rows):

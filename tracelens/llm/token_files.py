@@ -9,8 +9,8 @@ place in the table), so an id that a third of the rows carry is spread over file
 Where a file begins in the whole follows from one row a file (``file_starts``).
 
 Texts are encoded by the tokenizers library. At a space that stands alone the pattern's cuts don't depend on what is
-before it, so a text is cut there, each distinct word is cut into pre-tokens once by a worker, each distinct pre-token
-goes through the library's model once, and both are kept as packed ids.
+before it, so texts are cut there, and a worker lets the library encode each distinct piece it hasn't kept, all new
+pieces of a few megabytes as one text.
 
 Defined cases: null and empty texts are the end id alone; rows of one id follow each other in the order of the
 table's files; null ids come first; other columns are left out and may have any name; an empty table gives no rows.
@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,79 +31,126 @@ from pyspark.sql import functions as F
 
 from ..session import new_stage
 from .caches import claim
-from .pretokens import Splitter
+from .textnum import blocks, flat
 
 END, FILE_BYTES, STRIPE_BYTES, INDEX_ROWS = 0, 64 << 20, 16 << 20, 1_000
-KEPT, WORDS, LONGEST = 100_000, 500_000, 64
-#: Letters in every version of Unicode.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A space that has white space on both sides, or before it and the text's end behind it.
-UNEVEN = re.compile(r" (?<=\s )(?:\s|\Z)")
-#: Places where every text can be cut: before a space between two other characters that aren't white space.
-ALONE = re.compile(r"(?<=\S)(?= \S)")
-
-
-def byte_letters() -> list[str]:
-    """The letter of each byte in a byte-level vocabulary: itself where Latin-1 shows it, else the next one from U+0100 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b if b in shown else next(rest)) for b in range(256)]
-
-
-class Kept(dict):
-    """Packed ids by text, worked out when first asked for. What wasn't asked for while ``most`` texts came in is dropped."""
-
-    def __init__(self, find, most: int = KEPT):
-        self.find, self.most, self.before = find, most, {}
-
-    def __missing__(self, text: str) -> bytes:
-        packed = self.before.get(text) or self.find(text)
-        if len(text) <= LONGEST:
-            if len(self) >= self.most:
-                self.before = dict(self)
-                self.clear()
-            self[text] = packed
-        return packed
+#: Pieces of texts that a worker keeps, and bytes of text encoded together.
+KEPT, AT_ONCE = 400_000, 4 << 20
+#: The letter of a space in byte-level vocabularies; pieces that are one pre-token whatever the version of Unicode.
+SPACE, LETTERS = "\u0120", re.compile(rb" [A-Za-z]+")
+#: White space of one byte, in any library's view.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where UTF-8 texts can be cut: each text's begin, and before each space between two characters that aren't white space."""
+    n = len(data)
+    at = np.flatnonzero(data == 0x20)
+    inside = np.ones(n + 1, bool)
+    inside[offsets] = False
+    at = at[inside[at] & inside[at + 1]]
+    byte = lambda d: data[np.clip(at + d, 0, n - 1)]
+    white = _WHITE[byte(-1)] | _WHITE[byte(1)]
+    for a, b, c, x, y in ((-3, -2, -1, -2, -1), (1, 2, 3, 1, 2)):  # a white character of three bytes or two before, behind
+        lead, second, third = byte(a), byte(b), byte(c)
+        white |= (byte(x) == 0xC2) & ((byte(y) == 0x85) | (byte(y) == 0xA0))
+        white |= ((lead == 0xE1) & (second == 0x9A) | (lead == 0xE3) & (second == 0x80)) & (third == 0x80)
+        white |= (lead == 0xE2) & ((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (second == 0x81) & (third == 0x9F))
+    return np.sort(np.concatenate((offsets[:-1], at[~white])), kind="stable")
 
 
 class Encoder:
-    """The ids of the tokenizers library: its model for each distinct pre-token, the library as a whole for texts with added tokens."""
+    """The ids of the tokenizers library for the texts of a buffer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.splitter = Splitter(public_tokenizers.PATTERN, lambda c: next((k for k, x in (("L", "a"), ("N", "1"), ("O", "!")) if len(cut(x + c)) == 1), "S"))
-        self.pieces = Kept(self._piece)
-        self.first, self.spaced = Kept(self._text), Kept(self._spaced, WORDS)
-        self.packs = [struct.Struct(f"<{n}I").pack for n in range(LONGEST)]
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        return self.packs[len(ids)](*ids) if len(ids) < LONGEST else struct.pack(f"<{len(ids)}I", *ids)
-
-    def _text(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for part in self.splitter.pieces(text) for p in part])
-
-    def _spaced(self, word: str) -> bytes:
-        """A word of plain letters is one pre-token with the space before it."""
-        return self._piece(" " + word) if LETTERS.fullmatch(word) else self._text(" " + word)
-
-    def encode(self, text: str) -> bytes:
-        """The library's ids of the whole text as little-endian 32-bit numbers."""
-        if any(a in text for a in self.added):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if "  " in text or UNEVEN.search(text):
-            return b"".join(map(self.first.__getitem__, ALONE.split(text)))
-        head, *words = text.split(" ")
-        return (self.first[head] if head else b"") + b"".join(map(self.spaced.__getitem__, words))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), kept
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has one letter a byte
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces by number; the ids of number k are ``ids[where[k]:where[k + 1]]``."""
+        self.number: dict[bytes, int] = {}
+        self.ids, self.where = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.ids = np.concatenate((self.ids, ids))
+        self.where = np.concatenate((self.where, self.where[-1] + np.cumsum(lengths)))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces. All that begin with a space and end without are one text; its ids are cut where the pieces end.
+
+        A space and ASCII letters are one pre-token: for those the model gets the letters of the vocabulary as they are.
+        """
+        plain = [p for p in pieces if LETTERS.fullmatch(p)]
+        self._cut(plain, self.model, b"".join(plain).decode().replace(" ", " " + SPACE))
+        plain_ones = set(plain)
+        texts = {p: p.decode() for p in pieces if p not in plain_ones}
+        joined = [p for p, t in texts.items() if len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace()]
+        self._cut(joined, self.tokenizer, b"".join(joined).decode())
+        alone = list(texts.keys() - set(joined))
+        self._add(alone, *self._encode([texts[p] for p in alone]))
+
+    def _cut(self, pieces: list[bytes], tokenizer, text: str) -> None:
+        if not pieces:
+            return
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        upto, ends = np.cumsum(self.width[ids]), np.cumsum([len(p) for p in pieces])
+        last = np.searchsorted(upto, ends)
+        if len(last) and (last[-1] >= len(upto) or not np.array_equal(upto[last], ends)):
+            raise ValueError("a token goes past a space: not a byte-level vocabulary with spaces before words")
+        self._add(pieces, ids, np.diff(last + 1, prepend=0))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        begin = cuts(data, offsets)
+        raw = data.tobytes()
+        if any(a in raw for a in self.added):  # a text with an added token is one piece
+            hit = np.array([any(a in raw[i:j] for a in self.added) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            row = np.searchsorted(offsets, begin, "right") - 1
+            begin = begin[~hit[np.clip(row, 0, len(hit) - 1)] | np.isin(begin, offsets)]
+        at = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, at, pa.py_buffer(raw)]).dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = [pieces[i] for i in np.flatnonzero(place < 0).tolist()]
+        if len(self.number) + len(new) > self.most:  # go on with what these texts use
+            kept = np.flatnonzero(place >= 0)
+            ids, lengths = gather(self.ids, self.where, place[kept])
+            self._forget()
+            self._add([pieces[i] for i in kept.tolist()], ids, lengths)
+            place[kept] = np.arange(len(kept))
+        self._learn(new)
+        place[place < 0] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        ids, lengths = gather(self.ids, self.where, place[code])
+        # pieces of no bytes are empty texts: each begins where the next one does
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        first = np.searchsorted(begin, offsets[:-1], "left")
+        same = np.arange(len(offsets) - 1) - np.searchsorted(offsets[:-1], offsets[:-1], "left")
+        upto = total[np.append(first + same, len(begin))]
+        return ids, np.diff(upto)
+
+
+def gather(ids: np.ndarray, where: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``where[k]:where[k + 1]`` of ids for the numbers k one after another, and their lengths."""
+    lengths = where[numbers + 1] - where[numbers]
+    end = np.cumsum(lengths)
+    at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(where[numbers] - end + lengths, lengths)
+    return ids[at], lengths
 
 
 @lru_cache(maxsize=2)
@@ -120,15 +167,16 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
     files = rows.repartitionByRange(int(many), "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text", F.spark_partition_id().alias("file"))
 
     def encode(batches):
-        claim("token files", encoder.cache_clear)
-        ids_of, end, first = encoder(vocabulary).encode, struct.pack("<I", END), 0
+        first, known = 0, encoder(vocabulary)
         for batch in batches:
-            for i in range(0, len(batch), 100):
-                part = batch.slice(i, 100)
-                packed = [(ids_of(t) if t else b"") + end for t in part.column(1).to_pylist()]
-                n = np.array([len(p) // 4 for p in packed], np.int64)
+            data, offsets = flat(batch.column(1))
+            claim("token files", encoder.cache_clear)
+            for i, j in blocks(offsets, AT_ONCE):
+                part = batch.slice(i, j - i)
+                found, n = known.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                found, n = np.insert(found, np.cumsum(n), END), n + 1
                 at = np.concatenate(([0], np.cumsum(n)))
-                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(packed))]))
+                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(first + at[:-1]), pa.array(n), ids], ["file", "doc_id", "first", "n", "ids"])
                 first += int(at[-1])
 
