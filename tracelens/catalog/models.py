@@ -32,10 +32,21 @@ def auc_sql(source: str, keys: str, score: str, label: str) -> str:
         FROM (SELECT *, {rnk(keys, score)} AS r FROM {source}) {'GROUP BY ' + keys if keys else ''}"""
 
 
+def five_sql(source: str, x: str, out: str) -> str:
+    """``source`` with the column ``out``: the fifth power of ``x`` modulo 2^31 - 1."""
+    p = 2147483647
+    return f"SELECT * EXCLUDE (x_, s_), s_ * s_ % {p} * x_ % {p} AS {out} FROM (SELECT *, x_ * x_ % {p} AS s_ FROM (SELECT *, ({x}) % {p} AS x_ FROM ({source})))"
+
+
 def shuffled_sql(source: str, strata: str, reps: int, seed: int = 42) -> str:
-    """The first n+ rows of each (replicate, stratum) in digest order get the positive label."""
-    return f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY rep, {strata} ORDER BY h, run_id) <= pos THEN 1 ELSE 0 END AS shuffled FROM (
-        SELECT u.*, rep, md5('{seed}|' || rep || '|' || run_id) AS h, sum(success) OVER (PARTITION BY rep, {strata}) AS pos FROM {source} u, range(0, {reps}) g(rep))"""
+    """The first n+ rows of each (replicate, stratum) in order of their draws get the positive label."""
+    keys = f"SELECT g.rep::BIGINT AS rep FROM range(0, {reps}) g(rep)"
+    for j in (1, 2, 3):
+        keys = five_sql(keys, f"{seed * 1000003 + j * 131071 + 17} + rep * 8191", f"k{j}")
+    units = f"SELECT *, ('0x' || substr(md5(run_id::VARCHAR), 1, 7))::BIGINT AS u1, ('0x' || substr(md5(run_id::VARCHAR), 8, 7))::BIGINT AS u2, sum(success) OVER (PARTITION BY {strata}) AS pos FROM {source}"
+    drawn = five_sql(f"SELECT u.*, k.* FROM ({units}) u, ({keys}) k", "u1 + k1", "d1")
+    drawn = five_sql(five_sql(drawn, "d1 * (k2 % 2147483646 + 1) + u2", "d2"), "d2 + k3", "h")
+    return f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY rep, {strata} ORDER BY h, run_id) <= pos THEN 1 ELSE 0 END AS shuffled FROM ({drawn})"
 
 
 def diff_sql(source: str, keys: str, strata: str, x: str, label: str) -> str:
@@ -70,10 +81,7 @@ B.CTES["permuted"] = " UNION ALL ".join(f"SELECT '{f}' AS feature, p FROM ({perm
     LATERAL (SELECT coalesce(CAST(w.p < 0.05 AS INT), 0) + coalesce(CAST(f.p_combined < 0.05 AS INT), 0) + coalesce(CAST(q.p < 0.05 AS INT), 0) AS h)""", dbl="within_p p_combined permutation_p")
 def _t17(t):
     """Tiers from the within-stratum tests, their combination and the stratified permutation test."""
-    f, parts = materialize(t.features), None
-    for name in LONG_FEATURES:
-        one = R.permutation_test(f, "stratum", name, "success", "run_id", PERMUTATIONS).select(F.lit(name).alias("feature"), F.col("p").alias("permutation_p"))
-        parts = one if parts is None else parts.unionByName(one)
+    parts = R.permutation_tests(materialize(t.features), "stratum", LONG_FEATURES, "success", "run_id", PERMUTATIONS).select("feature", F.col("p").alias("permutation_p"))
     rows = within(t).groupBy("feature").agg(F.min("p").alias("within_p")).join(fisher(t), "feature").join(parts, "feature")
     return rows.select("feature", "within_p", "p_combined", "permutation_p", E.tier(F.col("within_p"), F.col("p_combined"), F.col("permutation_p"), F.col("same_sign")).alias("tier"))
 

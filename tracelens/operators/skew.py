@@ -70,6 +70,20 @@ def cumulative(df: DataFrame, keys: list[str], value: str, weight: str, limit: i
     return out.select(*keys, value, "w", (F.coalesce("_before", F.lit(0)) + F.col("_in")).alias("cum"))
 
 
+def running(df: DataFrame, keys: list[str], value: str, sums: list[str], limit: int = HOT_ROWS) -> DataFrame:
+    """Add ``cum_<c>`` for each column of ``sums``: its total up to and with the row's value; values are distinct in a group."""
+    if not has_large(df, keys, limit):
+        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums])
+    cut = split_large(df, keys, F.col(value), limit)
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = cut.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_p_{c}") for c in sums])
+    before = per_part.select(*keys, "_part", *[F.coalesce(F.sum(f"_p_{c}").over(earlier), F.lit(0)).alias(f"_p_{c}") for c in sums])
+    both = cut.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in sums]).join(before, [*keys, "_part"])
+    return both.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_p_{c}")).alias(f"cum_{c}") for c in sums])
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str, limit: int = HOT_ROWS,
                   large: bool | None = None) -> DataFrame:
     """One row per distinct value with the mean rank of its ties (``rnk``)."""

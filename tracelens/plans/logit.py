@@ -8,7 +8,6 @@ size models x features^2, reach the driver, where the Newton step is a batched s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,16 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators.skew import HOT_ROWS, average_ranks, has_large
+from ..operators.skew import HOT_ROWS, running
 from ..session import materialize
-from .association import rank_over, to_long, with_pvalue
+from .association import to_long, with_pvalue
 from .evaluate import auc
 
 
 def _by_value() -> None:
     """Ship this module's functions inside the closures, so executors need no installed package."""
     import sys
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    from ..functions import draws
+    from . import versions
+    for module in (sys.modules[__name__], draws, versions):
+        cloudpickle.register_pickle_by_value(module)
 
 
 #: Folds whose models share one pass over the rows.
@@ -41,45 +44,48 @@ def fold_of(df: DataFrame, task: str, folds: int | None = None) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(task).cast("string")), F.lit(folds)).cast("int"))
 
 
-def _moments(df: DataFrame, features: list[str]) -> pd.DataFrame:
-    """Per fold: rows, positives, sums and sums of squares. Folds are few."""
+def _moments(df: DataFrame, features: list[str], middle: list[float]) -> pd.DataFrame:
+    """Per fold: rows, sums and sums of squares of the features less ``middle``. A row a fold."""
     aggs = [F.count(F.lit(1)).alias("n")]
-    for f in features:
-        aggs += [F.sum(f).alias(f"s_{f}"), F.sum(F.col(f) * F.col(f)).alias(f"q_{f}")]
+    for f, m in zip(features, middle):
+        x = F.col(f) - F.lit(m)
+        aggs += [F.sum(x).alias(f"s_{f}"), F.sum(x * x).alias(f"q_{f}")]
     return df.groupBy("fold").agg(*aggs).orderBy("fold").toPandas()
 
 
 def training_scale(df: DataFrame, features: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and population sd of every fold's training rows: totals minus the fold's own."""
-    m = _moments(df, features)
+    """Mean and population sd of every fold's training rows: totals minus the fold's own, about the mean of all rows."""
+    middle = [float(v or 0.0) for v in df.agg(*[F.avg(f) for f in features]).first()]
+    m = _moments(df, features, middle)
     n = m["n"].sum() - m["n"].to_numpy(float)
     s, q = (np.column_stack([m[f"{k}_{f}"].sum() - m[f"{k}_{f}"].to_numpy(float) for f in features]) for k in "sq")
     n1 = np.maximum(n, 1)[:, None]
-    mean = s / n1
-    sd = np.sqrt(np.maximum(q / n1 - mean ** 2, 0.0))
+    mean = np.array(middle) + s / n1
+    sd = np.sqrt(np.maximum(q / n1 - (s / n1) ** 2, 0.0))
     sd = np.where(sd < 1e-10 * np.maximum(np.abs(mean), 1.0), 1.0, sd)
     return m["fold"].tolist(), n, mean, sd
 
 
 def newton(df: DataFrame, features: list[str], labels: list[str], folds: list[int], mean: np.ndarray, sd: np.ndarray,
-           mask: np.ndarray, penalty: float = 1.0, rounds: int = 25, tol: float = 1e-8):
+           mask: np.ndarray, penalty: float = 1.0, rounds: int = 60, tol: float = 1e-8):
     """L2 logistic models, one per (fold, label version), each without its fold's rows.
 
-    ``mask`` is (fold, label, feature); the intercept is not penalised. Returns coefficients on
-    the standardised features, the log-likelihood at the last step, and the Hessian.
+    ``mask`` is (fold, label, feature); the intercept is not penalised. A step that lowers a model's likelihood is halved.
+    Returns coefficients on the standardised features, log-likelihood and Hessian at them, and whether the steps
+    came to rest: they don't where classes can be separated and nothing is penalised, and the maximum is at infinity.
     """
     _by_value()
     k, r, p = len(folds), len(labels), len(features)
-    beta = np.zeros((k, r, p + 1))
     fold_ids = np.array(folds)
     keep = np.concatenate([np.ones((k, r, 1)), mask], axis=2)
     ridge = np.concatenate([np.zeros((k, r, 1)), np.full((k, r, p), penalty)], axis=2)
     size = p + 1
-    loglik = np.zeros((k, r))
-    hess = np.zeros((k, r, size, size))
+    best, step = np.zeros((k, r, size)), np.zeros((k, r, size))
+    goal, loglik, hess = np.full((k, r), -np.inf), np.zeros((k, r)), np.zeros((k, r, size, size))
+    at_rest, open_ = np.zeros((k, r), bool), np.ones((k, r), bool)
 
     for _ in range(rounds):
-        now = beta.copy()
+        now = best + step
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g, h, ll = np.zeros((k, r, size)), np.zeros((k, r, size, size)), np.zeros((k, r))
@@ -91,12 +97,13 @@ def newton(df: DataFrame, features: list[str], labels: list[str], folds: list[in
                     if not own.any():
                         continue
                     z = np.column_stack([np.ones(own.sum()), (x[own] - mean[i]) / sd[i]])
-                    eta = np.clip(z @ now[i].T, -35, 35)
-                    prob = 1 / (1 + np.exp(-eta))
+                    eta = z @ now[i].T
+                    small = np.exp(-np.abs(eta))
+                    prob = np.where(eta >= 0, 1, small) / (1 + small)
                     g[i] += (y[own] - prob).T @ z
                     w = prob * (1 - prob)
                     h[i] += (w.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)).reshape(r, size, size)
-                    ll[i] += (y[own] * eta - np.logaddexp(0, eta)).sum(axis=0)
+                    ll[i] += (y[own] * eta - np.maximum(eta, 0) - np.log1p(small)).sum(axis=0)
             out = np.concatenate([ll[..., None], g, h.reshape(k, r, -1)], axis=2).reshape(k * r, -1)
             yield pd.DataFrame({"model": np.arange(k * r), "v": list(out)})
 
@@ -107,28 +114,35 @@ def newton(df: DataFrame, features: list[str], labels: list[str], folds: list[in
         for row in total:
             all_v[row["model"]] = row["v"]
         all_v = all_v.reshape(k, r, width)
-        before = loglik
-        loglik, grad, hess = all_v[..., 0], all_v[..., 1:1 + size], all_v[..., 1 + size:].reshape(k, r, size, size)
-        g = (grad - ridge * beta) * keep
-        full = hess + np.einsum("kra,ab->krab", ridge, np.eye(size))
+        ll, grad, h = all_v[..., 0], all_v[..., 1:1 + size], all_v[..., 1 + size:].reshape(k, r, size, size)
+        value = ll - (ridge * now ** 2).sum(axis=2) / 2
+        good = open_ & (value >= goal - 1e-12 * (1 + np.abs(value)))
+        gain = np.where(good, value - np.where(good, goal, 0), 0)
+        best[good], loglik[good], hess[good], goal[good] = now[good], ll[good], h[good], value[good]
+        full = h + np.einsum("kra,ab->krab", ridge, np.eye(size))
         full = full * keep[..., :, None] * keep[..., None, :] + np.einsum("kra,ab->krab", 1 - keep + 1e-12, np.eye(size))
-        step = np.linalg.solve(full, g[..., None])[..., 0]
-        beta = beta + np.clip(step, -5, 5)
-        steady = np.abs(loglik - before).max() < tol * (1 + np.abs(loglik).max())
-        if steady or np.abs(step).max() < tol:
+        newer = np.linalg.solve(full, ((grad - ridge * now) * keep)[..., None])[..., 0]
+        step = np.where(good[..., None], newer, step / 2) * open_[..., None]
+        longest = np.abs(step).max(axis=2)
+        rest = open_ & (longest < tol)
+        stuck = good & (gain < 1e-12 * (1 + np.abs(value))) & (longest > 1e-3)
+        at_rest |= rest
+        open_ &= ~rest & ~stuck
+        step = step * open_[..., None]
+        if not open_.any():
             break
-    return beta, loglik, hess
+    return best, loglik, hess, at_rest
 
 
 def fit(df: DataFrame, features: list[str], label: str, penalty: float = 1.0) -> dict:
-    """One standardised model on all rows: coefficients with the intercept first."""
-    one = df.withColumn("fold", F.lit(0))
+    """One standardised model on all rows without nulls: coefficients with the intercept first, and whether it converged."""
+    one = df.dropna(subset=[*features, label]).withColumn("fold", F.lit(0))
     m = one.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     mean = np.array([[m[f"m_{f}"] for f in features]], float)
     sd = np.array([[m[f"s_{f}"] or 1.0 for f in features]], float)
     mask = np.ones((1, 1, len(features)))
-    beta, ll, hess = newton(one, features, [label], [-1], mean, sd, mask, penalty)
-    return {"beta": beta[0, 0], "loglik": float(ll[0, 0]), "hessian": hess[0, 0], "mean": mean[0], "sd": sd[0]}
+    beta, ll, hess, ok = newton(one, features, [label], [-1], mean, sd, mask, penalty)
+    return {"beta": beta[0, 0], "loglik": float(ll[0, 0]), "hessian": hess[0, 0], "converged": bool(ok[0, 0]), "mean": mean[0], "sd": sd[0]}
 
 
 def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[int], mean, sd, beta, base, single, one_class: str = "skip") -> DataFrame:
@@ -145,7 +159,7 @@ def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[i
             i = b["fold"].map(at).to_numpy()
             z = (b[features].to_numpy(float) - mean[i]) / sd[i]
             eta = np.einsum("np,nrp->nr", z, beta[i][..., 1:]) + beta[i][..., 0]
-            prob = np.where(single[i], base[i], 1 / (1 + np.exp(-eta)))
+            prob = np.where(single[i], base[i], 1 / (1 + np.exp(-np.clip(eta, -700, 700))))
             for r, name in enumerate(labels):
                 out = b[ids].assign(rep=r, y=b[name].to_numpy(int), score=prob[:, r])
                 yield out[~single[i][:, r]] if one_class == "skip" else out
@@ -154,60 +168,56 @@ def predict(df: DataFrame, features: list[str], labels: list[str], folds: list[i
     return df.mapInPandas(score, f"{schema}, rep int, y int, score double")
 
 
-def _critical_t(p: float, df: float) -> float:
-    """The two-sided critical t to 0.01 (Cornish-Fisher); not a number where the expansion isn't that near."""
-    if df < 10 or not 0.01 <= p < 1:
-        return np.nan
-    z = NormalDist().inv_cdf(1 - p / 2)
-    terms = z, (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96, (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
-    return sum(x / df ** i for i, x in enumerate(terms))
-
-
 def _select(df: DataFrame, features: list[str], labels: list[str], folds: list[int], strata: str, focal: list[str],
             rho: float, p: float, min_n: int, limit: int) -> np.ndarray:
     """Which features each fold keeps, from correlations within focal strata of its training rows.
 
-    Labels are 0 or 1, so their ranks are linear in them: the values are ranked once for all label versions.
-    Only correlations near the critical one have their p worked out.
+    Ranks without a fold come from one table of counts by (stratum, feature, value, fold): a value's rank among
+    the others is its rank among all less what the fold has below it. Between two values of a fold that is one
+    number, so sums of ranks, of their squares and of their products with labels are differences of running sums
+    over all values: no row is repeated per fold.
     """
-    _by_value()
-    keys, count = ["train", "stratum", "feature"], len(labels)
-    here = df.where(F.col(strata).isin(focal))
-    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("fold"))
-    spread = here.withColumn("train", F.explode(others))  # factor: number of folds
-    rows = spread.select("train", F.col(strata).alias("stratum"), *features, F.array(*labels).alias("_y"))
-    long = to_long(rows, ["train", "stratum", "_y"], features).where("x IS NOT NULL")
-    if has_large(long, keys, limit):
-        ranks = average_ranks(long.select(*keys, "x", F.lit(1).alias("_c")), keys, "x", "_c", limit, True).select(*keys, "x", "rnk")
-        ranked = long.join(ranks, [*keys, "x"])
-    else:
-        ranked = long.withColumn("rnk", rank_over(keys, "x"))
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per group: rows, sums of rank, its square, each label version and its product with the rank."""
-        for b in batches:
-            for key, g in b.groupby(keys, sort=False):
-                r, y = g["rnk"].to_numpy(float), np.stack(g["_y"].to_numpy()).astype(float)
-                yield pd.DataFrame([[*key, np.concatenate(([len(r), r.sum(), (r * r).sum()], y.sum(0), r @ y))]], columns=[*keys, "v"])
-
-    def correlations(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        v = np.sum(g["v"].tolist(), axis=0)
-        (n, sr, srr), sy, sry = v[:3], v[3:3 + count], v[3 + count:]
-        vr, vy = n * srr - sr ** 2, n * sy - sy ** 2
-        with np.errstate(all="ignore"):
-            value = np.clip((n * sry - sr * sy) / np.sqrt(vr * vy), -1, 1)
-            over = np.abs(value) * np.sqrt((n - 2) / (1 - value ** 2)) - _critical_t(p, n - 2)
-        ok = np.flatnonzero((vr > 1e-12 * n * srr) & (vy > 0) & (n >= min_n) & (np.abs(value) > rho) & ~(over < -0.05))
-        return pd.DataFrame({"train": key[0], "feature": key[2], "rep": ok, "n": int(n), "rho": value[ok], "sure": over[ok] > 0.05})
-
-    kind = dict(long.dtypes)
-    parts = ranked.select(*keys, "rnk", "_y").mapInPandas(sums, ", ".join(f"{k} {kind[k]}" for k in keys) + ", v array<double>")
-    found = materialize(parts.groupBy(*keys).applyInPandas(correlations, "train int, feature string, rep int, n long, rho double, sure boolean"))
-    near = with_pvalue(found.where("NOT sure")).where(F.col("p") < p)
-    hits = found.where("sure").select("train", "rep", "feature").unionByName(near.select("train", "rep", "feature")).distinct().toPandas()
+    keys, count = ["stratum", "feature"], range(len(labels))
+    here = df.where(F.col(strata).isin(focal)).select("fold", F.col(strata).cast("string").alias("stratum"), *features, *labels)
+    long = to_long(here, ["fold", "stratum", *labels], features).where("x IS NOT NULL")
+    cells = materialize(long.groupBy(*keys, "x", "fold").agg(F.count(F.lit(1)).cast("double").alias("c"), *[F.sum(y).cast("double").alias(f"y{i}") for i, y in enumerate(labels)]))
+    all_ = cells.groupBy(*keys, "x").agg(F.sum("c").alias("c"), *[F.sum(f"y{i}").alias(f"y{i}") for i in count])
+    at = running(all_, keys, "x", ["c"], limit).withColumn("b", F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2)
+    weighted = {"c": F.col("c"), "cb": F.col("c") * F.col("b"), "cbb": F.col("c") * F.col("b") * F.col("b")}
+    weighted |= {f"y{i}": F.col(f"y{i}") for i in count} | {f"y{i}b": F.col(f"y{i}") * F.col("b") for i in count}
+    names = list(weighted)
+    sums = at.select(*keys, "x", "b", *[v.alias(k) for k, v in weighted.items()])
+    sums = materialize(running(sums, keys, "x", names, limit))
+    totals = sums.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    # a fold's values in order: what the fold has below, and the running sums of all rows below each
+    own = cells.select(*keys, "fold", "x", F.col("c").alias("fc"), *[F.col(f"y{i}").alias(f"fy{i}") for i in count]).join(sums, [*keys, "x"])
+    order = Window.partitionBy(*keys, "fold").orderBy("x")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("below", F.coalesce(F.sum("fc").over(before), F.lit(0.0)))
+    for c in names:
+        own = own.withColumn(f"gap_{c}", F.col(f"cum_{c}") - F.col(c) - F.coalesce(F.lag(f"cum_{c}").over(order), F.lit(0.0)))
+    c0, r0 = F.col("c") - F.col("fc"), F.col("b") - F.col("below") - F.col("fc") / 2
+    n0 = F.col("below")
+    of_y = lambda i, gap, m: gap(f"y{i}b") - m * gap(f"y{i}")
+    gap = lambda c: F.col(f"gap_{c}")
+    part = own.groupBy(*keys, "fold").agg(
+        F.sum("fc").alias("m"), *[F.max(f"cum_{c}").alias(f"last_{c}") for c in names],
+        F.sum(gap("cb") - n0 * gap("c") + c0 * r0).alias("r"), F.sum(gap("cbb") - 2 * n0 * gap("cb") + n0 * n0 * gap("c") + c0 * r0 * r0).alias("rr"),
+        *[F.sum(f"fy{i}").alias(f"fy{i}") for i in count], *[F.sum(of_y(i, gap, n0) + (F.col(f"y{i}") - F.col(f"fy{i}")) * r0).alias(f"ry{i}") for i in count])
+    tail, m = lambda c: F.col(f"t_{c}") - F.coalesce(F.col(f"last_{c}"), F.lit(0.0)), F.coalesce(F.col("m"), F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    each = totals.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))  # a row a (stratum, feature, fold)
+    done = each.join(part, [*keys, "fold"], "left").select(
+        "feature", "fold", (F.col("t_c") - m).alias("n"), (zero("r") + tail("cb") - m * tail("c")).alias("r"),
+        (zero("rr") + tail("cbb") - 2 * m * tail("cb") + m * m * tail("c")).alias("rr"),
+        F.posexplode(F.array(*[F.struct((F.col(f"t_y{i}") - zero(f"fy{i}")).alias("y"), (zero(f"ry{i}") + of_y(i, tail, m)).alias("ry")) for i in count])).alias("rep", "s"))
+    vr, vy = F.col("n") * F.col("rr") - F.col("r") ** 2, F.col("n") * F.col("s.y") - F.col("s.y") ** 2
+    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("n") * F.col("s.ry") - F.col("r") * F.col("s.y"), F.sqrt(vr * vy))))
+    found = done.where((vr > 1e-12 * F.col("n") * F.col("rr")) & (vy > 0) & (F.col("n") >= min_n)).select("fold", "feature", "rep", "n", value.alias("rho"))
+    hits = with_pvalue(found.where(F.abs("rho") > rho)).where(F.col("p") < p).select("fold", "rep", "feature").distinct().toPandas()
     mask = np.zeros((len(folds), len(labels), len(features)))
-    at = {f: i for i, f in enumerate(folds)}
-    mask[hits["train"].map(at).to_numpy(int), hits["rep"].to_numpy(int), hits["feature"].map(features.index).to_numpy(int)] = 1
+    place = {f: i for i, f in enumerate(folds)}
+    mask[hits["fold"].map(place).to_numpy(int), hits["rep"].to_numpy(int), hits["feature"].map(features.index).to_numpy(int)] = 1
     mask[mask.sum(axis=2) == 0] = 1  # nothing passes: use all features
     return mask
 
@@ -220,8 +230,9 @@ def cross_validate(df: DataFrame, features: list[str], labels: list[str], task:
     Every task is left out by itself, in blocks of folds per pass; with ``folds`` tasks are hashed to that
     many folds, a task never split. Nothing depends on the number of tasks. ``select_in`` = (stratum column,
     focal strata) turns on feature selection inside each fold. A training set with one class is skipped, or
-    predicts its rate with ``one_class="rate"``.
+    predicts its rate with ``one_class="rate"``. Rows with a null feature or label are left out.
     """
+    df = df.dropna(subset=[*features, *labels])
     keep = [task] + ([select_in[0]] if select_in else [])
     cast = [F.col(f).cast("double").alias(f) for f in features]
     base = fold_of(df, task, folds)
@@ -237,7 +248,7 @@ def cross_validate(df: DataFrame, features: list[str], labels: list[str], task:
     preds = None
     for i in range(0, len(ids), FOLD_BLOCK):
         at = slice(i, i + FOLD_BLOCK)
-        beta, _, _ = newton(rows, features, labels, ids[at], mean[at], sd[at], mask[at], penalty)
+        beta, *_ = newton(rows, features, labels, ids[at], mean[at], sd[at], mask[at], penalty)
         own = rows if len(ids) <= FOLD_BLOCK else rows.where(F.col("fold").isin(ids[at]))
         part = predict(own, features, labels, ids[at], mean[at], sd[at], beta, rate[at], single[at], one_class)
         preds = part if preds is None else preds.unionByName(part)
@@ -254,33 +265,70 @@ def shuffled_versions(df: DataFrame, strata: str, label: str, unit: str, reps: i
     return df.withColumn("y0", F.col(label)).join(wide.select(unit, *[F.col("_v")[F.lit(start + i).cast(dict(mixed.dtypes)["rep"])].alias(c) for i, c in enumerate(names)]), unit), ["y0", *names]
 
 
-#: Label versions that share the passes of one cross-validation.
-VERSIONS_AT_ONCE = 250
+#: Label versions that share the passes of one cross-validation; rows of a table that tasks hold whole; cells (versions x rows) of a task.
+VERSIONS_AT_ONCE, TABLE_ROWS, CELLS = 50, 200_000, 200_000
 
 
 def permuted_auc(df: DataFrame, features: list[str], label: str, task: str, strata: str, unit: str, reps: int,
-                 select_in: tuple[str, list[str]] | None = None, at_once: int = VERSIONS_AT_ONCE, seed: int = 123) -> DataFrame:
+                 select_in: tuple[str, list[str]] | None = None, at_once: int = VERSIONS_AT_ONCE, seed: int = 123, table_rows: int = TABLE_ROWS) -> DataFrame:
     """(rep, auc): the AUC of the whole cross-validation with the labels (rep 0) and with labels shuffled within strata.
 
-    Every shuffle selects features and fits anew in each fold. ``at_once`` bounds the label versions in memory; no result depends on it.
+    Every shuffle selects features and fits anew in each fold. A table of at most ``table_rows`` runs is broadcast
+    packed, and tasks own blocks of label versions; a larger one stays distributed and versions share passes over its rows,
+    ``at_once`` of them. Neither changes a result. Rows with nulls are left out.
     """
-    found = []
+    named = list(dict.fromkeys([unit, task, strata, label, *features] + ([select_in[0]] if select_in else [])))
+    whole = df.select(*named).dropna()
+    if whole.limit(table_rows + 1).count() <= table_rows:
+        return materialize(_by_version(whole, features, label, task, strata, unit, reps, select_in, seed))
+    found = None
     for start in range(0, reps, at_once):
         many = min(at_once, reps - start)
-        wide, names = shuffled_versions(df, strata, label, unit, many, seed, start)
+        wide, names = shuffled_versions(whole, strata, label, unit, many, seed, start)
         used = names if start == 0 else names[1:]
         keep = [c for c in wide.columns if c not in names and c != label]
         p, _ = cross_validate(wide.select(*keep, *used), features, used, task, select_in=select_in)
         first = 0 if start == 0 else start + 1
-        found += [(first + r["rep"], r["auc"]) for r in auc(materialize(p.select("rep", "score", "y")), ["rep"], "score", "y").select("rep", "auc").collect()]
-    return df.sparkSession.createDataFrame(found, "rep int, auc double")
+        scored = p.select("rep", F.round("score", 12).alias("score"), "y")
+        part = materialize(auc(scored, ["rep"], "score", "y").select((F.col("rep") + first).cast("int").alias("rep"), "auc"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _by_version(df: DataFrame, features: list[str], label: str, task: str, strata: str, unit: str, reps: int, select_in: tuple[str, list[str]] | None,
+                seed: int, penalty: float = 1.0, rho: float = 0.15, p: float = 0.10, min_n: int = 5) -> DataFrame:
+    from ..functions.draws import unit_numbers
+    from .versions import Table
+    _by_value()
+    first, second = unit_numbers(unit)
+    focal = F.lit(-1)
+    for i, s in enumerate(select_in[1] if select_in else []):
+        focal = F.when(F.col(select_in[0]) == s, i).otherwise(focal)
+    rows = df.select(F.col(unit).alias("unit"), F.col(task).cast("string").alias("task"), F.col(strata).cast("string").alias("stratum"), F.col(label).cast("int").alias("y"),
+                     first.alias("u1"), second.alias("u2"), focal.alias("focal"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    t = rows.orderBy("unit").toPandas()  # at most table_rows rows of a few numbers
+    spark = df.sparkSession
+    table = spark.sparkContext.broadcast(Table(
+        np.array(t["x"].tolist(), float).reshape(len(t), len(features)), t["y"].to_numpy(), np.unique(t["task"], return_inverse=True)[1], np.unique(t["stratum"], return_inverse=True)[1],
+        t["u1"].to_numpy(), t["u2"].to_numpy(), t["focal"].to_numpy() if select_in else None))
+    block = max(1, min(VERSIONS_AT_ONCE, CELLS // max(len(t), 1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first in b["id"]:
+                versions = np.arange(first * block, min((first + 1) * block, reps + 1))
+                yield pd.DataFrame({"rep": versions.astype(np.int32), "auc": pd.array(table.value.aucs(seed, versions, penalty, rho, p, min_n), "Float64")})
+
+    blocks = -(-(reps + 1) // block)
+    return spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep int, auc double")
 
 
 def stratum_logit(df: DataFrame, features: list[str], strata: str, label: str, top: int = 3) -> list[tuple]:
     """Per feature, label ~ standardised feature + stratum dummies in the largest strata.
 
     The null model and all feature models are label versions with different masks, so they
-    share every pass. Rows (feature, n, coef, wald, lr); ``stratum_logit_table`` adds tails.
+    share every pass. Rows (feature, n, coef, wald, lr, converged); ``stratum_logit_table`` adds tails. Where a feature
+    separates the classes the maximum is at infinity: such a row has no tests and ``converged`` is false.
     """
     counts = df.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(top).collect()
     names = [r[strata] for r in counts]
@@ -299,22 +347,25 @@ def stratum_logit(df: DataFrame, features: list[str], strata: str, label: str, t
     mask[0, :, len(features):] = 1
     for j in range(len(features)):
         mask[0, j + 1, j] = float(m[f"s_{features[j]}"] > 0)
-    beta, ll, hess = newton(rows, cols, versions, [-1], mean, sd, mask, penalty=0.0)
+    beta, ll, hess, ok = newton(rows, cols, versions, [-1], mean, sd, mask, penalty=0.0)
     unit = np.sqrt(m["n"] / (m["n"] - 1))
     out = []
     for j, f in enumerate(features):
         if not mask[0, j + 1, j]:
             continue
+        if not (ok[0, j + 1] and ok[0, 0]):
+            out.append((f, int(m["n"]), None, None, None, False))
+            continue
         used = [0, j + 1, *range(len(features) + 1, len(cols) + 1)]
         se = np.sqrt(np.linalg.inv(hess[0, j + 1][np.ix_(used, used)])[1, 1])
         b = beta[0, j + 1, j + 1]
-        out.append((f, int(m["n"]), float(b * unit), float(b / se), float(max(2 * (ll[0, j + 1] - ll[0, 0]), 0.0))))
+        out.append((f, int(m["n"]), float(b * unit), float(b / se), float(max(2 * (ll[0, j + 1] - ll[0, 0]), 0.0)), True))
     return out
 
 
 def stratum_logit_table(df: DataFrame, features: list[str], strata: str, label: str, top: int = 3) -> DataFrame:
     rows = stratum_logit(df, features, strata, label, top)
-    out = df.sparkSession.createDataFrame(rows, "feature string, n long, coef double, wald double, lr double")
+    out = df.sparkSession.createDataFrame(rows, "feature string, n long, coef double, wald double, lr double, converged boolean")
     return out.withColumn("p", special.normal_pvalue("wald")).withColumn("lr_p", special.chi2_1df_pvalue("lr"))
 
 

@@ -1,20 +1,19 @@
 """Permutation and bootstrap as grouping keys.
 
 A replicate is one more grouping column, so replicates and strata spread over the
-cluster. Random order comes from md5 of (seed, replicate, unit): any engine and any
-partitioning gives the same draw.
+cluster. Random order is a function of (seed, replicate, unit), see ``functions.draws`` for labels and
+``digest`` for draws with replacement: any engine and any partitioning gives the same.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import P, chosen, unit_numbers, with_draw
 from ..operators.skew import HOT_ROWS, average_ranks, has_large, positions, quantile
 from ..session import materialize
 from .evaluate import auc
@@ -33,21 +32,21 @@ def shuffle_labels(df: DataFrame, strata: str, label: str, unit: str, reps: int,
                    limit: int = HOT_ROWS) -> DataFrame:
     """Labels permuted within strata, once per replicate, as column ``shuffled``.
 
-    Rows are ordered by digest within (replicate, stratum); the first n+ of them get the
+    Rows are ordered by draw within (replicate, stratum); the first n+ of them get the
     positive label, n+ being the stratum's number of positives. For strata beyond ``limit``
-    rows, whole digest buckets before and after the cut are labelled from their counts and
+    rows, whole buckets of draws before and after the cut are labelled from their counts and
     only the bucket that holds the cut is sorted.
     """
+    first, second = unit_numbers(unit)
     totals = df.groupBy(strata).agg(F.sum(F.col(label)).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_size"))
-    keyed = df.join(totals, strata)
-    rows = replicated(keyed, reps, start).withColumn("_h", digest(seed, "rep", unit))
+    keyed = df.join(totals, strata).withColumn("_u1", first).withColumn("_u2", second)
+    rows = with_draw(replicated(keyed, reps, start), seed, "rep", "_u1", "_u2", "_h").drop("_u1", "_u2")
     if not has_large(df, [strata], limit):
         order = Window.partitionBy("rep", strata).orderBy("_h", unit)
         return rows.withColumn("shuffled", (F.row_number().over(order) <= F.col("_pos")).cast("int")).drop("_h", "_pos", "_size")
-    # the digest is uniform, so 2^k buckets by its leading digits are even
+    # draws are uniform, so equal ranges of them are even
     buckets = F.greatest(F.lit(1), F.ceil(F.col("_size") * 4 / limit)).cast("long")
-    lead = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_b", F.floor(lead * buckets / F.lit(4294967296)).cast("long"))
+    rows = rows.withColumn("_b", F.floor(F.col("_h") * buckets / F.lit(P)).cast("long"))
     counts = rows.groupBy("rep", strata, "_b").agg(F.count(F.lit(1)).alias("_k"), F.first("_pos").alias("_p"))
     before = F.sum("_k").over(Window.partitionBy("rep", strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     placed = counts.select("rep", strata, "_b", (F.col("_p") - F.coalesce(before, F.lit(0))).alias("_left"), "_k")
@@ -59,49 +58,49 @@ def shuffle_labels(df: DataFrame, strata: str, label: str, unit: str, reps: int,
     return out.drop("_h", "_pos", "_size", "_b", "_left", "_k")
 
 
-#: Replicates that one task draws for one stratum.
-REPS_AT_ONCE = 500
+#: Replicates that one task draws for one stratum, and cells (replicates x rows) that it holds at once.
+REPS_AT_ONCE, CELLS = 500, 2_000_000
 
 
-def shuffled_sums(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42,
+def shuffled_sums(df: DataFrame, strata: str, xs: list[str], label: str, unit: str, reps: int, seed: int = 42,
                   limit: int = HOT_ROWS, at_once: int = REPS_AT_ONCE) -> DataFrame:
-    """Per (rep, stratum): rows ``n``, positives ``n1`` and the sum ``s1`` of x over the shuffled positives, and ``s``.
+    """Per (rep, stratum): rows ``n``, positives ``n1``, and for each x its sum over the shuffled positives (``s1``) and over all (``s``), as arrays.
 
-    The labels are those of ``shuffle_labels``. A task has one stratum and a chunk of replicates, so rows are
-    shuffled once per chunk and not once per replicate; strata beyond ``limit`` rows go the way of
-    ``shuffle_labels`` and add up before the shuffle.
+    The labels are those of ``shuffle_labels``, drawn once for all x. A task has one stratum and a chunk of
+    replicates, so rows are shuffled once per chunk and not once per replicate; strata beyond ``limit`` rows go the
+    way of ``shuffle_labels`` and add up before the shuffle.
     """
     sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_size"))
+    first, second = unit_numbers(unit)
     rows = df.join(sizes, strata).select(
-        F.col(strata).cast("string").alias("stratum"), F.col(x).cast("double").alias("x"), F.col(label).cast("int").alias("y"),
-        F.col(unit).cast("string").alias("text"), F.col(unit).alias("unit"), (F.col("_size") <= limit).alias("_fits"))
+        F.col(strata).cast("string").alias("stratum"), F.array(*[F.col(x).cast("double") for x in xs]).alias("x"), F.col(label).cast("int").alias("y"),
+        first.alias("u1"), second.alias("u2"), F.col(unit).alias("unit"), (F.col("_size") <= limit).alias("_fits"))
 
     def draw(key, table):
-        order = pc.sort_indices(table["unit"])
-        table = table.take(order)
-        values, positives = table["x"].to_numpy(), int(pc.sum(table["y"]).as_py() or 0)
-        units = [u.encode() for u in table["text"].to_pylist()]
-        first = key[1].as_py() * at_once
-        ids = range(first, min(first + at_once, reps))
-        sums = []
-        for rep in ids:
-            head = f"{seed}|{rep}|".encode()
-            digests = np.frombuffer(b"".join([hashlib.md5(head + u).digest() for u in units]), np.dtype("S16")) if units else []
-            wide = np.frombuffer(np.asarray(digests).tobytes(), ">u8").reshape(-1, 2)
-            chosen = np.lexsort((wide[:, 1], wide[:, 0]))[:positives]  # stable: ties follow the unit
-            sums.append(float(values[chosen].sum()))
-        n = len(sums)
-        return pa.table({"rep": pa.array(ids, pa.int32()), "stratum": pa.array([key[0].as_py()] * n, pa.string()), "n": pa.array([len(units)] * n, pa.int64()),
-                         "n1": pa.array([positives] * n, pa.int64()), "s1": pa.array(sums, pa.float64()), "s": pa.array([float(values.sum())] * n, pa.float64())})
+        table = table.take(pc.sort_indices(table["unit"]))
+        n, width = table.num_rows, len(xs)
+        values, positives = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, width), int(pc.sum(table["y"]).as_py() or 0)
+        u1, u2 = table["u1"].to_numpy(), table["u2"].to_numpy()
+        begin = key[1].as_py() * at_once
+        ids = np.arange(begin, min(begin + at_once, reps))
+        step = max(1, CELLS // max(n, 1))
+        sums = np.concatenate([chosen(seed, ids[i:i + step], u1, u2, positives).astype(float) @ values for i in range(0, len(ids), step)])
+        m = len(ids)
+        return pa.table({"rep": pa.array(ids, pa.int32()), "stratum": pa.array([key[0].as_py()] * m, pa.string()), "n": pa.array([n] * m, pa.int64()),
+                         "n1": pa.array([positives] * m, pa.int64()), "s1": pa.array(sums.tolist(), pa.list_(pa.float64())),
+                         "s": pa.array([values.sum(axis=0).tolist()] * m, pa.list_(pa.float64()))})
 
     chunks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // at_once)))
-    small = rows.where("_fits").withColumn("chunk", chunks).groupBy("stratum", "chunk").applyInArrow(draw, "rep int, stratum string, n long, n1 long, s1 double, s double")
+    small = rows.where("_fits").withColumn("chunk", chunks).groupBy("stratum", "chunk").applyInArrow(
+        draw, "rep int, stratum string, n long, n1 long, s1 array<double>, s array<double>")
     if not has_large(df, [strata], limit):
         return small
-    wide = rows.where("NOT _fits").drop("_fits")
+    wide = rows.where("NOT _fits").drop("_fits", "u1", "u2")
     mixed = shuffle_labels(wide, "stratum", "y", "unit", reps, seed, 0, limit)
-    one = F.col("shuffled") == 1
-    large = mixed.groupBy("rep", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(one).alias("n1"), F.coalesce(F.sum(F.when(one, F.col("x"))), F.lit(0.0)).alias("s1"), F.sum("x").alias("s"))
+    one, each = F.col("shuffled") == 1, range(len(xs))
+    large = mixed.groupBy("rep", "stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(one).alias("n1"), F.array(*[F.coalesce(F.sum(F.when(one, F.col("x")[i])), F.lit(0.0)) for i in each]).alias("s1"),
+        F.array(*[F.sum(F.col("x")[i]) for i in each]).alias("s"))
     return small.unionByName(large)
 
 
@@ -111,30 +110,45 @@ def two_class_strata(df: DataFrame, strata: str, label: str) -> DataFrame:
     return df.join(ok, strata, "left_semi")
 
 
-def weighted_difference(df: DataFrame, keys: list[str], strata: str, x: str, label: str, total: DataFrame | None = None) -> DataFrame:
+def weighted_difference(df: DataFrame, keys: list[str], strata: str, x: str, label: str) -> DataFrame:
     """Sum over strata of (n_s / N) (mean of positives - mean of negatives)."""
     mean = lambda v: F.avg(F.when(F.col(label) == v, F.col(x)))
     per = df.groupBy(*keys, strata).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.coalesce(mean(1) - mean(0), F.lit(0.0)).alias("_d"))
     return per.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_d")) / F.sum("_n")).alias("statistic"))
 
 
-def permutation_null(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42, limit: int = HOT_ROWS) -> DataFrame:
-    """The statistic for each replicate."""
-    usable = two_class_strata(df.where(F.col(x).isNotNull()), strata, label).select(strata, x, label, unit)
-    sums = shuffled_sums(usable, strata, x, label, unit, reps, seed, limit)
-    gap = F.coalesce(F.try_divide("s1", F.col("n1")) - F.try_divide(F.col("s") - F.col("s1"), F.col("n") - F.col("n1")), F.lit(0.0))
-    return sums.groupBy("rep").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("statistic"))
+def permutation_null(df: DataFrame, strata: str, xs: list[str], label: str, unit: str, reps: int, seed: int = 42, limit: int = HOT_ROWS) -> DataFrame:
+    """(rep, feature, statistic) over rows in which no x is null."""
+    usable = two_class_strata(df.dropna(subset=xs), strata, label).select(strata, *xs, label, unit)
+    sums = shuffled_sums(usable, strata, xs, label, unit, reps, seed, limit)
+    cells = sums.select("rep", "n", "n1", F.posexplode(F.arrays_zip("s1", "s")).alias("i", "v"))
+    gap = F.coalesce(F.try_divide("v.s1", F.col("n1")) - F.try_divide(F.col("v.s") - F.col("v.s1"), F.col("n") - F.col("n1")), F.lit(0.0))
+    per = cells.groupBy("rep", "i").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("statistic"))
+    return per.select("rep", F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("i") + 1).alias("feature"), "statistic")
+
+
+def permutation_tests(df: DataFrame, strata: str, xs: list[str], label: str, unit: str, reps: int, seed: int = 42) -> DataFrame:
+    """Per feature: the observed weighted difference and its two-sided p = (hits + 1) / (reps + 1).
+
+    Features without nulls share one draw of labels; a feature with nulls is drawn over its own rows.
+    """
+    gaps = df.agg(*[F.count_if(F.col(x).isNull()).alias(x) for x in xs]).first()
+    whole = [x for x in xs if not gaps[x]]
+    out = None
+    for group in ([whole] if whole else []) + [[x] for x in xs if gaps[x]]:
+        usable = two_class_strata(df.dropna(subset=group), strata, label)
+        long = usable.select(strata, label, *[F.col(x).cast("double").alias(x) for x in group]).unpivot([strata, label], group, "feature", "_x")
+        seen = weighted_difference(long, ["feature"], strata, "_x", label).withColumnRenamed("statistic", "observed")
+        both = permutation_null(df, strata, group, label, unit, reps, seed).join(F.broadcast(seen), "feature")  # a row a feature
+        hits = F.count_if(F.abs(F.round("statistic", 12)) >= F.abs(F.round("observed", 12)))
+        part = both.groupBy("feature", "observed").agg(F.count(F.lit(1)).alias("permutations"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def permutation_test(df: DataFrame, strata: str, x: str, label: str, unit: str, reps: int, seed: int = 42) -> DataFrame:
-    """Observed weighted difference and its two-sided p = (hits + 1) / (reps + 1)."""
-    usable = two_class_strata(df.where(F.col(x).isNotNull()), strata, label)
-    seen = weighted_difference(usable, [], strata, x, label).withColumnRenamed("statistic", "observed")
-    null = permutation_null(df, strata, x, label, unit, reps, seed)
-    both = null.crossJoin(F.broadcast(seen))  # one row
-    hits = F.count_if(F.abs(F.round("statistic", 12)) >= F.abs(F.round("observed", 12)))
-    return both.groupBy("observed").agg(
-        F.count(F.lit(1)).alias("permutations"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """The same for one feature."""
+    return permutation_tests(df, strata, [x], label, unit, reps, seed).drop("feature")
 
 
 def shuffle_auc_test(preds: DataFrame, strata: str, score: str, label: str, unit: str, reps: int, seed: int = 42) -> DataFrame:
@@ -145,8 +159,8 @@ def shuffle_auc_test(preds: DataFrame, strata: str, score: str, label: str, unit
     seen = auc(preds, [], score, label).select(F.col("auc").alias("observed"))
     ranks = average_ranks(preds.select(score, F.lit(1).alias("_one")), [], score, "_one").select(score, "rnk")
     ranked = preds.select(strata, score, label, unit).join(ranks, score)
-    sums = shuffled_sums(ranked, strata, "rnk", label, unit, reps, seed)
-    per = sums.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("s1").alias("r"))
+    sums = shuffled_sums(ranked, strata, ["rnk"], label, unit, reps, seed)
+    per = sums.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("s1")[0]).alias("r"))
     value = F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double"))
     null = per.select("rep", value.alias("auc")).where(F.col("auc").isNotNull())
     both = null.crossJoin(F.broadcast(seen))  # one row
