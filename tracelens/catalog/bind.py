@@ -102,8 +102,12 @@ class Tables:
 
     @cached_property
     def lines(self) -> DataFrame:
+        return self.trace_lines(self.conversations)
+
+    @staticmethod
+    def trace_lines(conversations: DataFrame) -> DataFrame:
         """Conversations as trace lines of the first dialect; every 11th text length gives a broken line."""
-        c = self.conversations.withColumn("len", F.length("text")).withColumn("kind", F.pmod("len", F.lit(4)))
+        c = conversations.withColumn("len", F.length("text")).withColumn("kind", F.pmod("len", F.lit(4)))
         ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), turn)
         thinking = F.struct(F.lit("thinking").alias("type"), F.col("text").alias("thinking"))
         none = F.lit(None).cast("string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import new_stage
+from ..streaming import ingest as I
 from ..streaming import monitor as S
 from .registry import query
 
@@ -30,6 +32,31 @@ def _x1b(t):
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
+def trace_stream(t):
+    """The trace lines of the conversations, as a stream of the table's files."""
+    raw = t.spark.readStream.schema(t.read("conversations").schema).option("pathGlobFilter", "*.parquet")
+    return t.trace_lines(raw.option("recursiveFileLookup", "true").parquet(f"{t.sf_dir}/conversations.parquet"))
+
+
+def ingested(t):
+    """The table that the stream has filled."""
+    if "_ingested" not in t.__dict__:
+        table = new_stage(t.spark)
+        I.ingest(trace_stream(t), table, new_stage(t.spark), gapless=True)
+        t.__dict__["_ingested"] = table
+    return t.__dict__["_ingested"]
+
+
+@query("x1_trace_ingest", "SELECT run_id, seq, tool_id, reasoning_text FROM attributed", lng="run_id seq")
+def _x1c(t):
+    return I.read_ingested(t.spark, ingested(t)).select("run_id", "seq", "tool_id", "reasoning_text")
+
+
+@query("x1_ingest_counts", "SELECT run_id, count(*) AS lines, count_if(broken) AS malformed FROM turns GROUP BY run_id", lng="run_id lines malformed")
+def _x1d(t):
+    return I.line_counts(t.spark, ingested(t))
+
+
 @query("x2_streak_alert", """WITH past AS (SELECT * FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 minute FROM events)),
     s AS (SELECT user_id, event_id, event_type = 'error' AS bad, row_number() OVER w - coalesce(max(CASE WHEN event_type <> 'error' THEN event_rank END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS streak
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_rank FROM past) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

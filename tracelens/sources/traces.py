@@ -69,6 +69,24 @@ def blocks(lines: DataFrame) -> DataFrame:
         "run_id", "line_no", "role", F.size(F.filter("content", is_tool)).alias("line_tools"),
         F.posexplode("content").alias("block_pos", "b"),
     ).withColumn("kind", _get("b", "$.type"))
+    return _shape(each)
+
+
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """The same blocks with every line in them: a line without blocks is one row without ``kind``, a malformed one is ``bad``.
+
+    Each row depends on its line alone, so it works on a stream.
+    """
+    filled = F.regexp_replace("line", r"\s+", "") != ""
+    v = lines.withColumn("v", F.when(filled, F.try_parse_json("line"))).withColumn("bad", filled & F.col("v").isNull()).withColumn("role", _get("v", "$.type"))
+    content = F.when(F.col("role").isin("assistant", "user"), _get("v", "$.message.content", "array<variant>"))
+    is_tool = lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_use", F.lit(False))
+    listed = v.select("run_id", "line_no", "role", "bad", content.alias("content"))
+    each = listed.select("run_id", "line_no", "role", "bad", F.coalesce(F.size(F.filter("content", is_tool)), F.lit(0)).alias("line_tools"), F.posexplode_outer("content").alias("block_pos", "b"))
+    return _shape(each.withColumn("kind", _get("b", "$.type")), "bad")
+
+
+def _shape(each: DataFrame, *more: str) -> DataFrame:
     content = (
         F.when(F.col("kind") == "thinking", F.coalesce(F.nullif(_get("b", "$.thinking"), F.lit("")), _get("b", "$.text")))
         .when(F.col("kind") == "text", _get("b", "$.text"))
@@ -80,7 +98,7 @@ def blocks(lines: DataFrame) -> DataFrame:
         _get("b", "$.name").alias("tool_name"),
         F.to_json(_get("b", "$.input", "variant")).alias("input_json"),
         F.when(F.col("kind") == "tool_result", F.coalesce(_get("b", "$.is_error", "boolean"), F.lit(False))).alias("is_error"),
-        F.lit(None).cast("string").alias("output"),
+        F.lit(None).cast("string").alias("output"), *more,
     )
 
 
