@@ -8,13 +8,13 @@ import numpy as np
 from tracelens.llm.jaccard_join import jaccard_components, least_difference, parity_bits
 
 
-def sets(text):
+def sets(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    s = [sets(t) for _, t in rows]
+def brute(rows, k=3, t=90):
+    s = [sets(text, k) for _, text in rows]
     group = list(range(len(rows)))
 
     def root(i):
@@ -26,7 +26,7 @@ def brute(rows):
         for j in range(i):
             if s[i] and s[j] and rows[i][0] is not None and rows[j][0] is not None:
                 common = len(s[i] & s[j])
-                if 100 * common >= 90 * (len(s[i]) + len(s[j]) - common):
+                if 100 * common >= t * (len(s[i]) + len(s[j]) - common):
                     group[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -56,6 +56,15 @@ def test_components(spark):
     assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == brute(rows)
 
 
+def test_five_words_and_eighty_per_cent(spark):
+    rnd = random.Random(6)
+    texts = [t for _ in range(4) for t in family(rnd, 20, 200, 5)] + [t + " more words" * rnd.randint(1, 30) for t in family(rnd, 10, 150, 1)] + ["", "a b c", "a b c"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_components(df, k=5, t=80, with_text_hash=True)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute(rows, 5, 80) and len({r.text_hash for r in got.collect()}) == len(set(texts))
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -32,7 +32,9 @@ def test_stages(spark):
     at = [rows(f) for f in frames]
     score = rows(classify(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     assert set(at[1]) == {d for d in at[0] if score[d].predicted == 1}
-    assert set(at[2]) == {d for d, _, c in components([(d, r.text) for d, r in at[1].items()]) if d == c}
+    texts = [(d, r.text) for d, r in at[1].items()]
+    assert set(at[2]) == {d for d, _, c in components(texts, 5, 80) if d == c}
+    assert {r.doc_id for r in P.near_duplicates(spark, frames[1], SF, 3, 90).collect()} == {d for d, _, c in components(texts) if d == c}
     want = {d: (n, gone, sha) for d, n, gone, _, sha in removed([(d, r.text) for d, r in at[2].items()], 50, False)}
     assert set(at[3]) == {d for d, (n, gone, _) in want.items() if gone < n or not gone}
     for d, r in at[3].items():
@@ -65,3 +67,23 @@ def test_defined_cases(spark):
         for _, stage in P.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() <= len(data)
+
+
+def test_one_row_of_an_id_in_a_component(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    texts = [(7, " ".join(words)), (7, " ".join(words)), (7, near), (9, near), (7, ""), (7, ""), (8, None), (8, "alone here"), (None, near), (None, near)]
+    odd = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in texts], docs.schema)
+    got = sorted((r.doc_id, r.text) for r in P.near_duplicates(spark, odd, SF).where("doc_id IS NOT NULL").collect() if r.text is not None)
+    assert [g for g in got if g[0] != 7] == [(8, "alone here")] and [t == "" for i, t in got if i == 7] in ([True, False],)
+    every = P.near_duplicates(spark, odd, SF)
+    assert every.where("doc_id IS NULL").count() == 2 and every.where("doc_id = 8").count() == 2 and every.columns == docs.columns
+
+
+def test_cut_texts_keep_nulls_and_other_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "the same passage of many more than fifty bytes stands here " * 2
+    odd = spark.createDataFrame([(1, text, "en", "s", 5), (2, "x" + text, "de", "t", 6), (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, text, "en", "s", 1)], docs.schema)
+    got = {r.doc_id: (r.text, r.lang, r.n_chars) for r in P.repeated_text(spark, odd, SF).collect()}
+    assert got == {1: (text, "en", 5), 2: ("x", "de", 1), 3: (None, "en", None), 4: ("", "en", 0)}

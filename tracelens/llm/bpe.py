@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caches import claim
+from .caches import claim, settle
 from .pretokens import KINDS, Splitter
 
-MOVES, STATES, WORDS = 400_000, 100_000, 200_000
+MOVES, STATES, WORDS = 250_000, 60_000, 120_000
 
 
 class MergeTransducer:
@@ -270,6 +270,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(digest.hexdigest())
                 kept.append(packed if with_ids else None)
+            settle()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()),
                                               pa.array(kept, pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 

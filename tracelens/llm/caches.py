@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: list = [None, None]
 
 
@@ -15,3 +18,13 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
         if before:
             before()
             gc.collect()
+        settle()
+
+
+def settle() -> None:
+    """Give memory that this worker has freed back to the system; other workers and the JVM share the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library keeps its own ways

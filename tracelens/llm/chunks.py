@@ -32,13 +32,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
     return slim.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
-ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold fewer rows than Spark's default, as rows are whole texts; a session's own choice stays."""
+def short_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Let Arrow batches hold fewer rows (and bytes) than Spark's defaults, as rows are whole texts; a session's own choice stays."""
     if spark.conf.get(ROWS) == "10000":
         spark.conf.set(ROWS, str(rows))
+    if size and spark.conf.get(BYTES).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BYTES, str(size))
 
 
 def in_order(rows: pa.Table) -> pa.Table:

@@ -195,8 +195,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, t: int)
     return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; links are pairs with 100 |A and B| >= t |A or B|."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = THRESHOLD, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; links are pairs with 100 |A and B| >= t |A or B|.
+
+    ``with_text_hash`` adds ``text_hash``, xxhash64 of the text, which tells rows of one id apart.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -215,10 +218,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 node.append(_fingerprint(s))
                 prefix.append(s[order].tobytes())
                 bits.append(parity_bits(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
-                                             ["id", "n", "node", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), *batch.columns[2:]],
+                                             ["id", "n", "node", "prefix", "bits", *batch.schema.names[2:]])
 
-    sketches = materialize(docs.mapInArrow(sketch, "id long, n long, node long, prefix binary, bits binary"))
+    text_hash = ["text_hash"] if with_text_hash else []
+    rows = docs.select("id", "text", F.xxhash64("text").alias("text_hash")) if with_text_hash else docs
+    sketches = materialize(rows.mapInArrow(sketch, "id long, n long, node long, prefix binary, bits binary" + (", text_hash long" if with_text_hash else "")))
     classes = materialize(sketches.where("n > 0 AND id IS NOT NULL").groupBy("node", "n", "prefix", "bits").agg(F.min("id").alias("home")))
     groups = classes.groupBy("n", "prefix").agg(F.min("node").alias("gid"))
 
@@ -266,7 +271,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = components(links.unionByName(more))
     least = labels.join(homes, "node").groupBy("label").agg(F.min("home").alias("component"))
     component = labels.join(least, "label").select("node", "component")
-    known = classes.join(component, "node", "left").select("node", F.coalesce("component", "home").alias("component"))
+    known = materialize(classes.join(component, "node", "left").select("node", F.coalesce("component", "home").alias("component")))
     return sketches.join(known, "node", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"), *text_hash)

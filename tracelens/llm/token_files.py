@@ -35,7 +35,7 @@ from .textnum import blocks, flat
 
 END, FILE_BYTES, STRIPE_BYTES, INDEX_ROWS = 0, 64 << 20, 16 << 20, 1_000
 #: Pieces of texts that a worker keeps, and bytes of text encoded together.
-KEPT, AT_ONCE = 400_000, 4 << 20
+KEPT, AT_ONCE = 900_000, 4 << 20
 #: The letter of a space in byte-level vocabularies; pieces that are one pre-token whatever the version of Unicode.
 SPACE, LETTERS = "\u0120", re.compile(rb" [A-Za-z]+")
 #: White space of one byte, in any library's view.

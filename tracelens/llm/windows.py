@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .caches import settle
 from .chunks import CHUNK_BYTES, array_of, bucket_edges, chunked, ids_of, in_order
 from .textnum import BYTE_CODE, IS_SPACE, U64, blocks, flat, mix, rolling, runs, sliding_min, span_hashes, word_spans
 
@@ -87,11 +88,15 @@ class Block:
         return (begin, last) if self.at is None else (self.at[begin], self.at[last] - 1)
 
 
+#: Bytes of text whose units are looked at together.
+BLOCK = 1 << 19
+
+
 def _blocks(spec: Spec, rows: pa.Table):
     """Blocks of a chunk with the ids of their rows."""
     ids = ids_of(rows)
     data, offsets = flat(rows["text"])
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, BLOCK):
         yield ids[i:j], Block(spec, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
 
 
@@ -196,6 +201,11 @@ class Pieces:
 SHIPPED = "shard int, chunk long, strings binary, lengths binary, ids binary"
 
 
+def _settled(out: pa.Table) -> pa.Table:
+    settle()
+    return out
+
+
 def _send_pieces(spec: Spec, shards: int):
     def send(rows: pa.Table, marks: pa.Table) -> pa.Table:
         out = []
@@ -208,7 +218,7 @@ def _send_pieces(spec: Spec, shards: int):
             for part in np.split(order, cuts) if len(order) else []:
                 strings = [p.strings[i] for i in part.tolist()]
                 out.append((int(shard[part[0]]), chunk, b"".join(strings), np.array([len(s) for s in strings], np.uint32).tobytes(), least[part].tobytes()))
-        return _table(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["shard", "chunk", "strings", "lengths", "ids"])
+        return _settled(_table(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["shard", "chunk", "strings", "lengths", "ids"]))
     return send
 
 
@@ -242,8 +252,8 @@ def _answer(spec: Spec, solve):
             counts.append(n.astype(np.uint32).tobytes())
             lengths.append(length[pick].astype(np.uint32).tobytes())
             ids.append(windows[begin[pick]].tobytes())
-        return pa.table({"shard": rows["shard"], "chunk": rows["chunk"], "counts": pa.array(counts, pa.binary()),
-                         "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        return _settled(pa.table({"shard": rows["shard"], "chunk": rows["chunk"], "counts": pa.array(counts, pa.binary()),
+                         "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(ids, pa.binary())}))
     return answer
 
 
@@ -288,11 +298,11 @@ def find_covered(docs: DataFrame, id_col: str, text_col: str, spec: Spec, solve,
     by_chunk = base.groupBy("chunk")
 
     def send(rows: pa.Table) -> pa.Table:
-        return _send_minimisers(spec, buckets)(in_order(rows))
+        return _settled(_send_minimisers(spec, buckets)(in_order(rows)))
 
     def end(rows: pa.Table, answers: pa.Table, marks: pa.Table) -> pa.Table:
         rows = in_order(rows)
-        return finish(rows, list(_covered(Pieces(spec, rows, marks, shards, True), answers)))
+        return _settled(finish(rows, _covered(Pieces(spec, rows, marks, shards, True), answers)))
 
     marks = by_chunk.applyInArrow(send, PACKED).groupBy("bucket").applyInArrow(_judge_minimisers(spec, hot), "bucket int, chunk long, body binary")
     shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(_send_pieces(spec, shards), SHIPPED)
