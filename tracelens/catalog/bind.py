@@ -252,6 +252,8 @@ def with_ctes(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

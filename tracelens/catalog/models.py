@@ -13,7 +13,7 @@ from ..session import materialize
 from . import bind as B
 from .registry import query
 from .sequences import LONG_FEATURES
-from .statistics import fisher, rnk, within
+from .statistics import fisher, rho_sql, rnk, t_p, within
 
 PERMUTATIONS, DRAWS = 10_000, 2_000
 
@@ -162,30 +162,110 @@ def _m9b(t):
     return V.critic_quality(t.runs.withColumn("level", level), ["stratum"], "level", "success")
 
 
-# -- models: no SQL form; checked against plain numpy in the tests --------------------------
+# -- models: SQL reaches the same maximum by a fixed number of steps with a bound of the Hessian ------------
 
 FEATURES = ["f_tokens", "f_common", "f_commas", "f_parts"]
 FOCAL = ["en", "fr"]  # strata in which features are selected
 
 
-@query("m1_logistic_regression")
+STEPS, POLISH = 200, 5
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(items) + "]"
+
+
+def gauss_sql(size: int, source: str, keys: str, name: str) -> str:
+    """``name`` (keys, w): the inverse of the matrix m (rows of lists) of each row of ``source``, by elimination without row swaps."""
+    unit = "m[i][c] - m[i][pv + 1] * m[pv + 1][c] / m[pv + 1][pv + 1]"
+    return f"""{name}_e AS (SELECT {keys}, 0 AS pv, list_transform(range(1, {size + 1}), lambda i: list_concat(m[i], list_transform(range(1, {size + 1}), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0 END))) AS m FROM {source}
+        UNION ALL SELECT {keys}, pv + 1, list_transform(range(1, {size + 1}), lambda i: CASE WHEN i = pv + 1 THEN list_transform(m[i], lambda v: v / m[pv + 1][pv + 1]) ELSE list_transform(range(1, {2 * size + 1}), lambda c: {unit}) END) FROM {name}_e WHERE pv < {size}),
+    {name} AS (SELECT {keys}, list_transform(range(1, {size + 1}), lambda i: m[i][{size + 1}:{2 * size}]) AS w FROM {name}_e WHERE pv = {size})"""
+
+
+def fit_sql(size: int, penalty: float = 1.0, steps: int = STEPS) -> str:
+    """CTEs ``fit`` (fold, b, ll, h, converged) from ``z`` (fold, y, and c1 = 1, c2 … standardised) and ``keep`` (fold, k: list of 0 and 1).
+
+    Each step solves with Z'Z / 4 + penalty, which bounds every Hessian, so the likelihood never falls; a few Newton steps
+    follow, which stay long where the maximum is at infinity.
+    """
+    ids = range(1, size + 1)
+    eta = " + ".join(f"s.b[{i}] * z.c{i}" for i in ids)
+    prob = f"1 / (1 + exp(-({eta})))"
+    gram = _list(_list(f"sum(c{min(i, j)} * c{max(i, j)})" for j in ids) for i in ids)
+    ridge = f"CASE WHEN i = 1 THEN 0 ELSE {penalty} END"
+    grad = _list(f"s.k[{i}] * (sum((z.y - p) * z.c{i}) - {0 if i == 1 else penalty} * s.b[{i}])" for i in ids)
+    hess = _list(_list(f"sum(p * (1 - p) * c{min(i, j)} * c{max(i, j)})" for j in ids) for i in ids)
+    inner = f"SELECT z.*, s.b, s.n, s.k, s.w, {prob} AS p, {eta} AS eta FROM {{}} s JOIN z ON z.fold = s.fold"
+    any_ = lambda x: x.replace("s.b", "any_value(b)").replace("s.k", "any_value(k)").replace("z.", "")
+    newton, before = "", "last"
+    for step in range(1, POLISH + 1):
+        whole = _list(_list(f"any_value(k)[{i}] * any_value(k)[{j}] * (sum(p * (1 - p) * c{min(i, j)} * c{max(i, j)})" + (f" + {penalty}" if i == j > 1 else "") + ")" + (f" + 1 - any_value(k)[{i}]" if i == j else "") for j in ids) for i in ids)
+        newton += f""",
+    q{step} AS (SELECT fold, any_value(k) AS k, any_value(w) AS w0, any_value(n) AS n, any_value(b) AS b, {any_(grad)} AS g, {whole} AS m FROM ({inner.format(before)}) GROUP BY fold),
+    {gauss_sql(size, f'q{step}', 'fold, k, w0, n, b, g', f'i{step}')},
+    p{step} AS (SELECT fold, k, w0 AS w, n, list_transform(range(1, {size + 1}), lambda i: b[i] + list_dot_product(w[i], g)) AS b, list_max(list_transform(range(1, {size + 1}), lambda i: abs(list_dot_product(w[i], g)))) AS moved FROM i{step})"""
+        before = f"p{step}"
+    return f"""gram AS (SELECT fold, {gram} AS g FROM z GROUP BY fold),
+    bound AS (SELECT fold, k, list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j: k[i] * k[j] * (g[i][j] / 4 + CASE WHEN i = j THEN {ridge} ELSE 0 END) + CASE WHEN i = j THEN 1 - k[i] ELSE 0 END)) AS m FROM gram JOIN keep USING (fold)),
+    {gauss_sql(size, 'bound', 'fold, k', 'inv')},
+    it AS (SELECT fold, k, w, 0 AS n, {_list(['0.0::DOUBLE'] * size)} AS b FROM inv
+        UNION ALL SELECT fold, k, w, n + 1, list_transform(range(1, {size + 1}), lambda i: b[i] + list_dot_product(w[i], g)) FROM (
+            SELECT fold, any_value(k) AS k, any_value(w) AS w, any_value(n) AS n, any_value(b) AS b, {any_(grad)} AS g
+            FROM ({inner.format('it')} WHERE s.n < {steps}) GROUP BY fold)),
+    last AS (SELECT * FROM it WHERE n = {steps}){newton},
+    fit AS (SELECT fold, any_value(b) AS b, any_value(moved) < 1e-3 AS converged, sum(y * eta - ln(1 + exp(eta))) AS ll, {hess} AS h
+        FROM ({inner.format(before).replace('SELECT z.*,', 'SELECT z.*, s.moved,')}) GROUP BY fold)"""
+
+
+def scaled(by: str = "", source: str = "tr") -> str:
+    """Columns y, c1 = 1 and the standardised features."""
+    over = f"OVER ({by})"
+    return "success AS y, 1.0::DOUBLE AS c1, " + ", ".join(
+        f"({f} - avg({f}) {over}) / coalesce(nullif(stddev_pop({f}) {over}, 0), 1) AS c{i + 2}" for i, f in enumerate(FEATURES))
+
+
+def held_out_sql(masks: str) -> str:
+    """CTEs up to ``held_out`` (fold, run_id, y, score): every task left out, ``keep`` from ``masks``."""
+    means = ", ".join(f"avg({f}) AS m{i + 2}, coalesce(nullif(stddev_pop({f}), 0), 1) AS d{i + 2}" for i, f in enumerate(FEATURES))
+    return f"""folds AS (SELECT DISTINCT task_id AS fold FROM features), tr AS (SELECT fold, f.* FROM folds JOIN features f ON f.task_id <> fold),
+    z AS (SELECT fold, {scaled('PARTITION BY fold')} FROM tr), scale AS (SELECT fold, min(success) < max(success) AS two_classes, {means} FROM tr GROUP BY fold),
+    {masks}, {fit_sql(len(FEATURES) + 1)},
+    held_out AS (SELECT f.run_id, f.task_id, f.success AS y, 1 / (1 + exp(-(b[1] + {' + '.join(f'b[{i + 2}] * ({c} - m{i + 2}) / d{i + 2}' for i, c in enumerate(FEATURES))}))) AS score
+        FROM features f JOIN fit ON fit.fold = f.task_id JOIN scale ON scale.fold = f.task_id WHERE two_classes)"""
+
+
+_ALL = f"keep AS (SELECT DISTINCT fold, {_list(['1'] * (len(FEATURES) + 1))} AS k FROM z)"
+
+
+@query("m1_logistic_regression", f"""WITH RECURSIVE z AS (SELECT 0 AS fold, {scaled()} FROM features), {_ALL}, {fit_sql(len(FEATURES) + 1)}
+    SELECT unnest({_list(f"'{n}'" for n in ['intercept', *FEATURES])}) AS term, unnest(b) AS coefficient, converged FROM fit""", dbl="coefficient")
 def _m1(t):
     m = M.fit(materialize(t.features), FEATURES, "success")
-    rows = [(name, float(b)) for name, b in zip(["intercept", *FEATURES], m["beta"])]
-    return t.spark.createDataFrame(rows, "term string, coefficient double")
+    rows = [(name, float(b), m["converged"]) for name, b in zip(["intercept", *FEATURES], m["beta"])]
+    return t.spark.createDataFrame(rows, "term string, coefficient double, converged boolean")
 
 
-@query("m2_leave_task_out")
+@query("m2_leave_task_out", f"WITH RECURSIVE {held_out_sql(_ALL)} SELECT run_id, task_id, CAST(y AS INTEGER) AS y, score FROM held_out", dbl="score")
 def _m2(t):
     p, _ = M.cross_validate(t.features.select("run_id", "task_id", "success", *FEATURES), FEATURES, ["success"], "task_id")
     return p.select("run_id", "task_id", "y", "score")
 
 
-@query("m3_nested_selection_cv")
+_PICK = f"""sel_long AS (SELECT fold, model, success, unnest({_list(f"'{f}'" for f in FEATURES)}) AS feature, unnest({_list(FEATURES)}) AS x FROM tr WHERE model IN ({', '.join(f"'{m}'" for m in FOCAL)})),
+    sel_rho AS ({rho_sql('sel_long', 'fold, model, feature', floor=5)}), sel AS (SELECT DISTINCT fold, feature FROM (SELECT *, {t_p('rho', 'n')} AS p FROM sel_rho) WHERE abs(rho) > 0.15 AND p < 0.10),
+    picked AS (SELECT fold, coalesce(list(feature) FILTER (WHERE feature IS NOT NULL), []) AS fs FROM folds LEFT JOIN sel USING (fold) GROUP BY fold),
+    keep AS (SELECT fold, list_concat([1], list_transform({_list(f"'{f}'" for f in FEATURES)}, lambda f: CASE WHEN len(fs) = 0 OR list_contains(fs, f) THEN 1 ELSE 0 END)) AS k FROM picked)"""
+
+
+@query("m3_nested_selection_cv", f"""WITH RECURSIVE {held_out_sql(_PICK)}, m AS (SELECT avg(CASE WHEN (score >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, avg((score - y) * (score - y)) AS brier FROM held_out),
+    stable AS (SELECT unnest({_list(f"'{f}'" for f in FEATURES)}) AS feature, unnest({_list(f'avg(k[{i + 2}])' for i in range(len(FEATURES)))}) AS stability FROM keep)
+    SELECT feature, stability, n, auc, accuracy, brier FROM stable, m, ({auc_sql('held_out', '', 'score', 'y')})""", dbl="stability auc accuracy brier", lng="n")
 def _m3(t):
     rows = t.features.select("run_id", "task_id", "model", "success", *FEATURES)
     p, share = M.cross_validate(rows, FEATURES, ["success"], "task_id", select_in=("model", FOCAL))
     stable = t.spark.createDataFrame([(k, v) for k, v in share.items()], "feature string, stability double")
+    p = materialize(p)
     scores = V.auc(p, [], "score", "y").crossJoin(F.broadcast(V.binary_metrics(p, [], "score", "y").select("accuracy", "brier")))
     return stable.crossJoin(F.broadcast(scores))  # one row of scores
 
@@ -199,7 +279,18 @@ def _b3(t):
         F.count("auc").alias("permutations"), F.avg("auc").alias("mean_null"), F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"))
 
 
-@query("t24_stratum_logit")
+_TOP = "SELECT stratum, row_number() OVER (ORDER BY count(*) DESC, stratum) AS place FROM features GROUP BY stratum QUALIFY place <= 3"
+_TWO_SIDED = _NORMAL.format(z="least({z}, 8)")
+
+
+@query("t24_stratum_logit", f"""WITH RECURSIVE top3 AS ({_TOP}), part AS (SELECT f.*, place FROM features f JOIN top3 USING (stratum)),
+    z AS (SELECT v.f AS fold, success AS y, 1.0::DOUBLE AS c1, CASE v.f {' '.join(f"WHEN '{f}' THEN ({f} - avg({f}) OVER (PARTITION BY v.f)) / stddev_samp({f}) OVER (PARTITION BY v.f)" for f in FEATURES)} ELSE 0.0 END AS c2,
+        CASE WHEN place = 2 THEN 1.0::DOUBLE ELSE 0 END AS c3, CASE WHEN place = 3 THEN 1.0::DOUBLE ELSE 0 END AS c4 FROM part, (SELECT unnest({_list(f"'{f}'" for f in ['', *FEATURES])}) AS f) v),
+    keep AS (SELECT fold, [1, CASE WHEN fold = '' THEN 0 ELSE 1 END, 1, 1] AS k FROM (SELECT DISTINCT fold FROM z)), {fit_sql(4, 0.0)},
+    hh AS (SELECT fold, b, ll, converged, h AS m FROM fit WHERE fold <> ''), {gauss_sql(4, 'hh', 'fold, b, ll, converged', 'cov')},
+    t AS (SELECT fold AS feature, converged, CASE WHEN converged THEN b[2] END AS coef, CASE WHEN converged THEN b[2] / sqrt(w[2][2]) END AS wald,
+        CASE WHEN converged THEN greatest(2 * (ll - (SELECT ll FROM fit WHERE fold = '')), 0) END AS lr FROM cov)
+    SELECT feature, (SELECT count(*) FROM part) AS n, coef, wald, lr, converged, CASE WHEN converged THEN {_TWO_SIDED.format(z='abs(wald)')} END AS p, CASE WHEN converged THEN {_TWO_SIDED.format(z='sqrt(lr)')} END AS lr_p FROM t""", dbl="coef wald lr p lr_p", lng="n")
 def _t24(t):
     return M.stratum_logit_table(t.features, FEATURES, "stratum", "success")
 
@@ -231,3 +322,16 @@ def _e21b(t):
     SELECT count(auc) AS replicates, avg(auc) AS mean, stddev_samp(auc) AS se, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM a""", dbl="mean se low high", lng="replicates")
 def _e21c(t):
     return R.bootstrap_interval(materialize(R.block_bootstrap_auc(preds(t), "task_id", "score", "success", DRAWS)))
+
+
+_AP_SAMPLE = f"""placed AS (SELECT *, row_number() OVER (ORDER BY md5(task_id), task_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT task_id FROM preds)),
+    drawn AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || i), 1, 8))::BIGINT % m AS i FROM placed, range(0, {DRAWS}) g(rep)),
+    s AS (SELECT rep, score, count(*) AS w, count(*) FILTER (WHERE success = 1) AS p FROM drawn JOIN placed USING (i) JOIN preds USING (task_id) GROUP BY rep, score),
+    steps AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY score DESC) AS hits, sum(w) OVER (PARTITION BY rep ORDER BY score DESC) AS seen FROM s),
+    a AS (SELECT rep, sum(p * hits / seen) / nullif(sum(p), 0) AS ap FROM steps GROUP BY rep)"""
+
+
+@query("e21_block_bootstrap_precision", f"""WITH {_AP_SAMPLE}
+    SELECT count(ap) AS replicates, avg(ap) AS mean, stddev_samp(ap) AS se, quantile_cont(ap, 0.025) AS low, quantile_cont(ap, 0.975) AS high FROM a""", dbl="mean se low high", lng="replicates")
+def _e21d(t):
+    return R.bootstrap_interval(materialize(R.block_bootstrap_precision(preds(t), "task_id", "score", "success", DRAWS)), "average_precision")

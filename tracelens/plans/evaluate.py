@@ -29,10 +29,11 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, weight: str | No
     return sums.select(*keys, F.col("_n").cast("long").alias("n"), value.alias("auc"))
 
 
-def average_precision(df: DataFrame, keys: list[str], score: str, label: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Area under precision-recall by steps at distinct scores, highest first."""
+def average_precision(df: DataFrame, keys: list[str], score: str, label: str, limit: int = HOT_ROWS, weight: str | None = None) -> DataFrame:
+    """Area under precision-recall by steps at distinct scores, highest first; rows count ``weight`` times."""
+    w = F.lit(1) if weight is None else F.col(weight)
     cells = df.groupBy(*keys, (-F.col(score)).alias("_s")).agg(
-        F.count(F.lit(1)).alias("_w"), F.count_if(F.col(label) == 1).alias("_p"))
+        F.sum(w).alias("_w"), F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("_p"))
     seen = cumulative(cells, keys, "_s", "_w", limit).select(*keys, "_s", F.col("cum").alias("_seen"))
     hits = cumulative(cells, keys, "_s", "_p", limit).select(*keys, "_s", F.col("w").alias("_here"), F.col("cum").alias("_hits"))
     both = seen.join(hits, [*keys, "_s"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators.skew import quantile
+from ..operators.skew import HOT_ROWS, average_ranks, quantile
+from ..session import materialize
 from . import association as A
 
 
@@ -109,17 +110,55 @@ def intraclass(df: DataFrame, strata: str, x: str) -> DataFrame:
                     F.try_divide(msb - msw, msb + (n0 - 1) * msw).alias("icc"))
 
 
-def pair_values(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
+def pair_values(df: DataFrame, ids: list[str], features: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(f1, f2, x, y) for each feature pair; the factor is the number of pairs, not of rows."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    pairs = pairs or [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     cells = F.array(*[
         F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
         for a, b in pairs])
     return df.select(*ids, F.explode(cells).alias("_p")).select(*ids, "_p.*")
 
 
-def intercorrelation(df: DataFrame, features: list[str], flag: float = 0.5) -> DataFrame:
-    out = A.spearman(pair_values(df, [], features), ["f1", "f2"], min_n=5)
+def reaching(tests: DataFrame, features: list[str], p: float = 0.10) -> list[str]:
+    """The features that reach ``p`` in any of the tests (feature, p), in the given order."""
+    found = {r["feature"] for r in tests.where(F.col("p") < p).select("feature").distinct().collect()}  # at most one a feature
+    return [f for f in features if f in found]
+
+
+def intercorrelation(df: DataFrame, features: list[str], flag: float = 0.5, min_n: int = 5, limit: int = HOT_ROWS) -> DataFrame:
+    """(f1, f2, n, rho, collinear) for each pair of features.
+
+    A feature without nulls is ranked once; one aggregation of all products of ranks then gives every pair. Only pairs
+    with a feature that has nulls are ranked pair by pair, as other rows count for each.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "f1 string, f2 string, n long, rho double, collinear boolean")
+    rows = materialize(df.select(*[F.col(f).cast("double").alias(f) for f in features]))
+    gaps = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    whole = [f for f in features if not gaps[f]]
+    parts = []
+    if len(whole) > 1:
+        numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *whole)  # a written table: the numbers stay
+        long = A.to_long(numbered, ["_row"], whole)
+        ranks = average_ranks(long.select("feature", "x", F.lit(1).alias("_c")), ["feature"], "x", "_c", limit)
+        each = [F.max(F.when(F.col("feature") == f, F.col("rnk"))).alias(f) for f in whole]
+        wide = long.join(ranks.select("feature", "x", "rnk"), ["feature", "x"]).groupBy("_row").agg(*each)
+        at = {f: i for i, f in enumerate(whole)}
+        inner = [(a, b) for a, b in pairs if a in at and b in at]
+        mid = rows.count() / 2 + 0.5  # ranks of n rows add up to n times this
+        centred = wide.select(*[(F.col(f) - mid).alias(f) for f in whole])
+        sums = centred.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f) * F.col(f)).alias(f"_s{at[f]}") for f in whole],
+                           *[F.sum(F.col(a) * F.col(b)).alias(f"_p{at[a]}_{at[b]}") for a, b in inner])
+        cells = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"_p{at[a]}_{at[b]}").alias("p"), F.col(f"_s{at[a]}").alias("a"), F.col(f"_s{at[b]}").alias("b"))
+                          for a, b in inner])
+        one = sums.select("n", F.explode(cells).alias("c"))
+        rho = F.when(F.col("n") >= min_n, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c.p", F.sqrt(F.col("c.a") * F.col("c.b"))))))
+        parts.append(one.select("c.f1", "c.f2", F.col("n").cast("long").alias("n"), rho.alias("rho")))
+    rest = [(a, b) for a, b in pairs if gaps[a] or gaps[b]]
+    if rest:
+        parts.append(A.spearman(pair_values(rows, [], features, rest), ["f1", "f2"], min_n=min_n, limit=limit).select("f1", "f2", "n", "rho"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumn("collinear", F.coalesce(F.abs("rho") > flag, F.lit(False)))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import P, chosen, unit_numbers, with_draw
 from ..operators.skew import HOT_ROWS, average_ranks, has_large, positions, quantile
 from ..session import materialize
-from .evaluate import auc
+from .evaluate import auc, average_precision
 
 
 def digest(seed: int, rep: str, unit: str) -> Column:
@@ -213,11 +213,21 @@ def block_bootstrap_mean(df: DataFrame, cluster: str, value: str, reps: int, see
     return both.groupBy("rep").agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("mean"))
 
 
-def block_bootstrap_auc(preds: DataFrame, cluster: str, score: str, label: str, reps: int, seed: int = 42) -> DataFrame:
-    """AUC per replicate when whole clusters are redrawn; a cluster's rows count as often as it was drawn."""
+def _redrawn(preds: DataFrame, cluster: str, score: str, label: str, reps: int, seed: int) -> DataFrame:
+    """(rep, _k, cluster, score, label): the rows of each drawn cluster with how often it was drawn."""
     placed = materialize(numbered(preds.select(cluster).distinct(), cluster).withColumnRenamed("position", "_i"))
     m = placed.count()
     draw = F.conv(F.substring(digest(seed, "rep", "_i"), 1, 8), 16, 10).cast("long") % F.lit(m)
     drawn = replicated(placed.select("_i"), reps).select("rep", draw.alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
-    rows = drawn.join(placed, "_i").join(preds.select(cluster, score, label), cluster)
-    return auc(rows, ["rep"], score, label, weight="_k").where(F.col("auc").isNotNull())
+    return drawn.join(placed, "_i").join(preds.select(cluster, score, label), cluster)
+
+
+def block_bootstrap_auc(preds: DataFrame, cluster: str, score: str, label: str, reps: int, seed: int = 42) -> DataFrame:
+    """AUC per replicate when whole clusters are redrawn; a cluster's rows count as often as it was drawn."""
+    return auc(_redrawn(preds, cluster, score, label, reps, seed), ["rep"], score, label, weight="_k").where(F.col("auc").isNotNull())
+
+
+def block_bootstrap_precision(preds: DataFrame, cluster: str, score: str, label: str, reps: int, seed: int = 42) -> DataFrame:
+    """The same for average precision, from weighted running counts per replicate."""
+    rows = _redrawn(preds, cluster, score, label, reps, seed)
+    return average_precision(rows, ["rep"], score, label, weight="_k").where(F.col("average_precision").isNotNull())
