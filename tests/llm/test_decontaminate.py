@@ -3,10 +3,13 @@
 import random
 import re
 
+import numpy as np
+
 from tracelens.llm import decontaminate as D
 
 
 def words(t):
+    t = re.sub("([\u3000-\u9fff\u0e00-\u0eff])", r" \1 ", t or "")
     return [w for w in ("".join(c for c in x if ord(c) > 127 or c.isalnum()) for x in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in t or ""))) if w]
 
 
@@ -35,7 +38,7 @@ def test_pairs(spark):
     bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, " ".join(items[0]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "'x' as score")
     other = spark.createDataFrame(bench, "item_id long, text string")
-    want = sorted(((d, i) for d, t in docs for i, w in bench if len(words(w)) >= 3 and smith_waterman(words(w), words(t)) >= 0.5), key=str)
+    want = sorted(((d, i) for d, t in docs for i, w in bench if words(w) and smith_waterman(words(w), words(t)) >= 0.5), key=str)
     for block in (40, 1 << 20):
         got = D.contaminated(df, other, block_words=block).collect()
         assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == want
@@ -43,6 +46,43 @@ def test_pairs(spark):
     assert all(abs(r.score - smith_waterman(words(dict(bench)[r.item_id]), words(text[r.doc_id]))) < 1e-9 for r in got if r.doc_id is not None)
 
 
+def test_every_pair_of_the_plain_alignment(spark):
+    """Copies with every third word replaced, with words put in, left out or in one row only; items of one and two words; scripts without spaces."""
+    rnd = random.Random(12)
+    noise = lambda n: [f"w{rnd.randrange(60)}" for _ in range(n)]
+    items = [noise(rnd.randint(3, 26)) for _ in range(25)] + [["solo"], ["two", "words"], list("日本語のテスト問題です"), list("ภาษาไทยสวย"), [], ["a", "b", "c"]]
+    texts = []
+    for d in range(500):
+        w = list(rnd.choice(items))
+        kind = d % 5
+        if kind == 0:
+            w = ["edit" if i % 3 == 2 else v for i, v in enumerate(w)]
+        elif kind == 1:
+            w = [x for v in w for x in ([v, "put"] if rnd.random() < 0.8 else [v])]
+        elif kind == 2:
+            w = [v for v in w if rnd.random() < 0.7]
+        elif kind == 3:
+            w = [rnd.choice([v, v, v, "x", f"{v} y"]) for v in w]
+        texts.append((d, " ".join(noise(rnd.randint(0, 12)) + w + noise(rnd.randint(0, 12)))))
+    texts += [(900, "前日本語のテスト問題です後"), (901, "x日本語のテx問題です"), (902, "Two!"), (903, "words, solo")]
+    bench = [(i, "".join(w) if w and ord(w[0][0]) > 255 else " ".join(w)) for i, w in enumerate(items)]
+    want = {(d, i): s for d, t in texts for i, w in bench if words(w) and (s := smith_waterman(words(w), words(t))) >= 0.5}
+    assert {(900, 27), (901, 27), (902, 26), (903, 25), (903, 26)} <= set(want) and len(want) > 300
+    df, other = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    for block in (60, 1 << 20):
+        assert {(r.doc_id, r.item_id): r.score for r in D.contaminated(df, other, block_words=block).collect()} == want
+
+
+def test_items_keep_their_rarest_places():
+    w = np.arange(20, dtype=np.uint64) + np.uint64(1)
+    items = D.Items([1], [w])
+    assert (items.places[0], items.together[0]) == (13, 3)  # 19 places begin pairs, 9 are in every contaminated passage
+    counts = np.zeros(len(items.gram), np.int64)
+    counts[items.number[items.place < 8]] = 50
+    items.keep_rare(counts)
+    assert set(items.place.tolist()) == {*range(8, 19), 0, 1} and len(items.gram) == 2 * 13 - 1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

@@ -1,19 +1,23 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) and lose ASCII punctuation. Every word trigram of an item is a *seed*, however many documents
-have it: an edited passage may have kept the common ones only. A document's seeds name the items and the places to look at;
-the passage around each cluster of seeds is wide enough for every alignment through them that reaches the threshold. A passage
-that lacks too many of the item's words to reach it is left (``bound``), the others are aligned with the item word by word
-(match 2, mismatch -1, gap -1), and the best score over 2 x item words is the similarity. Pairs of at least ``THRESHOLD`` are
-contaminated. A passage that has no three words of the item in a row, such as one with every third word replaced, has no seed
-and isn't found.
+Words are lower-cased (A-Z) and lose ASCII punctuation; characters of scripts without spaces are words. An item of n words is
+aligned with a passage word by word (match 2, mismatch -1, gap -1); the best score over 2 n is the similarity, and pairs of at
+least ``THRESHOLD`` (t) are contaminated.
+
+Seeds are pairs of words that stand next to each other or with one word between, in item and passage alike. Between two
+matched words of an alignment each further word costs 1, so of the m - 1 steps of an alignment with m matches at most
+(2 m - 2 t n) / 2 skip two words or more: at least t n - 1 places of the item begin a pair that the passage has, whatever was
+edited. The documents that have each pair are counted over the whole table, and an item keeps its rarest places only, as
+many as it takes for ``TOGETHER`` of them to be in every such passage. Places of a passage with fewer seeds on near
+diagonals are left, as are those that lack too many words of the item (``bound``); the rest is aligned. An item of so few words that one
+match reaches the threshold has its words as seeds. So every pair that plain alignment finds is found.
 
 The items are joined map-side, as they are a query set: blocks of at most ``BLOCK_WORDS`` words are broadcast, and
-a larger benchmark takes a pass over the documents for each block. Documents aren't shuffled.
+a larger benchmark takes two passes over the documents for each block. Documents aren't shuffled.
 
-Defined cases: null and empty texts match nothing; items with fewer than three words have no trigram and match
-nothing; a null id is kept as it is; rows of one id and repeated rows give a row each, repeated items match as items of
-their own; other columns are left out and may have any name; empty tables give no rows.
+Defined cases: null and empty texts match nothing, items without words match nothing; a null id is kept as it is; rows of one id and
+repeated rows give a row each, repeated items match as items of their own; other columns are left out and may have any
+name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textnum import IS_SPACE, LOWER, U64, blocks, flat, rolling, span_hashes, word_spans
+from .textnum import IS_SPACE, LOWER, U64, blocks, flat, mix, span_hashes, word_spans
 
-GRAM, THRESHOLD = 3, 0.5
+THRESHOLD, TOGETHER = 0.5, 3
 BLOCK_WORDS = 1 << 20
 FILTER = 1 << 22
 #: Bytes of a word that count: all but ASCII punctuation and control characters; A-Z is lower-cased.
@@ -37,33 +41,82 @@ _AS[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 _CELLS = 1 << 20
 
 
+#: First bytes of characters of three bytes in scripts without spaces (U+3000 to U+9FFF); after 0xE0 (Thai, Lao) the second.
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xEA] = True
+_ALONE_E0 = np.zeros(256, bool)
+_ALONE_E0[0xB8:0xBC] = True
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words without punctuation, and the first word of each row."""
     gone = (_AS[data] == 0x20) & ~IS_SPACE[data]
     kept = np.concatenate(([0], np.cumsum(~gone)))
-    data = _AS[data[~gone]]
-    starts, ends, first = word_spans(data, kept[offsets])
+    data, offsets = _AS[data[~gone]], kept[offsets]
+    alone = _ALONE[data]
+    alone[:-1] |= (data[:-1] == 0xE0) & _ALONE_E0[data[1:]]
+    if alone.any():
+        at = np.flatnonzero(alone)
+        at = np.sort(np.concatenate((at, at + 3)))
+        data, offsets = np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
+    starts, ends, first = word_spans(data, offsets)
     return span_hashes(data, starts, ends), first
 
 
+def pairs(words: np.ndarray, step: int) -> np.ndarray:
+    """A hash of each word and the one ``step`` later; of the word alone for step 0."""
+    if not step:
+        return mix(words ^ U64(0x632BE59BD9B4E019))
+    with np.errstate(over="ignore"):
+        return mix(words[:-step] + mix(words[step:] ^ U64(0x5851F42D4C957F2D))) if len(words) > step else np.zeros(0, U64)
+
+
+STEPS = (0, 1, 2)
+
+
 class Items:
-    """A block of test items and their trigrams."""
-
-    def __init__(self, ids: list, words: list[np.ndarray], k: int = GRAM):
-        self.ids, self.words, self.k = ids, words, k
-        grams = [rolling(w, k) for w in words]
-        size = np.array([len(g) for g in grams], np.int64)
-        every = np.concatenate(grams) if grams else np.zeros(0, U64)
-        self.item = np.repeat(np.arange(len(grams)), size)
-        self.place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
-        self.gram, self.number = np.unique(every, return_inverse=True)
+    """A block of test items and their seeds."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], threshold: float = THRESHOLD):
+        self.ids, self.words = ids, words
+        self.length = np.array([len(w) for w in words], np.int64)
+        #: places that begin a shared pair in every contaminated passage; 0 where one word is enough
+        need = np.maximum(np.ceil(threshold * self.length - 1 - 1e-9).astype(np.int64), 0)
+        self.together = np.maximum(np.minimum(need, TOGETHER), 1)
+        self.places = np.where(need > 0, self.length - 1 - need + self.together, self.length)
+        gram, item, place = [], [], []
+        for x, w in enumerate(words):
+            for step in (1, 2) if need[x] else (0,):
+                g = pairs(w, step)
+                gram.append(g)
+                item.append(np.full(len(g), x))
+                place.append(np.arange(len(g)))
+        self._seeds(np.concatenate(gram), np.concatenate(item), np.concatenate(place))
+
+    def _seeds(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        self.gram, self.number = np.unique(gram, return_inverse=True)
+        self.item, self.place = item, place
         self.by_gram = np.argsort(self.number, kind="stable")
         self.at = np.searchsorted(self.number[self.by_gram], np.arange(len(self.gram) + 1))
         self.filter = np.zeros(FILTER, bool)
         self.filter[(self.gram & U64(FILTER - 1)).astype(np.int64)] = True
+        self.steps = [s for s in STEPS if s or (self.places[self.item] == self.length[self.item]).any()]
+
+    def keep_rare(self, documents: np.ndarray) -> None:
+        """Drop the seeds of the places whose pairs most documents have; ``documents`` has a count for each gram."""
+        top = int(self.length.max()) + 1
+        key = self.item * top + self.place
+        places, at = np.unique(key, return_inverse=True)
+        common = np.bincount(at, documents[self.number]).astype(np.int64)
+        item = places // top
+        order = np.lexsort((places, common, item))
+        rank = np.empty(len(places), np.int64)
+        rank[order] = np.arange(len(places)) - np.searchsorted(item, item)[order]
+        keep = (rank < self.places[item])[at]
+        self._seeds(self.gram[self.number[keep]], self.item[keep], self.place[keep])
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that are known, and which trigram each is."""
+        """Places in ``grams`` that are known, and which seed each is."""
         at = np.flatnonzero(self.filter[(grams & U64(FILTER - 1)).astype(np.int64)])
         n = np.searchsorted(self.gram, grams[at])
         n = np.minimum(n, len(self.gram) - 1)
@@ -71,19 +124,40 @@ class Items:
         return at[hit], n[hit]
 
 
-def _grams(column, k: int):
-    """Per block of texts: words, first word of each, trigrams that don't cross texts with their text."""
+def _texts(column):
+    """Per block of texts: its first row, words, first word of each text."""
     data, offsets = flat(column)
     for i, j in blocks(offsets):
         words, first = plain_words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        yield i, words, first, rolling(words, k)
-
-
-def _hits(items: Items, first: np.ndarray, grams: np.ndarray, k: int):
-    at, n = items.find(grams)
-    doc = np.searchsorted(first, at, "right") - 1
-    inside = at + k <= first[doc + 1]
-    return at[inside], n[inside], doc[inside]
+        yield i, words, first
+
+
+def _hits(items: Items, words: np.ndarray, first: np.ndarray):
+    """(place, seed, document) of the seeds that don't cross documents."""
+    found = []
+    for step in items.steps:
+        at, n = items.find(pairs(words, step))
+        doc = np.searchsorted(first, at, "right") - 1
+        inside = at + step < first[doc + 1]
+        found.append((at[inside], n[inside], doc[inside]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def document_counts(docs: DataFrame, shared, n: int) -> np.ndarray:
+    """How many rows have each seed of a block of items."""
+    def count(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for _, words, first in _texts(batch.column(0)):
+                _, seed, doc = _hits(shared.value, words, first)
+                total += np.bincount(np.unique(doc * n + seed) % n, minlength=n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
+
+    out = np.zeros(n, np.int64)
+    for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+        out[r["seed"]] = r["n"]
+    return out
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
@@ -119,10 +193,10 @@ def _passages(items: Items, hits, first: np.ndarray, threshold: float):
     many = items.at[n + 1] - items.at[n]
     pick = np.repeat(items.at[n] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     which = items.by_gram[pick]
-    item, start, doc = items.item[which], np.repeat(at, many) - items.place[which], np.repeat(doc, many)
-    length = np.array([len(w) for w in items.words], np.int64)
+    item, place, doc = items.item[which], items.place[which], np.repeat(doc, many)
+    start, length = np.repeat(at, many) - place, items.length
     order = np.lexsort((start, doc, item))
-    item, start, doc = item[order], start[order], doc[order]
+    item, start, doc, place = item[order], start[order], doc[order], place[order]
     # an alignment of at least the threshold has no more gaps than that
     pad = np.ceil(2 * length[item] * (1 - threshold)).astype(np.int64) + 1
     new = np.ones(len(item), bool)
@@ -131,9 +205,13 @@ def _passages(items: Items, hits, first: np.ndarray, threshold: float):
     if not len(begin_at):
         return (np.zeros(0, np.int64),) * 5
     last = np.append(begin_at[1:], len(item)) - 1
+    top = int(length.max()) + 1
+    seeds = np.bincount(np.unique((np.cumsum(new) - 1) * top + place) // top, minlength=len(begin_at))
+    enough = seeds >= items.together[item[begin_at]]
+    begin_at, last, seeds = begin_at[enough], last[enough], seeds[enough]
     item, doc, low, high = item[begin_at], doc[begin_at], start[begin_at], start[last]
     pad = pad[begin_at]
-    return item, doc, np.maximum(low - pad, first[doc]), np.minimum(high + length[item] + pad, first[doc + 1]), last - begin_at + 1
+    return item, doc, np.maximum(low - pad, first[doc]), np.minimum(high + length[item] + pad, first[doc + 1]), seeds
 
 
 def _scores(items: Items, words: np.ndarray, item, begin, end, threshold: float) -> np.ndarray:
@@ -156,30 +234,30 @@ def _scores(items: Items, words: np.ndarray, item, begin, end, threshold: float)
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, threshold: float, most: int = BLOCK_WORDS) -> Iterator[Items]:
     """The test items in blocks of a bounded number of words, read one partition at a time."""
     ids, words, size = [], [], 0
     rows = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     for r in rows.toLocalIterator():
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)
         w = plain_words(data, np.array([0, len(data)]))[0]
-        if len(w) < GRAM:
+        if not len(w):
             continue
         ids.append(r["item"])
         words.append(w)
         size += len(w)
         if size >= most:
-            yield Items(ids, words)
+            yield Items(ids, words, threshold)
             ids, words, size = [], [], 0
     if ids:
-        yield Items(ids, words)
+        yield Items(ids, words, threshold)
 
 
 def _matches(items: Items, texts, threshold: float) -> list[tuple]:
     """(row, item id, score, seeds, begin, end) of the best passage of each contaminated pair."""
     rows = []
-    for i, words, first, grams in _grams(texts, items.k):
-        item, doc, begin, end, seeds = _passages(items, _hits(items, first, grams, items.k), first, threshold)
+    for i, words, first in _texts(texts):
+        item, doc, begin, end, seeds = _passages(items, _hits(items, words, first), first, threshold)
         score = _scores(items, words, item, begin, end, threshold)
         best: dict[tuple[int, int], int] = {}
         for x in np.flatnonzero(score >= threshold).tolist():
@@ -190,6 +268,17 @@ def _matches(items: Items, texts, threshold: float) -> list[tuple]:
     return rows
 
 
+def seeded(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, threshold: float, block_words: int):
+    """Broadcast blocks of items with their rarest seeds in the texts of ``docs`` (a column ``text``)."""
+    spark = docs.sparkSession
+    for items in item_blocks(benchmark, item_id, item_text, threshold, block_words):
+        every = spark.sparkContext.broadcast(items)
+        counts = document_counts(docs, every, len(items.gram))
+        every.unpersist()
+        items.keep_rare(counts)
+        yield spark.sparkContext.broadcast(items)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, word_begin, word_end): the best passage of each contaminated pair."""
@@ -199,8 +288,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = ["doc_id", "item_id", "score", "n_seeds", "word_begin", "word_end"]
     spark = docs.sparkSession
     out = None
-    for items in item_blocks(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(items)
+    for shared in seeded(docs, benchmark, item_id, item_text, threshold, block_words):
         item_type = to_arrow_type(benchmark.schema[item_id].dataType)
 
         def find(batches, shared=shared, item_type=item_type):
@@ -219,9 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                       threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, that have no contaminated passage."""
-    spark = docs.sparkSession
-    for items in item_blocks(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(items)
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    for shared in seeded(texts, benchmark, item_id, item_text, threshold, block_words):
 
         def run(batches, shared=shared):
             for batch in batches:
