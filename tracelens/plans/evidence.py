@@ -153,7 +153,8 @@ def intercorrelation(df: DataFrame, features: list[str], flag: float = 0.5, min_
         cells = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"_p{at[a]}_{at[b]}").alias("p"), F.col(f"_s{at[a]}").alias("a"), F.col(f"_s{at[b]}").alias("b"))
                           for a, b in inner])
         one = sums.select("n", F.explode(cells).alias("c"))
-        rho = F.when(F.col("n") >= min_n, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c.p", F.sqrt(F.col("c.a") * F.col("c.b"))))))
+        value = F.try_divide("c.p", F.sqrt(F.col("c.a") * F.col("c.b")))
+        rho = F.when(value.isNotNull() & (F.col("n") >= min_n), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
         parts.append(one.select("c.f1", "c.f2", F.col("n").cast("long").alias("n"), rho.alias("rho")))
     rest = [(a, b) for a, b in pairs if gaps[a] or gaps[b]]
     if rest:
