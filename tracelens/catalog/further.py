@@ -60,6 +60,40 @@ def _l21(t):
         f["code_path_density"].alias("code_path_density"), f["error_quote_density"].alias("error_quote_density"))
 
 
+# Reasoning that the phrases of the two rounds occur in, put behind the given texts.
+_SAID = ["\nActually the issue is in `core.py` line 12. Wait, the problem is that run() calls start. Hmm no. Actually the issue is worse.",
+         " This approach won't work. The fix is in lines 3. I need to fix pip and docker first.\nOh well, let me try another method of the class.",
+         " From `a` to `b` the flow is clear; `ValueError raised` by `load` - not by `save`. I cannot find it in `x/y.py`. Instead, let me try a simpler way.",
+         " That doesn't work. ImportError, not available. the issue is old. Ah. the problem is new. the issue is here - lines 4 and line 5.", " Nothing of it."]
+B.CTES["said"] = "SELECT doc_id, text || ([" + ", ".join(B.q(s) for s in _SAID) + f"])[doc_id % {len(_SAID)} + 1] AS text FROM documents"
+_BEGIN = "(?:^|\\n|\\.\\s)"
+_ACT, _INT = (f"coalesce(len(regexp_extract_all({AT}, {B.q(_BEGIN + w)}))::DOUBLE / nullif(length(text) / 1000.0::DOUBLE, 0), 0)" for w in (r"Actually\b", r"(?:Actually|Wait|Hmm|Oh|Ah)\b"))
+
+
+def said(t):
+    return t.documents.select("doc_id", F.concat("text", F.element_at(F.array(*[F.lit(s) for s in _SAID]), (F.pmod("doc_id", F.lit(len(_SAID))) + 1).cast("int"))).alias("text"))
+
+
+@query("l20_thinking_composites", f"""SELECT doc_id, {_share(P.ENVIRONMENT)} AS env_distraction_fraction, {B.hits(AT, P.PIVOT)} AS approach_pivots, {_rate(P.PIVOT)} AS pivots_per_kchar, {B.hits(AT, P.DEAD_END)} AS dead_end_count,
+    {_rate(P.FUNC_REF, '')} AS func_refs_per_kchar, {_rate(P.CODE_STRUCTURE)} - {_share(P.ENVIRONMENT)} * 10 - {_rate(P.PIVOT)} * 2 AS focus_score,
+    coalesce((least(nullif(strpos(lower(text), 'the fix'), 0), nullif(strpos(lower(text), 'i need to fix'), 0)) - 1) / length(text), 1.0) AS fix_mention_position FROM said""",
+       dbl="env_distraction_fraction pivots_per_kchar func_refs_per_kchar focus_score fix_mention_position", lng="approach_pivots dead_end_count")
+def _l20c(t):
+    f = K.first_round("text")
+    names = ("env_distraction_fraction", "approach_pivots", "pivots_per_kchar", "dead_end_count", "func_refs_per_kchar", "focus_score", "fix_mention_position")
+    return said(t).select("doc_id", *[f[c].alias(c) for c in names])
+
+
+@query("l21_thinking_composites", f"""SELECT *, precise AS diagnostic_precision, precise - confusion_score AS reasoning_clarity FROM (SELECT doc_id, {_ACT} AS actually_density, {_INT} AS interruption_rate,
+    {_ACT} + {_INT} + {_rate(P.PIVOT)} + CASE WHEN {B.hits(AT, P.REDIAGNOSIS)} >= 3 THEN 1 ELSE 0 END AS confusion_score, {_rate(P.ERROR_QUOTE, '')} AS error_quote_density, {_rate(P.CODE_PATH)} AS code_path_density,
+    ({_rate(P.FUNC_REF, '')} + {_rate(P.FILE_REF, '')} + {_rate(P.CODE_PATH)} + {_rate(P.LINE_REF)} + {_rate(P.BACKTICK_ID, '')}) / 5 AS precise FROM said)""",
+       dbl="actually_density interruption_rate confusion_score error_quote_density code_path_density precise diagnostic_precision reasoning_clarity")
+def _l21c(t):
+    f = K.second_round("text")
+    names = ("actually_density", "interruption_rate", "confusion_score", "error_quote_density", "code_path_density", "diagnostic_precision", "reasoning_clarity")
+    return said(t).select("doc_id", *[f[c].alias(c) for c in names], f["diagnostic_precision"].alias("precise"))
+
+
 @query("l21_narrative_fraction", "SELECT conv_id AS run_id, avg(CASE WHEN length(text) > 500 AND NOT contains(text, '```') THEN 1.0::DOUBLE ELSE 0 END) AS narrative_fraction FROM conversations GROUP BY conv_id", dbl="narrative_fraction")
 def _l21b(t):
     return t.conversations.groupBy(F.col("conv_id").alias("run_id")).agg(K.narrative_fraction("text").alias("narrative_fraction"))

@@ -198,9 +198,19 @@ B.CTES["executions"] = """SELECT t.run_id, t.line_no, t.command, u.len % 5 = 0 A
     JOIN good u ON u.run_id = t.run_id AND u.role = 'user' AND u.line_no = t.line_no + 1 WHERE t.tool_name = 'Bash' AND contains(t.command, 'pytest')"""
 
 
-@query("q1_test_executions", "SELECT run_id, command, is_error, 0 AS passed, 0 AS failed FROM executions", lng="passed failed")
+_P, _F = "length(output) % 9", "length(output) % 4"
+
+
+@query("q1_test_executions", f"""SELECT run_id, command, is_error, CASE length(output) % 3 WHEN 0 THEN {_P} WHEN 1 THEN greatest({_P} - {_F}, 0) ELSE 0 END AS passed,
+    CASE length(output) % 3 WHEN 0 THEN {_F} WHEN 1 THEN {_F} ELSE 0 END AS failed FROM executions""", lng="passed failed")
 def _q1(t):
-    return Q.test_executions(t.blocks).select("run_id", "command", "is_error", "passed", "failed")
+    """Outputs that end in the summary of one runner, of another, or in none."""
+    n = F.length("text")
+    p, f = (F.pmod(n, F.lit(m)).cast("string") for m in (9, 4))
+    tail = F.when(F.pmod(n, F.lit(3)) == 0, F.concat(F.lit("\n== "), p, F.lit(" passed, "), f, F.lit(" failed in 0.1s =="))).when(
+        F.pmod(n, F.lit(3)) == 1, F.concat(F.lit("\nRan "), p, F.lit(" tests in 0.1s\n\nFAILED (failures="), f, F.lit(")"))).otherwise("\nno summary")
+    printed = t.blocks.withColumn("text", F.when(F.col("kind") == "tool_result", F.concat("text", tail)).otherwise(F.col("text")))
+    return Q.test_executions(printed).select("run_id", "command", "is_error", "passed", "failed")
 
 
 def _event_executions(t):

@@ -227,6 +227,34 @@ def _p2(t):
     return t.raw_calls.select("event_id", shell.command_modifies(F.concat(cmd, F.lit(" "))).alias("modifies"))
 
 
+# Commands by what they do: read (and may stand in a pipe), read, change. Forms put two of them together.
+_PIPED = ["ls -la", "cat a.txt", "head -n 5 f", "tail f", "wc -l f", "stat f", "du -sh .", "df", "tree src", "grep -rn x src", "rg x", "awk 'NR==1' f", "sort f", "uniq f", "cut -c1 f",
+          "diff a b", "jq . f", "echo hi", "printf x", "pwd", "which python", "env", "whoami", "date", "test -f x", "ps aux", "/usr/bin/ls /tmp", "LS"]
+_READS = ["git log", "git diff HEAD", "git status", "git branch", "git show x", "git blame f", "git stash list", "git remote -v", "git rev-parse HEAD", "git ls-files", "git fetch", "sed -n p f",
+          "sed s/a/b/ f", "find . -name x", "python -c 'print(1)'", "python3 -c 'print(2)'", "node -e '1+1'"]
+_CHANGES = ["rm -f x", "mv a b", "cp a b", "mkdir d", "touch f", "chmod +x f", "git add .", "git commit -m x", "git push", "git checkout b", "git reset HEAD", "git stash", "pip list", "npm run x", "make",
+            "python run.py", "pytest tests", "sed -i s/a/b/ f", "sed -n -i p f", "find . -delete", "find . -exec rm {} +", "tee f", "python -c 'open(1)'", "python3 -c 'import os'", "node -e 'fs.x'", "curl x",
+            "docker ps", "unknown-command"]
+_EACH = _PIPED + _READS + _CHANGES
+_A, _B = f"event_id % {len(_EACH)}", f"(event_id // {len(_EACH)} * 31 + event_id) % {len(_EACH)}"
+
+
+@query("p2_shell_forms", f"""SELECT event_id, CASE form WHEN 0 THEN a >= {len(_PIPED + _READS)} WHEN 1 THEN a >= {len(_PIPED + _READS)} OR b >= {len(_PIPED + _READS)} WHEN 2 THEN a >= {len(_PIPED + _READS)} OR b >= {len(_PIPED + _READS)}
+    WHEN 3 THEN a >= {len(_PIPED + _READS)} OR b >= {len(_PIPED + _READS)} WHEN 4 THEN a >= {len(_PIPED)} OR b >= {len(_PIPED)} WHEN 5 THEN a >= {len(_PIPED + _READS)} ELSE true END AS modifies
+    FROM (SELECT event_id, event_id % 7 AS form, {_A} AS a, {_B} AS b FROM calls)""")
+def _p2b(t):
+    """Pairs of commands as they are, joined by &&, ||, ; and a pipe, behind assignments and sudo, and redirected."""
+    each = F.array(*[F.lit(c) for c in _EACH])
+    n = len(_EACH)
+    a = F.element_at(each, (F.pmod("event_id", F.lit(n)) + 1).cast("int"))
+    b = F.element_at(each, (F.pmod(F.floor(F.col("event_id") / n) * 31 + F.col("event_id"), F.lit(n)) + 1).cast("int"))
+    form = F.pmod("event_id", F.lit(7))
+    joined = lambda s: F.concat(a, F.lit(s), b)
+    cmd = (F.when(form == 0, a).when(form == 1, joined(" && ")).when(form == 2, joined(" || ")).when(form == 3, joined("; ")).when(form == 4, joined(" | "))
+           .when(form == 5, F.concat(F.lit("FOO=1 sudo "), a)).otherwise(F.concat(a, F.lit(" > out.txt"))))
+    return t.raw_calls.select("event_id", shell.command_modifies(cmd).alias("modifies"))
+
+
 @query("p3_unwrap_command", "SELECT event_id, 'run ' || k AS inner_command FROM calls")
 def _p3(t):
     k = F.col("k").cast("string")

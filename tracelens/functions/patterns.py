@@ -172,10 +172,6 @@ ONE_LINER_WRITES = [
 ]
 PIPE_WRITERS = ["tee", "xargs", "dd", "patch", "install"]
 FIND_ACTIONS = ["-delete", "-exec rm", "-exec mv", "-execdir rm", "-execdir mv"]
-GIT_WRITES = [
-    "add", "commit", "push", "pull", "merge", "rebase", "reset", "checkout", "switch", "restore",
-    "cherry-pick", "revert", "stash", "clean", "rm", "mv", "init", "clone", "submodule", "bisect", "apply", "am",
-]
 
 # Expected sign of each run feature's association with success.
 DIRECTIONS = {
