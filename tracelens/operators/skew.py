@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_ROWS = 1_000_000
 MOST_PARTS = 4_096
 
@@ -114,31 +116,35 @@ def quantile(df: DataFrame, keys: list[str], value: str, probs: list[float], lim
     return agg.select(*keys, *cols)
 
 
+def ranged(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
+    """Rows in order of (keys, order) over parts of about ``limit / 2`` rows, with ``_part`` and ``_at``, the place in it.
+
+    Parts end where a sample of whole sort keys says, so rows of one leading value are cut by the columns behind it.
+    """
+    parts = 2 * -(-df.count() // limit) + 1
+    laid = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    return materialize(laid.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+
+
 def positions(df: DataFrame, run: str, lead: Column, order: list, limit: int = HOT_ROWS,
               large: bool | None = None) -> DataFrame:
     """Number the rows of each run: ``seq`` from 1 in ``order``, and the run length ``n``.
 
-    ``lead`` is the leading sort column as a number; it decides the parts of large runs.
+    ``lead`` is the leading sort column as a number. Runs larger than ``limit`` are laid out in order over many tasks and
+    numbered from one row a part.
     """
     if not _decide(df, [run], limit, large):
         whole = Window.partitionBy(run)
         return df.withColumn("seq", F.row_number().over(whole.orderBy(*order)).cast("long")).withColumn(
             "n", F.count(F.lit(1)).over(whole))
-    cut = split_large(df, [run], lead, limit)
-    part = Window.partitionBy(run, "_part")
-    numbered = cut.withColumn("_in", F.row_number().over(part.orderBy(*order)))
-    numbered = numbered.withColumn("_n", F.count(F.lit(1)).over(part))
-    per_part = cut.where("_cut").groupBy(run, "_part").agg(F.count(F.lit(1)).alias("_pw"))
+    cut = ranged(df, [run], order, limit)
+    per_part = cut.groupBy(run, "_part").agg(F.count(F.lit(1)).alias("_pw"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     known = per_part.select(
-        run, "_part", F.sum("_pw").over(earlier).alias("_before"),
-        F.sum("_pw").over(Window.partitionBy(run)).alias("_all"))
-    out = numbered.join(known, [run, "_part"], "left")
-    return (
-        out.withColumn("seq", (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long"))
-        .withColumn("n", F.coalesce("_all", "_n"))
-        .drop("_part", "_cut", "_in", "_n", "_before", "_all")
-    )
+        F.col(run).alias("_r"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_pw").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_pw").over(Window.partitionBy(run)).alias("n"))
+    out = cut.join(known, F.col(run).eqNullSafe(F.col("_r")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("seq", (F.col("_at") - F.col("_first") + 1 + F.col("_before")).cast("long")).select(*df.columns, "seq", "n")
 
 
 def chunked(df: DataFrame, run: str, before: int = 0, after: int = 0, limit: int = HOT_ROWS,
