@@ -1,10 +1,9 @@
 """Token counts of whole texts with a two-tier lookup.
 
-Tier one is a table of the lengths of the corpus's frequent pre-tokens, of at most ``FREQUENT``
-entries of at most ``LONGEST`` characters, which is its bound as a broadcast. Each task counts the
-pre-tokens of all its rows and passes on its most frequent ones only, so pre-tokens themselves are not
-shuffled. Tier two is a cache in each worker: a pre-token that tier one lacks is encoded once by
-the tokenizer library. The table changes the speed, never a count.
+Tier one is a table of the lengths of frequent pre-tokens, of at most ``FREQUENT`` entries of at most ``LONGEST``
+characters, which is its bound as a broadcast. They are those of a sample of about ``SAMPLE_BYTES`` bytes of text that the driver
+reads, so no pre-token is ever shuffled. Tier two is a cache in each worker: a pre-token that tier one
+lacks is encoded once by the tokenizer library. The table changes the speed, never a count.
 
 Added tokens of the vocabulary that stand in a text count as the library counts them: the text is
 cut there first. Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and ids
@@ -26,7 +25,7 @@ from .caches import claim
 from .pretokens import Splitter
 
 FREQUENT, LONGEST = 65_536, 64
-PER_TASK, COUNTED = 16_384, 1_000_000
+SAMPLE_BYTES, LONGEST_TEXT = 4 << 20, 1 << 20
 CACHED = 400_000
 LIMIT = 1024
 
@@ -81,24 +80,20 @@ def lengths(path: str) -> Lengths:
     return Lengths(path)
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int = FREQUENT) -> DataFrame:
-    """(piece, n): the most frequent pre-tokens by the counts that tasks pass on."""
-    def count(batches):
-        claim("token counts", lengths.cache_clear)
-        counter: Counter = Counter()
-        known = lengths(path)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in known.parts(text or ""):
-                    for p in known.splitter.pieces(part):
-                        counter.update(p)
-            if len(counter) > COUNTED:
-                counter = Counter(dict(counter.most_common(COUNTED // 4)))
-        top = [(p, n) for p, n in counter.most_common(PER_TASK) if n > 1 and len(p) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-    found = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "piece string, n long")
-    return found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int = FREQUENT, size: int = SAMPLE_BYTES) -> list[str]:
+    """The most frequent pre-tokens of a sample of about ``size`` bytes of texts of at most ``LONGEST_TEXT`` bytes, read by the driver."""
+    text = F.col(f"`{text_col}`").cast("string")
+    short = docs.select(text.alias("text")).where(F.octet_length("text") <= LONGEST_TEXT)
+    total = short.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known, counter, seen = lengths(path), Counter(), 0
+    for row in short.sample(min(1.0, size / max(total, 1)), seed=7).toLocalIterator():
+        seen += len(row["text"])
+        if seen > 2 * size:  # a draw far beyond what was asked for
+            break
+        for part in known.parts(row["text"]):
+            for p in known.splitter.pieces(part):
+                counter.update(p)
+    return [p for p, n in counter.most_common(most) if n > 1 and len(p) <= LONGEST]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
@@ -106,8 +101,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
     spark = docs.sparkSession
     known = lengths(path)
-    table = {r["piece"]: len(known.tokenizer.encode(r["piece"], add_special_tokens=False).ids)
-             for r in frequent_pretokens(docs, text_col, path, frequent).select("piece").toLocalIterator()}
+    table = {p: len(known.tokenizer.encode(p, add_special_tokens=False).ids) for p in frequent_pretokens(docs, text_col, path, frequent)}
     shared = spark.sparkContext.broadcast(table)
 
     def count(batches):
