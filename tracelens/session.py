@@ -41,13 +41,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in shared storage and go on from there.
 
     Cuts the plan for results that are read several times or iterated over, and survives
-    the loss of executors.
+    the loss of executors. Nothing reads the shuffle files of the write again, so they are removed when it ends.
     """
     path = new_stage(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    own = conf.get(CLEANUP, None)
+    if own is not None:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if own is not None:
+            conf.set(CLEANUP, own)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Removes a query's shuffle files at its end, where this version of Spark can.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGES: list[str] = []
 
 
