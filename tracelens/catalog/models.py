@@ -295,9 +295,42 @@ def _t24(t):
     return M.stratum_logit_table(t.features, FEATURES, "stratum", "success")
 
 
-@query("t25_random_intercept")
+def _likelihood(g: str, model: int) -> str:
+    """Profile log-likelihood at the variance ratio g from the sums of a feature's strata, as an aggregate."""
+    w = f"({g} / (1 + n * {g}))"
+    a00, a01, a11 = f"sum(n - {w} * n * n)", f"sum(sx - {w} * n * sx)", f"sum(sxx - {w} * sx * sx)"
+    b0, b1, c = f"sum(sy - {w} * n * sy)", f"sum(sxy - {w} * sx * sy)", f"sum(syy - {w} * sy * sy)"
+    det = f"({a00} * {a11} - {a01} * {a01})"
+    rss = f"{c} - ({a11} * {b0} - {a01} * {b1}) / {det} * {b0} - ({a00} * {b1} - {a01} * {b0}) / {det} * {b1}" if model else f"{c} - {b0} * {b0} / {a00}"
+    return f"(-sum(n) / 2 * (ln(2 * pi() * greatest({rss}, 1e-300) / sum(n)) + 1) - sum(ln(1 + n * {g})) / 2)"
+
+
+def _best_ratio(model: int) -> str:
+    """Golden sections of the logarithm of the ratio."""
+    gold = 0.6180339887498949
+    at = f"(SELECT *, hi - {gold} * (hi - lo) AS x1, lo + {gold} * (hi - lo) AS x2 FROM gs{model} WHERE step < 60)"
+    return f"""gs{model} AS (SELECT DISTINCT feature, -14.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0 AS step FROM parts UNION ALL
+        SELECT feature, CASE WHEN f1 >= f2 THEN lo ELSE x1 END, CASE WHEN f1 >= f2 THEN x2 ELSE hi END, step + 1 FROM (
+            SELECT q.feature, any_value(lo) AS lo, any_value(hi) AS hi, any_value(step) AS step, any_value(x1) AS x1, any_value(x2) AS x2, {_likelihood('exp(x1)', model)} AS f1, {_likelihood('exp(x2)', model)} AS f2
+            FROM {at} q JOIN parts p ON p.feature = q.feature GROUP BY q.feature)),
+    at{model} AS (SELECT feature, exp((lo + hi) / 2) AS g FROM gs{model} WHERE step = 60 UNION ALL SELECT DISTINCT feature, 0.0::DOUBLE FROM parts),
+    top{model} AS (SELECT a.feature, a.g, {_likelihood('g', model)} AS ll FROM at{model} a JOIN parts p ON p.feature = a.feature GROUP BY a.feature, a.g QUALIFY row_number() OVER (PARTITION BY a.feature ORDER BY ll DESC) = 1)"""
+
+
+_W = "(g / (1 + n * g))"
+
+
+@query("t25_random_intercept", f"""WITH RECURSIVE wide AS (SELECT stratum, success::DOUBLE AS y, unnest({_list(f"'{f}'" for f in FEATURES)}) AS feature, unnest({_list(FEATURES)}) AS x FROM features),
+    std AS (SELECT *, stddev_pop(x) OVER (PARTITION BY feature) AS sd, (x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature) AS v FROM wide),
+    parts AS (SELECT feature, stratum, count(*)::DOUBLE AS n, sum(v) AS sx, sum(y) AS sy, sum(v * v) AS sxx, sum(y * y) AS syy, sum(v * y) AS sxy, max(sd) AS sd FROM std GROUP BY feature, stratum),
+    {_best_ratio(1)}, {_best_ratio(0)},
+    a AS (SELECT t.feature, t.g, t.ll, sum(n) AS n, max(sd) AS sd, sum(n - {_W} * n * n) AS a00, sum(sx - {_W} * n * sx) AS a01, sum(sxx - {_W} * sx * sx) AS a11, sum(sy - {_W} * n * sy) AS b0,
+        sum(sxy - {_W} * sx * sy) AS b1, sum(syy - {_W} * sy * sy) AS c FROM top1 t JOIN parts p ON p.feature = t.feature GROUP BY t.feature, t.g, t.ll),
+    b AS (SELECT *, a00 * a11 - a01 * a01 AS det, (a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01) AS slope, (a11 * b0 - a01 * b1) / (a00 * a11 - a01 * a01) AS base FROM a),
+    r AS (SELECT b.feature, n, slope / sd AS coef, sqrt((c - base * b0 - slope * b1) / n * a00 / det) / sd AS se, b.g AS ratio, b.g = 0 AS border, greatest(2 * (b.ll - t.ll), 0) AS lr FROM b JOIN top0 t ON t.feature = b.feature)
+    SELECT feature, n, coef, se, round(ratio, 4) AS ratio, border, lr, coef / se AS z, {_TWO_SIDED.format(z='abs(coef / se)')} AS p, {_TWO_SIDED.format(z='sqrt(lr)')} AS lr_p FROM r""", dbl="coef se ratio lr z p lr_p", lng="n")
 def _t25(t):
-    return M.random_intercept(t.features, FEATURES, "stratum", "success")
+    return M.random_intercept(t.features, FEATURES, "stratum", "success").withColumn("ratio", F.round("ratio", 4))
 
 
 @query("e21_average_precision", """WITH s AS (SELECT score, count(*) AS w, count(*) FILTER (WHERE success = 1) AS p FROM preds GROUP BY score)

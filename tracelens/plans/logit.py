@@ -369,11 +369,16 @@ def stratum_logit_table(df: DataFrame, features: list[str], strata: str, label:
     return out.withColumn("p", special.normal_pvalue("wald")).withColumn("lr_p", special.chi2_1df_pvalue("lr"))
 
 
+#: Logarithms of the least and greatest variance ratio looked at; points of a pass; passes.
+RATIOS, POINTS, PASSES = (-14.0, 8.0), 16, 8
+
+
 def random_intercept(df: DataFrame, features: list[str], strata: str, label: str) -> DataFrame:
     """ML linear model label ~ feature with a random intercept per stratum, and its LR test.
 
-    The likelihood needs six sums per (feature, stratum); a grid refined around its best
-    point over the variance ratio then runs over those sums, in Spark, for all features at once.
+    The likelihood needs six sums per (feature, stratum). The variance ratio that maximises it is bracketed for all
+    features at once, in Spark over those sums, until the bracket is below 1e-6 of its logarithm; ``border`` tells that the best ratio is 0 or
+    the largest looked at.
     """
     long = to_long(df.select(strata, F.col(label).cast("double").alias("_y"), *features), [strata, "_y"], features).where("x is not null")
     scale = long.groupBy("feature").agg(F.avg("x").alias("_mx"), F.stddev_pop("x").alias("_sx")).where("_sx > 1e-10")
@@ -401,18 +406,20 @@ def random_intercept(df: DataFrame, features: list[str], strata: str, label: str
         se = F.sqrt(rss1 / F.col("N") * F.col("a00") / det)
         return a.select("feature", "g", F.col("N").cast("long").alias("n"), "_sx", b.alias("b"), se.alias("se"), ll(rss1).alias("ll1"), ll(rss0).alias("ll0"))
 
-    names = sums.select("feature").distinct()
-    start = [0.0] + [10 ** (e / 4) for e in range(-24, 13)]
-    grid = names.withColumn("g", F.explode(F.array(*[F.lit(float(v)) for v in start])))
-    for _ in range(3):
-        pr = profile(grid)
-        best = materialize(pr.groupBy("feature").agg(F.max_by("g", "ll1").alias("g1"), F.max_by("g", "ll0").alias("g0")))
-        near = F.array(*[F.lit(float(m)) for m in np.linspace(0.6, 1.7, 23) ** (2 if _ == 0 else 0.5 if _ == 1 else 0.1)])
-        grid = best.select("feature", F.explode(F.array_distinct(F.concat(
-            F.transform(near, lambda m: F.col("g1") * m), F.transform(near, lambda m: F.col("g0") * m),
-            F.array(F.col("g1"), F.col("g0"))))).alias("g"))
+    # each pass keeps the points next to the best one, an eighth of the bracket
+    low, high = RATIOS
+    spread = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(POINTS)), lambda i: F.exp(F.col(a) + (F.col(b) - F.col(a)) * i / POINTS))
+    bracket = sums.select("feature").distinct().select("feature", *[F.lit(v).alias(c) for c, v in (("a1", low), ("b1", high), ("a0", low), ("b0", high))])
+    for step in range(PASSES):
+        grid = bracket.select("feature", F.explode(F.array_distinct(F.concat(spread("a1", "b1"), spread("a0", "b0")))).alias("g"))
+        best = profile(grid).groupBy("feature").agg(F.max_by("g", "ll1").alias("g1"), F.max_by("g", "ll0").alias("g0"))
+        width = (high - low) / POINTS * (2 / POINTS) ** step
+        around = [(F.greatest(F.lit(low), F.log(g) - width).alias(f"a{i}"), F.least(F.lit(high), F.log(g) + width).alias(f"b{i}")) for i, g in ((1, "g1"), (0, "g0"))]
+        bracket = materialize(best.select("feature", *around[0], *around[1]))
+    middle = lambda i: F.exp((F.col(f"a{i}") + F.col(f"b{i}")) / 2)
+    grid = bracket.select("feature", F.explode(F.array(F.lit(0.0), middle(1), middle(0), F.exp(F.lit(high)))).alias("g"))
     top = profile(grid).groupBy("feature").agg(
         F.max_by(F.struct("n", "b", "se", "g", "_sx"), "ll1").alias("m"), F.max("ll1").alias("ll1"), F.max("ll0").alias("ll0"))
     out = top.select("feature", F.col("m.n").alias("n"), (F.col("m.b") / F.col("m._sx")).alias("coef"), (F.col("m.se") / F.col("m._sx")).alias("se"),
-                     F.col("m.g").alias("ratio"), F.greatest(2 * (F.col("ll1") - F.col("ll0")), F.lit(0.0)).alias("lr"))
+                     F.col("m.g").alias("ratio"), ((F.col("m.g") == 0) | (F.col("m.g") >= F.exp(F.lit(high)))).alias("border"), F.greatest(2 * (F.col("ll1") - F.col("ll0")), F.lit(0.0)).alias("lr"))
     return out.withColumn("z", F.col("coef") / F.col("se")).withColumn("p", special.normal_pvalue("z")).withColumn("lr_p", special.chi2_1df_pvalue("lr"))
