@@ -370,7 +370,7 @@ def stratum_logit_table(df: DataFrame, features: list[str], strata: str, label:
 
 
 #: Logarithms of the least and greatest variance ratio looked at; points of a pass; passes.
-RATIOS, POINTS, PASSES = (-14.0, 8.0), 16, 8
+RATIOS, POINTS, PASSES = (-14.0, 8.0), 64, 5
 
 
 def random_intercept(df: DataFrame, features: list[str], strata: str, label: str) -> DataFrame:
@@ -406,7 +406,7 @@ def random_intercept(df: DataFrame, features: list[str], strata: str, label: str
         se = F.sqrt(rss1 / F.col("N") * F.col("a00") / det)
         return a.select("feature", "g", F.col("N").cast("long").alias("n"), "_sx", b.alias("b"), se.alias("se"), ll(rss1).alias("ll1"), ll(rss0).alias("ll0"))
 
-    # each pass keeps the points next to the best one, an eighth of the bracket
+    # each pass keeps the points next to the best one, a thirty-second of the bracket
     low, high = RATIOS
     spread = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(POINTS)), lambda i: F.exp(F.col(a) + (F.col(b) - F.col(a)) * i / POINTS))
     bracket = sums.select("feature").distinct().select("feature", *[F.lit(v).alias(c) for c, v in (("a1", low), ("b1", high), ("a0", low), ("b0", high))])
